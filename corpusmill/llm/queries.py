@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontamination_report
 from .licenses import scan_licenses
+from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
 from .shared import table
@@ -40,12 +41,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_license_scan, op3_packing, op4_token_counts, op5_decontamination, op8_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_license_scan, op3_packing, op4_token_counts, op5_decontamination, op6_near_duplicates, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
