@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontamination_report
 from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
+from .repeats import remove_repeats
 from .shared import table
 from .tokens import token_counts
 from .toxicity import toxicity_scores
@@ -45,12 +47,18 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    sizes = F.transform("removed", lambda r: r["end"] - r["start"])
+    return left.select("doc_id", "n_bytes", F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_license_scan, op3_packing, op4_token_counts, op5_decontamination, op6_near_duplicates, op8_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_license_scan, op3_packing, op4_token_counts, op5_decontamination, op6_near_duplicates, op7_repeated_strings, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
