@@ -13,6 +13,7 @@ from .decontaminate import decontamination_report
 from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
+from .pii import pii_report
 from .quality import quality_scores
 from .repeats import remove_repeats
 from .shared import table
@@ -57,8 +58,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_license_scan, op3_packing, op4_token_counts, op5_decontamination, op6_near_duplicates, op7_repeated_strings, op8_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_license_scan, op3_packing, op4_token_counts, op5_decontamination, op6_near_duplicates, op7_repeated_strings, op8_toxicity, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
