@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontamination_report
 from .licenses import scan_licenses
+from .nearest import nearest
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import pii_report
@@ -58,12 +59,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_license_scan, op3_packing, op4_token_counts, op5_decontamination, op6_near_duplicates, op7_repeated_strings, op8_toxicity, op10_personal_data)}
+    return {f.__name__: f for f in (op1_quality, op2_license_scan, op3_packing, op4_token_counts, op5_decontamination, op6_near_duplicates, op7_repeated_strings, op8_toxicity, op9_nearest, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
