@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .normal import Normal, automaton, word_list
-from .shared import texts_of
+from .shared import named, numbered, texts_of
 
 #: Bytes of benchmark text in one automaton; more text makes more automata.
 BLOCK_BYTES = 16 << 20
@@ -72,8 +72,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_co
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     names = docs.columns
+    place = f"c{names.index(text_col)}"
+    inner = [f"c{i}" for i in range(len(names))]
     state = "struct<n_words:long,n_hit:long,spans:array<struct<start:long,end:long>>,runs:array<struct<start:long,end:long>>,items:array<string>>"
-    out = docs.withColumn("_found", F.lit(None).cast(state))
+    out = numbered(docs).withColumn("_found", F.lit(None).cast(state))
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
@@ -87,7 +89,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_co
             machine = _built[name]
             for b in batches:
                 found = []
-                for raw, old in zip(texts_of(b.column(text_col)), b.column("_found").to_pylist(), strict=True):
+                for raw, old in zip(texts_of(b.column(place)), b.column("_found").to_pylist(), strict=True):
                     doc = Normal(raw)
                     runs, ids = hits(doc, machine)
                     if old:
@@ -95,10 +97,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_co
                         ids = sorted({*ids, *old["items"]})
                     first, end = doc.bounds() if runs else ([], [])
                     found.append({"n_words": doc.words, "n_hit": sum(e - s for s, e in runs), "spans": [{"start": int(first[s]), "end": int(end[e - 1])} for s, e in runs], "runs": [{"start": s, "end": e} for s, e in runs], "items": ids})
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, kind)], names=[*names, "_found"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in inner), pa.array(found, kind)], names=[*inner, "_found"])
 
         out = out.mapInArrow(scan, out.schema)
-    return out.withColumn("_found", F.col("_found").dropFields("runs"))
+    return named(out.withColumn("_found", F.col("_found").dropFields("runs")), names, "_found")
 
 
 def is_contaminated(found: str = "_found", share: int = 20) -> Column:

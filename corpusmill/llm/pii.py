@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .shared import named, numbered
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Base kinds in the contract's order, and their rules as they are run: the
@@ -170,10 +171,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", spans_col: str =
     score passes its kind's threshold and that overlaps no base span.  A null
     or empty text has no spans.  All in one projection chain, no shuffle.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast(SPAN)
-    keep = docs.columns
-    out = docs.withColumn("_t", text)
+    names = docs.columns
+    out = numbered(docs).withColumn("_t", F.coalesce(F.col(f"c{names.index(text_col)}").cast("string"), F.lit("")))
     for kind, pattern in BASE.items():
         out = out.withColumn(f"_{kind}", F.filter(F.when(GATES[kind](F.col("_t")), matches(F.col("_t"), pattern)).otherwise(none), _checked(kind)))
     out = out.withColumn("_base", F.concat(*[F.transform(f"_{k}", _labelled(k, True)) for k in BASE]))
@@ -189,7 +189,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", spans_col: str =
         chosen = F.filter(f"_{kind}", _passing(trees, least))
         out = out.withColumn(f"_{kind}", F.filter(chosen, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     more = [F.transform(f"_{k}", _labelled(k, False)) for k in GENERATORS]
-    return out.withColumn(spans_col, F.concat("_base", *more)).select(*[F.col(f"`{c}`") for c in keep], spans_col)
+    return named(out.withColumn(spans_col, F.concat("_base", *more)), names, spans_col)
 
 
 def written(spans: Column) -> Column:
@@ -209,8 +209,10 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each found span of the text replaced by its kind in brackets;
     of spans that overlap the first stands for all.  A null text stays null."""
-    found = find_personal_data(docs, text_col)
-    text = F.col(text_col)
+    names = docs.columns
+    place = f"c{names.index(text_col)}"
+    found = find_personal_data(numbered(docs), place)
+    text = F.col(place)
     order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -220,4 +222,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     done = F.aggregate(order, start, step)
     new = F.when(F.size("_spans") == 0, text).otherwise(F.concat(done["out"], text.substr((done["at"] + 1).cast("int"), F.char_length(text))))
-    return found.withColumn(text_col, F.when(text.isNotNull(), new)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named(found.withColumn(place, F.when(text.isNotNull(), new)), names)

@@ -63,6 +63,17 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         _drop(spark, f)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: whatever they are called, they clash
+    with no name that an operator adds.  `named` gives their names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The first columns under their old names, and further ones."""
+    return df.select(*[f"c{i}" for i in range(len(names))], *more).toDF(*names, *more)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learn import Adam, calibrate, fold, labelled_sample, sigmoid
-from .shared import batch_of, slices, texts_of
+from .shared import named, numbered, slices, texts_of
 from .words import _BYTES, ALNUM, LOWER, U, mix, words
 
 WINDOW, STEP, HIDDEN, BUCKETS = 32, 24, 8, 1 << 18
@@ -252,17 +252,18 @@ def score_toxicity(docs: DataFrame, model: Model | float, column: str = "score",
     the rows without a shuffle; a worker reads 1 MB of text or one document at
     a time.  A null or empty text gets the score of an empty window."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.withColumn(column, F.lit(0.0))
     names = docs.columns
+    place, inner = f"c{names.index(text_col)}", [f"c{i}" for i in range(len(names))]
+    out = numbered(docs).withColumn(column, F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for b in slices(batches, text_col, 1 << 20):
-            texts = texts_of(b.column(text_col))
+        for b in slices(batches, place, 1 << 20):
+            texts = texts_of(b.column(place))
             score = np.full(len(texts), found) if isinstance(found, float) else found.scores(texts)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score, pa.float64())], names=[*names, column])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in inner), pa.array(score, pa.float64())], names=[*inner, column])
 
-    return out.mapInArrow(run, out.schema)
+    return named(out.mapInArrow(run, out.schema), names, column)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
