@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from .components import Forest, connected
 from .minhash import bands, signatures
 from .shared import slices, stored, texts_of
 from .words import NONSPACE, U, mix, shingles, words
@@ -20,6 +20,9 @@ from .words import NONSPACE, U, mix, shingles, words
 PLACES, ROWS = 128, 4
 #: Ids whose table may be broadcast (16 MB); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: Places of the signatures that blocks are compared by, nodes of a block, and
+#: nodes up to which a family is compared as a whole.
+CHECK_PLACES, BLOCK, FAMILY = 256, 512, 20_000
 
 
 def distinct_shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,20 +77,79 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, one_task: int = 50_000) -> DataFrame:
+def block_links(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found by comparing all nodes of each group (gid, i, j)
+    that are in different components: rows (gid, i, j, node, component, mine,
+    shingles), mine the node's own block, i or j.
+
+    In a task, signatures of 256 places give estimates; pairs estimated within
+    5.5 standard deviations of the threshold are checked on the full sets,
+    likeliest first, unless links found before already connect them.  Only
+    links leave the task.
+    """
+    least = int(CHECK_PLACES * percent / 100 - 5.5 * (CHECK_PLACES * percent / 100 * (1 - percent / 100)) ** 0.5)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        node, component, mine, sets = zip(*rows, strict=True)
+        if len(set(component)) < 2:
+            return []
+        size, own, cross = np.array([len(x) for x in sets]), np.array(mine), len(set(mine)) > 1
+        first = np.concatenate([[0], np.cumsum(size)])
+        sig = signatures(np.concatenate(sets).view(U), first, CHECK_PLACES).astype(np.uint8)
+        comp = np.array(component)
+        pairs: list[tuple[int, int, int]] = []
+        for s in range(0, len(rows), 32):
+            x = slice(s, min(s + 32, len(rows)))
+            same = (sig[x][:, None, :] == sig[None]).sum(axis=2, dtype=np.int16)
+            good = (same >= least) & (comp[x][:, None] != comp[None]) & (np.arange(s, x.stop)[:, None] < np.arange(len(rows))[None])
+            good &= 100 * np.minimum(size[x][:, None], size[None]) >= percent * np.maximum(size[x][:, None], size[None])
+            if cross:
+                good &= own[x][:, None] != own[None]
+            i, j = np.nonzero(good)
+            pairs += zip(same[i, j].tolist(), (i + s).tolist(), j.tolist(), strict=True)
+        pairs.sort(key=lambda p: -p[0])
+        forest, made, out = Forest(), {}, []
+        for _, i, j in pairs:
+            if forest.root(component[i]) != forest.root(component[j]):
+                x, y = (made.setdefault(k, frozenset(sets[k].tolist())) for k in (i, j))
+                common = len(x & y)
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    forest.join(component[i], component[j])
+                    out.append((node[i], node[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        last, found = None, []
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("gid", "i", "j", "node", "component", "mine")]
+            sets = b.column("shingles").to_numpy(zero_copy_only=False)
+            for gid, i, j, node, component, mine, x in zip(*columns, sets, strict=True):
+                if (gid, i, j) != last:
+                    found += compare(rows) if len(rows) > 1 else []
+                    rows, last = [], (gid, i, j)
+                rows.append((node, component, mine, x))
+        found += compare(rows) if len(rows) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=schema)
+
+    return groups.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, one_task: int = 50_000, block: int = BLOCK, family_limit: int = FAMILY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     1. One map makes each document's set key and band keys; documents with
        equal sets become one node, its smallest id, by a pre-aggregated
        groupBy, so thousands of copies cost one.
-    2. In each band's bucket the smallest node is compared with the others,
-       first only the smallest of all a node's buckets; what is as similar as
-       asked by its full sets is linked, and links become components.
-    3. Buckets whose nodes are still in several components go on: a growing
-       number of leaders, drawn by hash, is compared with every node of other
-       components, until each bucket is in one component or all its leaders
-       were compared.  Nothing is capped; buckets that agree stop early, so
-       no group emits all its pairs.
+    2. A node is compared with the smallest node of all its buckets, on full
+       sets; links become components by union-find.
+    3. Nodes that buckets connect are a family.  In a family that is still in
+       several components, blocks of bounded size are compared with each
+       other, in parallel tasks, by signatures and then by full sets, leaving
+       out pairs already connected.  A family over `family_limit` nodes is
+       compared by bucket instead.  Nothing is capped, and pairs do not leave
+       the tasks that compare them.
 
     Null or empty texts and texts of white space have no set and link with
     nothing; fewer than n words are one shingle.  Rows that share an id are
@@ -101,55 +163,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     flat = reps.select(F.explode("bands").alias("band"), F.col("rep").alias("node"), "size")
     heads = flat.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("other"), F.min_by("size", "node").alias("head_size")).where("head <> other").select("band", "head", "head_size")
     bucket = stored(flat.join(heads, "band"), "buckets")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of such sizes can be similar enough
-    pairs = stored(bucket.where("node <> head").where(fits(F.col("size"), F.col("head_size"))).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared")), "pairs")
-    met = bucket.select("node").distinct()
-    ids = stored(met, "met")
+    stars = stored(bucket.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"), F.max("head_size").alias("head_size")), "stars")
+    fits = 100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size")  # else the sets cannot be similar enough
+    ids = stored(bucket.select("node").distinct(), "met")
     few = ids.count() <= broadcast_ids
     chosen = source.where("node is not null").join(F.broadcast(ids) if few else ids, "node", "left_semi")
     sets = stored(shingle_sets(chosen, n).dropDuplicates(["node"]), "sets")
 
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tested = stored(first, "tested-first")
-    links = stored(verified(tested, sets, percent), "links-first")
+    first = stars.where(fits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(verified(first, sets, percent), "links-first")
     component = connected(links, one_task)
-    rest = pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-    rest = _apart(rest, component)
-    second = stored(rest, "tested-second")
-    if second.limit(1).count():
-        links = stored(links.unionByName(verified(second, sets, percent)), "links")
-        component = connected(links, one_task)
-    tested = tested.unionByName(second)
-
-    leaders = 16
-    while True:
-        labelled = bucket.select("band", "node", "size").join(component, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("component"))
-        split = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("band", "n")
-        open_ = stored(labelled.join(split, "band"), "open")
-        if not open_.limit(1).count():
-            break
-        # a share of leaders / n of a bucket's nodes, drawn by hash; all of them once n is no larger
-        lead = open_.where((F.pmod(F.xxhash64("node", "band"), F.lit(1 << 20)) * F.col("n")) < F.lit(leaders << 20)).select("band", F.col("node").alias("l"), F.col("size").alias("ls"), F.col("component").alias("lc"))
-        new = open_.join(lead, "band").where("component <> lc").where(fits(F.col("size"), F.col("ls"))).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
-        new = stored(new.join(tested, ["a", "b"], "left_anti"), "tested-more")
-        everything = open_.where(F.col("n") > leaders).limit(1).count() == 0
-        if new.limit(1).count():
-            links = stored(links.unionByName(verified(new, sets, percent)), "links")
-            component = connected(links, one_task)
-            tested = tested.unionByName(new)
-        if everything:
-            break
-        leaders *= 8
+    family = connected(stars, one_task).withColumnRenamed("component", "family")
+    nodes = stored(family.join(component, "node", "left").join(ids, "node").select("family", "node", F.coalesce("component", "node").alias("component")), "nodes")
+    open_ = nodes.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("family", "n")
+    members = nodes.join(open_, "family")
+    small = members.where(F.col("n") <= family_limit).select(F.col("family").alias("gid"), "node", "component", "n")
+    large = members.where(F.col("n") > family_limit).select("node", "component").join(bucket.select("band", "node"), "node")
+    split = large.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
+    large = large.join(split, "band").select(F.col("band").alias("gid"), "node", "component", "n")
+    blocks = small.unionByName(large).join(sets, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "mine", "shingles")
+    more = stored(block_links(blocks, percent), "links-more")
+    if more.limit(1).count():
+        component = connected(links.unionByName(more), one_task)
 
     member = reps.select("k1", "k2", "rep").join(component, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select(F.col("node").alias("doc_id"), F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("node").isNotNull(), F.struct("k1", "k2")).alias("set"))
     grouped = out.where("set is not null").withColumns({"k1": F.col("set.k1"), "k2": F.col("set.k2")}).join(member, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     single = out.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(single).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component."""
-    x = component.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
