@@ -22,6 +22,8 @@ GRAM = 64
 GROUP = 2000
 #: Keys that may be broadcast (16 MB); more are joined by shuffling.
 BROADCAST_KEYS = 1_000_000
+#: Bytes of text whose anchors are found at once.
+ANCHOR_BYTES = 1 << 19
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 20
 
@@ -36,7 +38,7 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", ANCHOR_BYTES):
             a = find_anchors(texts_of(b.column("text")), length, GRAM)
             key = b.column("key").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(key[a.text]), pa.array(a.start), pa.array(a.many.astype(np.int32)), pa.array(a.gram), pa.array(a.span)], schema=_ANCHOR)

@@ -12,6 +12,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a worker turns into numpy arrays at once.
@@ -83,8 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
     """The batches cut so that the named text column has at most `most` bytes
     in each piece, or one row: memory is bounded by the longest document."""
     for batch in batches:
-        sizes = np.asarray(batch.column(name).cast(pa.binary()).fill_null(b"").to_pylist(), dtype=object)
-        total = np.cumsum([len(x) for x in sizes]) if len(sizes) else np.zeros(0)
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = total[start - 1] if start else 0
