@@ -1,17 +1,14 @@
-"""All registered queries, by name."""
+"""All registered queries and their oracles, by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from .plans import evaluate, ingest, relate, text_queries  # noqa: F401  they register
+from .plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
