@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluate, ingest, relate, text_queries  # noqa: F401  they register
+from .plans import evaluate, ingest, more, relate, text_queries  # noqa: F401  they register
 from .plans.registry import ORACLES, QUERIES, Query
 
 

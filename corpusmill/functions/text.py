@@ -3,6 +3,8 @@ numbers, delimited spans.  All are Spark columns, evaluated in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,3 +119,17 @@ LEAK_RULES = {
 def leaks(text: Column) -> Column:
     """Names of the rules that a text breaks, in the table's order."""
     return F.array_compact(F.array(*[F.when(text.rlike(rule), F.lit(name)) for name, rule in LEAK_RULES.items()]))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once: as a lambda's variable it is
+    not copied into inner lambdas, where it would be computed for each of
+    their elements."""
+    return F.transform(F.array(value), use)[0]
+
+
+def word_windows(text: Column, n: int) -> Column:
+    """64-bit hashes of the runs of n words of the normalised text; fewer
+    words give none."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+    return bound(F.split(normalised(text), " "), lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<bigint>")))

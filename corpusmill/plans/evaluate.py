@@ -156,8 +156,7 @@ def cmp_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 
     def grams(df: DataFrame, key: str) -> DataFrame:
-        w = df.select(key, F.split(T.normalised(F.col("text")), " ").alias("w")).where(F.size("w") >= 8)
-        return w.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " ")))).alias("g"))
+        return df.select(key, F.explode(T.word_windows(F.col("text"), 8)).alias("g"))
 
     items = grams(table(spark, sf_dir, "benchmark"), "item_id").distinct()
     return grams(table(spark, sf_dir, "documents"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count_distinct("g").alias("shared"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def file_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all files below root except version control's, in
     distributed reads (SRC-09); relative paths."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.concat(F.regexp_replace(F.lit(root), r"^file:(//)?|/$", ""), F.lit("/"))
+    base = re.sub(r"^file:(//)?", "", root).rstrip("/") + "/"
     relative = F.substring_index(F.col("path"), base, -1)
     return files.select(relative.alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\.git/"))
 
