@@ -20,7 +20,8 @@ TOOL_TABLE = [
     ("run_tests", "Run an allow-listed repository test profile.", "profile"),
     ("shell", "Run a restricted allow-listed command. It is disabled in the pilot.", "command"),
 ]
-SCHEMA_VERSION = "qwen38-six-tools-v1"
+#: Version tag of this tool surface; pass the tag your rows carry.
+SCHEMA_VERSION = "six-tools-v1"
 PROFILES = ["unit"]
 
 
@@ -87,10 +88,16 @@ CALL = r"(?s)<tool_call>\s*<function=([^>\n]+)>\s*(.*?)</function>\s*</tool_call
 PARAMETER = r"(?s)<parameter=([^>\n]+)>(?:\r?\n)?(.*?)\s*</parameter>"
 
 
+def last_of_each(pairs: Column) -> Column:
+    """A map of (k, v) pairs in which the last value of a key wins, whatever
+    the session's policy for repeated keys."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+
+
 def parse_tool_calls(raw: Column) -> Column:
     """Calls of a completion: array of (name, arguments); a parameter given
-    twice keeps its last value, a patch its inner white space (FN-07).  Needs
-    spark.sql.mapKeyDedupPolicy=LAST_WIN where parameters repeat."""
+    twice keeps its last value, a patch its inner white space (FN-07)."""
     _, content = T.split_reasoning(raw)
     names = F.regexp_extract_all(content, F.lit(CALL), F.lit(1))
     bodies = F.regexp_extract_all(content, F.lit(CALL), F.lit(2))
@@ -98,7 +105,8 @@ def parse_tool_calls(raw: Column) -> Column:
     def arguments(body: Column) -> Column:
         keys = F.transform(F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(1)), T.strip)
         values = F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(2))
-        return F.map_from_arrays(keys, F.zip_with(keys, values, lambda k, v: F.when(k == "patch", F.regexp_replace(v, r"[\r\n]+\z", "")).otherwise(T.strip(v))))
+        pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), F.when(k == "patch", F.regexp_replace(v, r"[\r\n]+\z", "")).otherwise(T.strip(v)).alias("v")))
+        return T.bound(pairs, lambda p: last_of_each(p))
 
     return F.zip_with(names, bodies, lambda n, b: F.struct(T.strip(n).alias("name"), arguments(b).alias("arguments")))
 

@@ -65,7 +65,7 @@ def message_errors(messages: Column, names: Column, arguments_ok: Column | None
     return F.aggregate(indexed, state, step, finish)
 
 
-def validate(version: Column, stored: Column, declared: Column, messages: Column, verified: Column) -> Column:
+def validate(version: Column, stored: Column, declared: Column, messages: Column, verified: Column, tag: str = M.SCHEMA_VERSION) -> Column:
     """All errors of a trajectory row in rule order (V1 to V14): code, message
     index (-1 for the row) and detail.  Without messages that is the only
     error, whatever else is wrong."""
@@ -73,7 +73,7 @@ def validate(version: Column, stored: Column, declared: Column, messages: Column
     names = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for name, _, arg in M.TOOL_TABLE for x in (name, [arg])])
     row = F.lit(-1)
     before = F.concat(
-        _some(~version.eqNullSafe(F.lit(M.SCHEMA_VERSION)), _error("schema_version", row)),
+        _some(~version.eqNullSafe(F.lit(tag)), _error("schema_version", row)),
         _some(~stored.eqNullSafe(F.lit(want)), _error("schema_json", row)),
         _some(~F.coalesce(declared, F.lit("[]")).eqNullSafe(F.lit(want)), _error("tools_differ", row)),
     )

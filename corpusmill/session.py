@@ -11,7 +11,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",

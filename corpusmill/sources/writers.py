@@ -30,7 +30,7 @@ def manifest(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).limit(1).coalesce(1).write.text(path)
 
 
-def corpus_text(df: DataFrame, path: str, key: str, n: int = 512, separator: str = "calibration_document") -> None:
+def corpus_text(df: DataFrame, path: str, key: str, n: int = 512, separator: str = "<|calibration_document|>") -> None:
     """The first n texts by key, with a separator line between them (SNK-04)."""
     first = df.orderBy(key).limit(n).select(F.col("text").alias("value"))
     first.write.option("lineSep", f"\n{separator}\n").text(path)

@@ -65,7 +65,7 @@ def test_other_sinks(spark, tmp_path):
     writers.manifest(df.where("id = 1"), str(tmp_path / "m"))
     assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == {"id": 1, "text": "a"}
     writers.corpus_text(df, str(tmp_path / "c"), "id", 2)
-    assert sorted(r[0] for r in spark.read.option("lineSep", "\ncalibration_document\n").text(str(tmp_path / "c")).collect()) == ["a", "b"]
+    assert sorted(r[0] for r in spark.read.option("lineSep", "\n<|calibration_document|>\n").text(str(tmp_path / "c")).collect()) == ["a", "b"]
 
 
 def test_fingerprint_survives_a_parquet_round_trip(spark, tmp_path):
