@@ -15,7 +15,7 @@ from .normal import Normal, automaton, word_list
 from .shared import named, numbered, texts_of
 
 #: Bytes of benchmark text in one automaton; more text makes more automata.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 19
 
 _built: dict[str, object] = {}
 
@@ -64,7 +64,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_co
     and it is dealt by a hash of the text to as many blocks as hold
     `block_bytes` each; each block is one automaton and one map over the
     documents, without a shuffle, so one automaton is all there is up to
-    16 MB.  A null or empty text has no words and no hits; an empty benchmark
+    0.5 MB (each of its windows is 13 words long, so it holds 13 times that).  A null or empty text has no words and no hits; an empty benchmark
     hits nothing; repeated items count by id; documents may repeat.
     """
     spark = docs.sparkSession
