@@ -61,7 +61,7 @@ def fit(sample: np.ndarray, k: int, aim: float, seed: int = 1) -> Quantiser:
     return out
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 48, aim: float = 0.98, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 256, aim: float = 0.99, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is divisible by
     `every`, the k nearest other rows found, by cosine, ties to the smaller id.
 
@@ -70,7 +70,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 48, a
     its k + 1 smallest ids, and one query, so large groups of copies cost
     little.  Candidates are dealt to blocks by cluster and hash, queries to
     the blocks of the clusters they probe; a block scans its codes, takes the
-    `rerank` best of each query and scores those exactly in double precision.
+    best of each query, `rerank` and a sixteenth of the block at least, and
+    scores those exactly in double precision.
     As many clusters are probed as give a recall of `aim` on the sample.
 
     Null ids, and vectors that are null, zero, hold null or non-finite
@@ -128,7 +129,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 48, a
         out: list[list] = [[], [], []]
         for a in range(0, len(keys), 64):
             score = q.scan(ask[a : a + 64], group[0].as_py(), codes)
-            best = np.argpartition(-score, min(rerank, score.shape[1]) - 1, axis=1)[:, :rerank]
+            n = min(max(rerank, score.shape[1] // 16), score.shape[1])
+            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
             exact = np.einsum("qd,qrd->qr", ask[a : a + 64], x[best])
             order = np.lexsort((first[best], -exact))[:, : k + 1]
             for i, key in enumerate(keys[a : a + 64].tolist()):

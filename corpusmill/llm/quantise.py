@@ -43,7 +43,12 @@ class Quantiser:
         x = self._padded(x)
         self.weight = max((self.d - 1) * t * t / (1 - t * t), 1.0)
         self.centres = k_means(x, clusters, 10, seed)
-        r = x - self.centres[self.cluster(x)]
+        own = self.cluster(x)
+        r = x - self.centres[own]
+        # a tight cluster's residuals are coded as finely, for their size, as a wide one's
+        total = np.bincount(own, weights=(r * r).sum(axis=1), minlength=clusters) / np.maximum(np.bincount(own, minlength=clusters), 1)
+        self.scale = np.maximum(np.sqrt(total), 1e-6).astype(np.float32)
+        r = r / self.scale[own][:, None]
         self.books = np.stack([k_means(r[:, self._part(s)], CODES, 8, seed + s) for s in range(self.m)])
         codes = np.stack([((self.books[s] ** 2).sum(axis=1)[None] - 2 * r[:, self._part(s)] @ self.books[s].T).argmin(axis=1) for s in range(self.m)], axis=1)
         for _ in range(rounds):
@@ -93,7 +98,7 @@ class Quantiser:
         """Cluster and codes of unit vectors."""
         x = self._padded(x)
         own = self.cluster(x)
-        r = x - self.centres[own]
+        r = (x - self.centres[own]) / self.scale[own][:, None]
         codes = np.stack([((self.books[s] ** 2).sum(axis=1)[None] - 2 * r[:, self._part(s)] @ self.books[s].T).argmin(axis=1) for s in range(self.m)], axis=1)
         for _ in range(2):
             codes = self._improve(x, r, codes)
@@ -109,7 +114,7 @@ class Quantiser:
         out = np.repeat((q @ self.centres[cluster])[:, None], len(codes), axis=1)
         for s in range(self.m):
             tables = q[:, self._part(s)] @ self.books[s].T
-            out += tables[:, codes[:, s]]
+            out += (self.scale[cluster] * tables)[:, codes[:, s]]
         return out
 
 
