@@ -97,7 +97,7 @@ class Bpe:
     """A tokenizer file's merges as sorted arrays, and a bounded memory of
     pre-tokens already encoded."""
 
-    MEMORY = 400_000
+    MEMORY = 250_000
     BITS = 18
 
     def __init__(self, path: str) -> None:

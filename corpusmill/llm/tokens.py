@@ -17,7 +17,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     """(doc_id, n_bytes, n_tokens, over_limit) of each row.
 
     tokenizer: path of a byte-level BPE file, on every executor.  One map over
-    the rows without a shuffle; a worker holds 2 MB of text, or one document,
+    the rows without a shuffle; a worker holds 1 MB of text, or one document,
     at a time.  A null text counts as empty: 0 bytes, 0 tokens.  A null id
     stays null; repeated rows give repeated rows; an empty table gives none.
     Other columns are not read.
