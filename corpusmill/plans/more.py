@@ -92,7 +92,8 @@ def _shingles(n: str) -> str:
 )
 def cmp_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-08, CMP-26: pairs of different texts with a similarity of 0.75 or
-    more on sets of five words, exactly.
+    more on sets of five words, exactly.  Pairs are between representatives;
+    cmp_near_dedup_members says which texts each stands for.
 
     Texts with equal sets become one (their smallest id) first.  Then prefix
     filtering: with shingles ordered from rare to common, two sets as similar
@@ -114,3 +115,20 @@ def cmp_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = reps.select(F.col("id").alias("a"), F.col("s").alias("x")), reps.select(F.col("id").alias("b"), F.col("s").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
     return both.withColumn("either", F.size("x") + F.size("y") - F.col("shared")).where(100 * F.col("shared") >= 75 * F.col("either")).select("a", "b", "shared", "either")
+
+
+@query(
+    f"""WITH k AS ({_shingles('doc_id')}), m AS (SELECT id, md5(list_aggregate(list_sort(s), 'string_agg', '|')) AS h FROM k)
+    SELECT id AS doc_id, min(id) OVER (PARTITION BY h) AS representative, count(*) OVER (PARTITION BY h) AS copies FROM m"""
+)
+def cmp_near_dedup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-08, CMP-26: every text of five words or more with the representative
+    that stands for it in cmp_near_dedup, and how many texts that one stands
+    for.  Two texts are linked if they share a representative or if theirs are
+    a pair.  Only ids and digests of the sets are joined."""
+    windows = F.array_sort(F.array_distinct(T.word_windows(F.col("text"), 5)))
+    digest = T.bound(windows, lambda s: F.when(F.size(s) > 0, F.sha2(F.array_join(s, "|"), 256)))
+    # exploded and dealt out by id: a filter would compute the digest again, each side of the join too
+    sets = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.array(digest)).alias("h")).where("h is not null").repartition("doc_id")
+    reps = sets.groupBy("h").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies"))
+    return sets.join(reps, "h").select("doc_id", "representative", "copies")
