@@ -24,21 +24,23 @@ def usable(vector: Column, d: int) -> Column:
 
 
 def _smallest_ids(vectors: DataFrame, most: int) -> DataFrame:
-    """(vector, ids): each different vector with its `most` smallest ids.
-    Copies are cut down in every batch before the shuffle; a copy beyond the
-    smallest ids can be nobody's neighbour, for those tie and come first."""
+    """(vector, ids): each different vector with its `most` smallest different
+    ids; rows repeated with the same id take one place.  Copies are cut down
+    in every batch before the shuffle; a copy beyond the smallest ids can be
+    nobody's neighbour, for those tie and come first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, raw = b.column("id").to_numpy(), np.stack(b.column("vector").to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, 1))
             order = np.lexsort((ids, *(raw.T[::-1])))
             new = np.concatenate([[True], (raw[order][1:] != raw[order][:-1]).any(axis=1)]) if len(ids) else np.zeros(0, bool)
-            place = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0)
-            yield b.take(pa.array(np.sort(order[place < most])))
+            other = new | np.concatenate([[True], ids[order][1:] != ids[order][:-1]]) if len(ids) else new
+            place = other.cumsum() - np.maximum.accumulate(np.where(new, other.cumsum(), 0))
+            yield b.take(pa.array(np.sort(order[other & (place < most)])))
 
     few = vectors.mapInArrow(cut, vectors.schema)
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("rank") <= most)
-    return ranked.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    ranked = few.withColumn("rank", F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("rank") <= most)
+    return ranked.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def fit(sample: np.ndarray, k: int, aim: float, seed: int = 1) -> Quantiser:
@@ -83,7 +85,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 256,
     sizes = raw.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     d = sizes[0]["d"] if sizes and sizes[0]["d"] > 0 else 1
     rows = raw.where(usable(F.col("vector"), d))
-    items = stored(_smallest_ids(rows, k + 1).withColumn("ids", F.array_distinct("ids")), "items")
+    items = stored(_smallest_ids(rows, k + 1), "items")
     sample = items.orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).select("vector").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
