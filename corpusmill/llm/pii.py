@@ -168,8 +168,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", spans_col: str =
     code points, end exclusive, by kind in the order of KINDS, then start.
 
     Base spans are what the rules find; a further span is a candidate whose
-    score passes its kind's threshold and that overlaps no base span.  A null
-    or empty text has no spans.  All in one projection chain, no shuffle.
+    score passes its kind's threshold, whether or not it overlaps base spans.
+    A null or empty text has no spans.  All in one projection chain, no shuffle.
     """
     none = F.array().cast(SPAN)
     names = docs.columns
@@ -186,8 +186,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", spans_col: str =
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[f(s["value"], before).cast("double").alias(name) for name, f, _ in FEATURES])
 
         out = out.withColumn(f"_{kind}", F.transform(found, described))
-        chosen = F.filter(f"_{kind}", _passing(trees, least))
-        out = out.withColumn(f"_{kind}", F.filter(chosen, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+        out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", _passing(trees, least)))
     more = [F.transform(f"_{k}", _labelled(k, False)) for k in GENERATORS]
     return named(out.withColumn(spans_col, F.concat("_base", *more)), names, spans_col)
 
@@ -208,12 +207,13 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each found span of the text replaced by its kind in brackets;
-    of spans that overlap the first stands for all.  A null text stays null."""
+    of spans that overlap the first, and of those the longest, stands for
+    all.  A null text stays null."""
     names = docs.columns
     place = f"c{names.index(text_col)}"
     found = find_personal_data(numbered(docs), place)
     text = F.col(place)
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], -s["end"], s["end"].alias("end"), s["kind"])))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
