@@ -73,6 +73,14 @@ def agg_token_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("rows", "tokens", "longest", *[F.round(F.col("p")[i], 6).alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))])
 
 
+@query(f"SELECT CAST(trunc(quantile_cont(n, 0.5)) AS BIGINT) AS median, CAST(trunc(quantile_cont(n, 0.9)) AS BIGINT) AS p90, max(n) AS longest FROM (SELECT {WORDS} AS n FROM documents)")
+def agg_token_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-06: median, p90 and max, cut to whole numbers, over all rows."""
+    n = table(spark, sf_dir, "documents").select(T.word_count(F.col("text")).alias("n"))
+    p = n.agg(F.percentile("n", F.array(F.lit(0.5), F.lit(0.9))).alias("p"), F.max("n").alias("longest"))
+    return p.select(F.col("p")[0].cast("long").alias("median"), F.col("p")[1].cast("long").alias("p90"), "longest")
+
+
 @query(f"SELECT role, count(*) AS turns, round(avg({WORDS}), 6) AS mean_tokens, round(quantile_cont({WORDS}, 0.95), 6) AS p95, max(length(text)) AS longest_chars FROM conversations GROUP BY role")
 def agg_length_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-07/08/12/15: lengths by kind of message."""
