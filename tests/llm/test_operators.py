@@ -182,7 +182,7 @@ def family(seed, n):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 7, "one_task": 0, "broadcast_ids": 0}, {"family_limit": 5, "block": 9}])
+@pytest.mark.parametrize("options", [{}, {"block": 7, "one_task": 0, "broadcast_ids": 0}, {"elements": 700}])
 def test_near_duplicates(spark, options):
     rows = [*DOCS, *((100 + k, t) for k, t in enumerate(family(11, 40) + family(12, 30)))]
     out = neardup.near_duplicates(frame(spark, rows), **options).collect()
