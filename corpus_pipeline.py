@@ -14,14 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontaminate import find_contamination, is_contaminated
-from corpusmill.llm.neardup import near_duplicates
+from corpusmill.llm.neardup import one_of_each
 from corpusmill.llm.packing import pack
 from corpusmill.llm.pii import redact
 from corpusmill.llm.shared import named, numbered, stored, table
 from corpusmill.llm.toxicity import score_toxicity, toxicity_model
 
-#: A stage that reads this many ids or fewer may broadcast them (16 MB).
-BROADCAST_IDS = 1_000_000
 TOXIC = 0.7
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,13 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays; rows that share
-    an id stay together."""
-    names = docs.columns
-    dropped = stored(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
-    rows = numbered(docs)
-    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return named(rows.join(side, rows[f"c{names.index('doc_id')}"] == side["dropped"], "left_anti"), names)
+    """Of each group of near duplicates one row stays, the smallest id's."""
+    return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
