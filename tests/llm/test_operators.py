@@ -120,7 +120,7 @@ def test_decontamination(spark, docs, empty):
     assert rows_of(decontaminate.decontamination_report(docs, benchmark)) == sorted(expected, key=repr)
     assert decontaminate.decontamination_report(empty, benchmark).count() == 0
     assert not decontaminate.decontamination_report(docs, benchmark.limit(0)).where("n_hit > 0").count()
-    one, many = (decontaminate.find_contamination(docs.select("doc_id", "text"), benchmark, block_bytes=n).select("doc_id", F.col("_found.n_hit").alias("n"), F.col("_found.spans").alias("s"), F.col("_found.items").alias("i")) for n in (1 << 20, 300))
+    one, many = (decontaminate.find_contamination(docs.select("doc_id", "text"), benchmark, most_bytes=n).select("doc_id", F.col("_found.n_hit").alias("n"), F.col("_found.spans").alias("s"), F.col("_found.items").alias("i")) for n in (1 << 20, 300))
     assert rows_of(one) == rows_of(many)
     for r in one.where("doc_id = 12").collect():
         text = dict(DOCS)[12].encode()
