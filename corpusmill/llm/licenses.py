@@ -4,6 +4,7 @@ phrases; a shunting-yard parser evaluates and/or/with expressions."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,16 +45,39 @@ NOTICES = {
     "creative commons attribution": ("cc-by", 0.8),
 }
 BASE_WEIGHTS = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.6}
-#: Tags after which a licence expression stands until the end of its line.
-TAGS = ("spdx license identifier", "license expression")
+#: Tags after which, behind a colon or an equals sign, a licence expression
+#: stands on the same line, and the label where none does.
+TAGS = {"spdx license identifier": "expression-invalid", "license expression": ""}
+_LINE_END = re.compile(rb"[\r\n]")
+_OPENING = re.compile(rb"[\"']?[ \t]*[:=][ \t]*[\"']?")
 
 #: How strict each known family is, from public domain (0) to reserved (4).
-STRICTNESS = {"cc0": 0, "unlicense": 0, "0bsd": 0, "mit": 1, "bsd": 1, "isc": 1, "apache": 1, "cc-by": 1, "zlib": 1, "mpl": 2, "lgpl": 2, "epl": 2, "gpl": 3, "agpl": 3, "cc-by-sa": 3, "cc-by-nc": 4, "cc-by-nd": 4}
-_TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
+STRICTNESS = {"cc0": 0, "unlicense": 0, "0bsd": 0, "wtfpl": 0, "mit": 1, "bsd": 1, "isc": 1, "apache": 1, "cc-by": 1, "zlib": 1, "x11": 1, "ncsa": 1, "artistic": 1, "bsl": 1, "postgresql": 1, "python": 1, "psf": 1, "unicode": 1, "openssl": 1, "libpng": 1, "curl": 1, "mpl": 2, "lgpl": 2, "epl": 2, "cddl": 2, "eupl": 2, "ofl": 2, "ms-pl": 2, "ms-rl": 2, "gpl": 3, "agpl": 3, "sspl": 3, "cc-by-sa": 3, "cc-by-nc": 4, "cc-by-nd": 4, "busl": 4}
+_TOKEN = re.compile(rb"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
+#: Shapes of identifiers without a known family: a dotted version at the end,
+#: or a reference.
+_SHAPE = re.compile(r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*-v?\d+(?:\.\d+)+(?:-only|-or-later)?\+?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+_EXCEPTION = re.compile(r"[a-z0-9.-]*exception[a-z0-9.-]*|[a-z][a-z0-9]*(?:-[a-z0-9]+)*-v?\d+(?:\.\d+)+")
 #: Operators from the loosest to the tightest.
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
+def _family(name: str) -> str | None:
+    fit = [k for k in STRICTNESS if name == k or name.startswith(f"{k}-")]
+    return max(fit, key=len) if fit else None
+
+
+def is_identifier(word: str) -> bool:
+    """Whether a word is a licence identifier: a known family, alone and not
+    written like a plain word, or with a tail that has a digit; or a word of
+    an identifier's shape."""
+    name = word.lower().rstrip("+")
+    family = _family(name)
+    if family == name:
+        return word != name or not name.isalpha()
+    return family is not None and any(c.isdigit() for c in name[len(family) :]) or _SHAPE.fullmatch(word.lower()) is not None
+
+
 @dataclass(frozen=True)
 class Terms:
     """What an expression comes to: its licences and the strictness that must
@@ -65,19 +89,20 @@ class Terms:
 
 
 def _strictness(name: str) -> int:
-    fit = [k for k in STRICTNESS if name == k or name.startswith(f"{k}-")]
-    return STRICTNESS[max(fit, key=len)] if fit else 4
+    family = _family(name)
+    return 4 if family is None else STRICTNESS[family]
 
 
-def parse(text: str) -> tuple[Terms | None, int]:
-    """Evaluate the longest prefix of text that is a licence expression, by
-    the shunting-yard algorithm: the terms and the prefix's length, or None
-    and 0 where none stands."""
+def parse(raw: bytes, start: int = 0, stop: int | None = None) -> tuple[Terms | None, int]:
+    """Evaluate the longest run from start on that is a licence expression, by
+    the shunting-yard algorithm: the terms and the place where it ends, or
+    None and start where none stands.  Identifiers are those that look like
+    licences, so prose gives none; an `and` before prose ends the expression."""
     values: list[Terms] = []
     ops: list[str] = []
-    opened: list[int] = []
-    best: tuple[Terms | None, int] = (None, 0)
-    want_value, at = True, 0
+    stop = len(raw) if stop is None else stop
+    best: tuple[Terms | None, int] = (None, start)
+    want_value, at = True, start
 
     def reduce_top(values: list[Terms], op: str) -> None:
         b, a = values.pop(), values.pop()
@@ -86,16 +111,14 @@ def parse(text: str) -> tuple[Terms | None, int]:
             ids = a.ids | frozenset(f"exception:{x}" for x in b.ids)
         values.append(Terms(ids, {"or": min(a.strictness, b.strictness), "and": max(a.strictness, b.strictness), "with": max(a.strictness - 1, 0)}[op]))
 
-    while m := _TOKEN.match(text, at):
-        paren, word = m.groups()
-        if paren == "(" and want_value:
+    while m := _TOKEN.match(raw, at, stop):
+        paren, word = (x and x.decode() for x in m.groups())
+        if paren == "(" and want_value and (not ops or ops[-1] != "with"):
             ops.append("(")
-            opened.append(len(values))
         elif paren == ")" and not want_value and "(" in ops:
             while ops[-1] != "(":
                 reduce_top(values, ops.pop())
             ops.pop()
-            opened.pop()
         elif word and word.lower() in PRECEDENCE and not want_value:
             op = word.lower()
             while ops and ops[-1] != "(" and PRECEDENCE[ops[-1]] >= PRECEDENCE[op]:
@@ -105,8 +128,13 @@ def parse(text: str) -> tuple[Terms | None, int]:
             at = m.end()
             continue
         elif word and want_value and word.lower() not in PRECEDENCE:
-            name = word.lower().rstrip(".:") or word.lower()
-            values.append(Terms(frozenset([name]), _strictness(name)))
+            word = word.rstrip(".:")
+            excepted = ops and ops[-1] == "with"
+            # the last word of a line may be written in any way: nothing of a sentence follows
+            alone = not raw[m.end() : min(stop, m.end() + 80)].strip(b" \t\r\"'*/#;,.-<>!") and _family(word.lower()) == word.lower()
+            if not (_EXCEPTION.fullmatch(word.lower()) if excepted else is_identifier(word) or alone):
+                break
+            values.append(Terms(frozenset([word.lower()]), _strictness(word.lower())))
         else:
             break
         want_value = paren == "("
@@ -134,8 +162,8 @@ def machine():
         phrases.setdefault(p, []).append(("base", label, BASE_WEIGHTS[label], len(p.split())))
     for p, (label, weight) in NOTICES.items():
         phrases.setdefault(p, []).append(("notice", label, weight, len(p.split())))
-    for p in TAGS:
-        phrases.setdefault(p, []).append(("tag", "", 0.0, len(p.split())))
+    for p, label in TAGS.items():
+        phrases.setdefault(p, []).append(("tag", label, 0.0, len(p.split())))
     return automaton(phrases)
 
 
@@ -146,16 +174,19 @@ def scan(raw: bytes, found) -> Scan:
     out = Scan(doc.words, [], {}, [])
     if not doc.text:
         return out
+    ends = [m.start() for m in _LINE_END.finditer(raw)] if any(t in doc.text for t in TAGS) else []
     for end, values in found.iter(doc.text):
         last = doc.word_before(end)
         for kind, label, weight, n in values:
             if kind == "tag":
-                place = int(doc.bounds()[1][last - 1])
-                stop = raw.find(b"\n", place)
-                line = raw[place : stop if stop >= 0 else len(raw)].decode("utf-8", "replace").lstrip("\"' \t:=")
-                terms, size = parse(line)
-                out.expressions.append((line[:size].strip(), terms))
-                for x in terms.ids if terms else ["expression-invalid"]:
+                m = _OPENING.match(raw, int(doc.bounds()[1][last - 1]))
+                if not m:
+                    continue
+                k = bisect_left(ends, m.end())
+                terms, stop = parse(raw, m.end(), ends[k] if k < len(ends) else len(raw))
+                if terms or label:
+                    out.expressions.append((raw[m.end() : stop].decode("utf-8", "replace").strip(), terms))
+                for x in terms.ids if terms else filter(None, [label]):
                     out.labels[x] = max(out.labels.get(x, 0), 1.0 if terms else 0.3)
                 continue
             if kind == "base":

@@ -140,13 +140,13 @@ def test_cutting_patterns_meet_demand_with_little_waste():
     ],
 )
 def test_licence_expressions(text, ids, strictness):
-    terms, _ = parse(text)
+    terms, _ = parse(text.encode())
     assert terms.ids == ids and terms.strictness == strictness
 
 
 @pytest.mark.parametrize("text", ["", "AND MIT", "(MIT", ") MIT", "*"])
 def test_wrong_licence_expressions(text):
-    assert parse(text)[0] is None
+    assert parse(text.encode())[0] is None
 
 
 def test_four_bit_codes_round_trip():
