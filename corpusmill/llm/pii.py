@@ -39,7 +39,7 @@ GATES: dict[str, Callable[[Column], Column]] = {
 GENERATORS = {
     "account": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]?[0-9]{8,12})(?![A-Za-z0-9])",
     "localphone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
-    "secret": r"[A-Za-z0-9+/_=-]{16,}+",
+    "secret": r"[A-Za-z0-9+/_-]{16,}+={0,2}",
 }
 KINDS = [*BASE, *GENERATORS]
 #: Words of the 32 characters before a candidate.
@@ -47,15 +47,48 @@ SECRET_WORDS = r"(?i)(?:token|secret|passw|api.?key|access.?key|bearer|auth)"
 ACCOUNT_WORDS = r"(?i)(?:iban|account|konto|compte|cuenta|ssn|social|passport|tax|national id)"
 PHONE_WORDS = r"(?i)(?:phone|tel|call|mobile|fax|handy)"
 SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+#: Code points of a piece of a text that places are looked up in.
+PIECE = 256
+#: Steps of a running sum: powers of two up to the longest array.
+STEPS = [1 << k for k in range(31)]
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, as a lambda's variable."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers of an array.  In step p each sum
+    takes in the one p places before it, so n numbers take n log n steps, and
+    no array is copied for each of its elements."""
+    steps = lambda a: F.filter(F.array(*map(F.lit, STEPS)), lambda p: p < F.size(a))
+    step = lambda a, p: F.transform(a, lambda v, i: v + F.when(i >= p, F.get(a, i - p)).otherwise(F.lit(0).cast("bigint")))
+    return _bound(numbers, lambda a: F.aggregate(steps(a), a, step))
+
+
+def pieces(text: Column) -> Column:
+    """The text cut into pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text in pieces: only the pieces that
+    hold them are looked at, wherever in the text they are."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    at = (start - first * PIECE + 1).cast("int")
+    over = F.concat(F.get(cut, first).substr(at, F.lit(PIECE)), F.array_join(F.slice(cut, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.left(F.get(cut, last), (end - last * PIECE).cast("int")))
+    return F.when(end <= start, "").when(first == last, F.get(cut, first).substr(at, (end - start).cast("int"))).otherwise(over)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """(start, end, value) of the leftmost non-overlapping matches, in code
-    points: the texts between the matches and the matches add up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda v, gap: F.struct(v.alias("v"), F.char_length(gap).cast("bigint").alias("gap"), F.char_length(v).cast("bigint").alias("n")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(pairs, start, lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.concat(s["spans"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end"), x["v"].alias("value")))).alias("spans")))["spans"]
+    points: the texts between the matches and the matches add up.  Linear in
+    the text and, but for a logarithm, in the matches."""
+    long = lambda c: F.char_length(c).cast("bigint")
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"), F.split(text, pattern, -1).alias("gap"))
+    ends = lambda f: running(F.zip_with(f["v"], F.slice(f["gap"], F.lit(1), F.size(f["v"])), lambda v, g: long(g) + long(v)))
+    return _bound(found, lambda f: F.zip_with(ends(f), f["v"], lambda e, v: F.struct((e - long(v)).alias("start"), e.alias("end"), v.alias("value"))))
 
 
 def _digits(v: Column) -> Column:
@@ -100,6 +133,9 @@ FEATURES: list[tuple[str, Callable[[Column, Column], Column], Callable[[str, str
 ]
 
 
+DESCRIBED = "array<struct<start:bigint,end:bigint," + ",".join(f"{name}:double" for name, _, _ in FEATURES) + ">>"
+
+
 def examples(kind: str, n: int, seed: int) -> tuple[list[tuple[str, str]], list[int]]:
     """Made-up candidates (value, text before) of a kind: personal data, and
     things that look like it."""
@@ -116,7 +152,7 @@ def examples(kind: str, n: int, seed: int) -> tuple[list[tuple[str, str]], list[
                 word = rng.choice(["token", "TOKEN", "secret", "password", "api_key", "API-KEY", "access_key", "auth"])
                 before = plain()[-16:] + word + rng.choice([" = \"", "=", ": ", " = '", ":", "=\""]) if rng.random() < 0.9 else plain()
             else:
-                value = rng.choice([lambda: some(low, 16, 40), lambda: some(up, 16, 30), lambda: some("-_=", 16, 40), lambda: "/".join(some(low, 3, 8) for _ in range(4)), lambda: some(num, 16, 24), lambda: "-".join(some(low, 3, 7) for _ in range(4))])()
+                value = rng.choice([lambda: some(low, 16, 40), lambda: some(up, 16, 30), lambda: some("-_", 16, 40), lambda: "_".join(some(rng.choice([low, up]), 3, 9) for _ in range(4)), lambda: "/".join(some(low, 3, 8) for _ in range(4)), lambda: some(num, 16, 24), lambda: "-".join(some(low, 3, 7) for _ in range(4))])()
                 before = plain() if rng.random() < 0.9 else plain()[-16:] + rng.choice(["note: ", "a = ", "token ", "author "])
         elif kind == "account":
             if good:
@@ -181,11 +217,14 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", spans_col: str =
         trees, least = models()[kind]
         found = F.when(F.col("_t").rlike(pattern), matches(F.col("_t"), pattern)).otherwise(none)
 
-        def described(s: Column) -> Column:
-            before = F.col("_t").substr(F.greatest(s["start"] - 31, F.lit(1)).cast("int"), F.least(s["start"], F.lit(32)).cast("int"))
+        def described(s: Column, before: Column) -> Column:
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[f(s["value"], before).cast("double").alias(name) for name, f, _ in FEATURES])
 
-        out = out.withColumn(f"_{kind}", F.transform(found, described))
+        def all_described(spans: Column) -> Column:
+            each = lambda cut: F.transform(spans, lambda s: _bound(between(cut, F.greatest(s["start"] - 32, F.lit(0)), s["start"]), lambda before: described(s, before)))
+            return F.when(F.size(spans) > 0, _bound(pieces(F.col("_t")), each)).otherwise(F.array().cast(DESCRIBED))
+
+        out = out.withColumn(f"_{kind}", _bound(found, all_described))
         out = out.withColumn(f"_{kind}", F.filter(f"_{kind}", _passing(trees, least)))
     more = [F.transform(f"_{k}", _labelled(k, False)) for k in GENERATORS]
     return named(out.withColumn(spans_col, F.concat("_base", *more)), names, spans_col)
@@ -205,6 +244,21 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", *map(count, BASE), F.sha2(written(F.filter("_spans", lambda s: s["base"])), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
 
 
+def _running_largest(numbers: Column) -> Column:
+    """The largest of the first 1, 2, ... numbers, as in `running`."""
+    steps = lambda a: F.filter(F.array(*map(F.lit, STEPS)), lambda p: p < F.size(a))
+    step = lambda a, p: F.transform(a, lambda v, i: F.greatest(v, F.coalesce(F.get(a, i - p), v)))
+    return _bound(numbers, lambda a: F.aggregate(steps(a), a, step))
+
+
+def _group_ends(marked: Column) -> Column:
+    """What is reached at the end of each group: before the next first span,
+    and at the last span."""
+    n = F.size(marked)
+    last = lambda s, i: (i == n - 1) | F.coalesce(F.get(marked, i + 1)["first"], F.lit(False))
+    return F.transform(F.filter(marked, last), lambda s: s["reach"])
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each found span of the text replaced by its kind in brackets;
     of spans that overlap the first, and of those the longest, stands for
@@ -213,13 +267,17 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = f"c{names.index(text_col)}"
     found = find_personal_data(numbered(docs), place)
     text = F.col(place)
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"], -s["end"], s["end"].alias("end"), s["kind"])))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        cut = F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], cut).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate(order, start, step)
-    new = F.when(F.size("_spans") == 0, text).otherwise(F.concat(done["out"], text.substr((done["at"] + 1).cast("int"), F.char_length(text))))
+    # the first and then the longest of spans that overlap: no span before it reaches beyond its start
+    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("least"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    reach = lambda o: _running_largest(F.transform(o, lambda s: s["end"]))
+    marked = lambda o: _bound(reach(o), lambda r: F.transform(o, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(r, i).alias("reach"), (F.coalesce(F.get(r, i - 1), F.lit(0)) <= s["start"]).alias("first"), s["kind"].alias("kind"))))
+    # each first one with where its group ends, which is what is reached before the next first one
+    groups = lambda m: _bound(F.filter(m, lambda s: s["first"]), lambda firsts: _bound(_group_ends(m), lambda ends: F.zip_with(firsts, ends, lambda s, e: F.struct(s["start"].alias("start"), e.alias("end"), s["kind"].alias("kind")))))
+
+    def written_out(g: Column, cut: Column) -> Column:
+        own = F.transform(g, lambda s, i: F.concat(between(cut, F.coalesce(F.get(g, i - 1)["end"], F.lit(0).cast("bigint")), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.concat(F.array_join(own, ""), between(cut, F.element_at(g, -1)["end"], F.char_length(text).cast("bigint")))
+
+    replaced = _bound(order, lambda o: _bound(marked(o), lambda m: _bound(groups(m), lambda g: _bound(pieces(text), lambda cut: written_out(g, cut)))))
+    new = F.when(F.size("_spans") == 0, text).otherwise(replaced)
     return named(found.withColumn(place, F.when(text.isNotNull(), new)), names)
