@@ -1,5 +1,5 @@
 """Approximate nearest neighbours by largest cosine: anisotropic four-bit
-codes, table scans by cluster, exact reranking."""
+codes, table scans of the probed clusters, exact reranking of the best."""
 
 from __future__ import annotations
 
@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 from .quantise import Quantiser, pack, unit, unpack
 from .shared import stored
 
-#: Rows of a block of candidates and of a block of queries.
-CANDIDATES, QUERIES = 16_384, 2_048
+#: Rows of a block of candidates and of a block of queries, most clusters, and
+#: sampled vectors that each needs.
+CANDIDATES, QUERIES, CLUSTERS, MEMBERS = 16_384, 2_048, 256, 64
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
 def usable(vector: Column, d: int) -> Column:
@@ -31,7 +38,7 @@ def _smallest_ids(vectors: DataFrame, most: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, raw = b.column("id").to_numpy(), np.stack(b.column("vector").to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, 1))
+            ids, raw = b.column("id").to_numpy(), matrix(b.column("vector"), b.num_rows) if b.num_rows else np.zeros((0, 1))
             order = np.lexsort((ids, *(raw.T[::-1])))
             new = np.concatenate([[True], (raw[order][1:] != raw[order][:-1]).any(axis=1)]) if len(ids) else np.zeros(0, bool)
             other = new | np.concatenate([[True], ids[order][1:] != ids[order][:-1]]) if len(ids) else new
@@ -43,10 +50,11 @@ def _smallest_ids(vectors: DataFrame, most: int) -> DataFrame:
     return ranked.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def fit(sample: np.ndarray, k: int, aim: float, seed: int = 1) -> Quantiser:
+def fit(sample: np.ndarray, rows: int, k: int, aim: float, seed: int = 1) -> Quantiser:
     """A quantiser for the sample, and the fewest clusters to probe whose
-    true neighbours in it reach `aim`."""
-    clusters = max(1, min(64, len(sample) // 256))
+    true neighbours in it reach `aim`.  Clusters grow with the square root of
+    the rows, as far as the sample can tell them apart."""
+    clusters = max(1, min(CLUSTERS, math.isqrt(rows) // 2, len(sample) // MEMBERS))
     out = Quantiser(sample, clusters, seed=seed)
     if clusters > 1:
         rng = np.random.default_rng(seed)
@@ -63,22 +71,43 @@ def fit(sample: np.ndarray, k: int, aim: float, seed: int = 1) -> Quantiser:
     return out
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 256, aim: float = 0.99, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def blocks_of(counts: dict[int, int], size: int = CANDIDATES) -> dict[int, tuple[int, int]]:
+    """Of each cluster its first block and in how many it lies: small clusters
+    share a block, large ones are dealt to several by hash."""
+    out, block, room = {}, 0, size
+    for c, n in sorted(counts.items()):
+        if n > size:
+            continue
+        if n > room:
+            block, room = block + 1, size
+        out[c], room = (block, 1), room - n
+    block += 1
+    for c, n in sorted(counts.items()):
+        if n > size:
+            out[c] = block, -(-n // size)
+            block += out[c][1]
+    return out
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 384, aim: float = 0.95, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", block: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is divisible by
     `every`, the k nearest other rows found, by cosine, ties to the smaller id.
 
     `sample_rows` different vectors, first by hash, fit the index on the
     driver; all rows are indexed.  Copies of a vector are one candidate with
     its k + 1 smallest ids, and one query, so large groups of copies cost
-    little.  Candidates are dealt to blocks by cluster and hash, queries to
-    the blocks of the clusters they probe; a block scans its codes, takes the
-    best of each query, `rerank` and a sixteenth of the block at least, and
-    scores those exactly in double precision.
-    As many clusters are probed as give a recall of `aim` on the sample.
+    little.  Codes lie in blocks of clusters; queries go to the blocks of the
+    clusters they probe, as many as give a recall of `aim` on the sample.  A
+    block scans its codes and gives the best of each query (of a cluster dealt
+    to several blocks each its part of them, and six deviations more).  The
+    `rerank` best of all blocks, however many there are, meet their vectors
+    and are scored in double precision.
 
     Null ids, and vectors that are null, zero, hold null or non-finite
     components or have another length than most, take no part.  A row that is
-    repeated with the same id is one row.  No usable rows give no rows.
+    repeated with the same id and vector is one row; an id with several
+    vectors is a candidate by each, and a query by the smallest.  No usable
+    rows give no rows.
     """
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
@@ -89,63 +118,92 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 256,
     sample = items.orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).select("vector").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = fit(unit(np.array([r["vector"] for r in sample])), k, aim)
+    index = fit(unit(np.array([r["vector"] for r in sample])), items.count(), k, aim)
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for b in batches:
             if b.num_rows:
-                own, codes = q.encode(unit(np.stack(b.column("vector").to_numpy(zero_copy_only=False))))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([x.tobytes() for x in pack(codes)], pa.binary()), b.column("vector"), b.column("ids")], names=["cluster", "codes", "vector", "ids"])
-
-    coded = stored(items.mapInArrow(encode, "cluster int, codes binary, vector array<double>, ids array<long>"), "codes")
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"]).withColumn("key", F.xxhash64("vector"))
+                own, codes = q.encode(unit(matrix(b.column("vector"), b.num_rows)))
+                packed = pack(codes)
+                lists = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), lists, b.column("item"), b.column("first")], names=["cluster", "codes", "item", "first"])
+
+    # an item is known by a hash of its vector and its smallest id
+    known = items.select(F.xxhash64("vector").alias("item"), F.get("ids", F.lit(0)).alias("first"), "vector", "ids")
+    coded = stored(known.mapInArrow(encode, "cluster int, codes binary, item long, first long"), "codes")
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("key", F.xxhash64("vector"))
     different = stored(queries.select("key", "vector").distinct(), "queries")
+    # counts by cluster: CLUSTERS rows at most
+    where = blocks_of({r["cluster"]: r["n"] for r in coded.groupBy("cluster").agg(F.count("*").alias("n")).collect()}, block)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for b in batches:
             if b.num_rows:
-                at = q.nearest_clusters(unit(np.stack(b.column("vector").to_numpy(zero_copy_only=False))), q.probes)
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("vector"), pa.array(at.tolist(), pa.list_(pa.int32()))], names=["key", "vector", "clusters"])
-
-    sent = different.mapInArrow(probe, "key long, vector array<double>, clusters array<int>").select("key", "vector", F.explode("clusters").alias("cluster"))
-    # block counts by cluster: at most 64 rows
-    left = {r["cluster"]: math.ceil(r["n"] / CANDIDATES) for r in coded.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
-    right = max(1, math.ceil(different.count() / QUERIES))
-    blocks = F.create_map(*[F.lit(x) for c, n in sorted(left.items()) for x in (c, n)])
-    part = coded.withColumn("part", F.pmod(F.xxhash64("vector"), blocks[F.col("cluster")]).cast("int")).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(right - 1))))
-    asked = sent.where(F.col("cluster").isin(*left)).withColumn("part", F.explode(F.sequence(F.lit(0), blocks[F.col("cluster")] - 1))).withColumn("queries", F.pmod("key", F.lit(right)).cast("int"))
-    result = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+                rows, sent, lists = [], [], []
+                for i, clusters in enumerate(q.nearest_clusters(unit(matrix(b.column("vector"), b.num_rows)), q.probes).tolist()):
+                    asked: dict[int, list[int]] = {}
+                    for c in clusters:
+                        if c in where:
+                            for part in range(where[c][1]):
+                                asked.setdefault(where[c][0] + part, []).append(c)
+                    rows += [i] * len(asked)
+                    sent += asked.keys()
+                    lists += asked.values()
+                at = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("vector").take(at), pa.array(sent, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["key", "vector", "block", "clusters"])
+
+    several = max(1, math.ceil(different.count() / QUERIES))
+    first_block, parts = (F.create_map(*[F.lit(x) for c in sorted(where) for x in (c, where[c][i])])[F.col("cluster")] for i in (0, 1))
+    held = coded.withColumn("block", (first_block + F.pmod("item", parts)).cast("int")).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(several - 1))))
+    asked = different.mapInArrow(probe, "key long, vector array<double>, block int, clusters array<int>").withColumn("queries", F.pmod("key", F.lit(several)).cast("int"))
+    result = pa.schema([("key", pa.int64()), ("item", pa.int64()), ("first", pa.int64()), ("near", pa.float32())])
+    most = {b + i: math.ceil(rerank / n + 6 * (rerank / n) ** 0.5) if n > 1 else rerank for b, n in where.values() for i in range(n)}
 
     def search(group: tuple, candidates: pa.Table, wanted: pa.Table) -> pa.Table:
         if not candidates.num_rows or not wanted.num_rows:
             return result.empty_table()
         q = shared.value
-        codes = unpack(np.frombuffer(b"".join(candidates.column("codes").to_pylist()), np.uint8).reshape(candidates.num_rows, -1), q.m)
-        x = unit(np.stack(candidates.column("vector").to_numpy(zero_copy_only=False)))
-        ids = candidates.column("ids").to_pylist()
-        first = np.array([i[0] for i in ids])
-        keys, ask = wanted.column("key").to_numpy(), unit(np.stack(wanted.column("vector").to_numpy(zero_copy_only=False)))
-        out: list[list] = [[], [], []]
+        own = candidates.column("cluster").to_numpy()
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        codes = unpack(np.frombuffer(b"".join(candidates.column("codes").to_pylist()), np.uint8).reshape(candidates.num_rows, -1), q.m)[order]
+        item, first = candidates.column("item").to_numpy()[order], candidates.column("first").to_numpy()[order]
+        clusters = np.unique(own)
+        keys, ask = wanted.column("key").to_numpy(), unit(matrix(wanted.column("vector"), wanted.num_rows))
+        probed = np.array([np.isin(clusters, x) for x in wanted.column("clusters").to_pylist()])
+        n = min(most[group[0].as_py()], len(own))
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for a in range(0, len(keys), 64):
-            score = q.scan(ask[a : a + 64], group[0].as_py(), codes)
-            n = min(max(rerank, score.shape[1] // 16), score.shape[1])
+            score = np.full((min(64, len(keys) - a), len(own)), -np.inf, np.float32)
+            for c, rows in zip(clusters.tolist(), probed[a : a + 64].T, strict=True):
+                at = slice(*np.searchsorted(own, (c, c + 1)))
+                if rows.any():
+                    score[rows, at] = q.scan(ask[a : a + 64][rows], c, codes[at])
             best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            exact = np.einsum("qd,qrd->qr", ask[a : a + 64], x[best])
-            order = np.lexsort((first[best], -exact))[:, : k + 1]
-            for i, key in enumerate(keys[a : a + 64].tolist()):
-                rows = sorted(((-float(exact[i, j]), v) for j in order[i].tolist() for v in ids[best[i, j]]))[: k + 1]
-                out[0] += [key] * len(rows)
-                out[1] += [v for _, v in rows]
-                out[2] += [-s for s, _ in rows]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], schema=result)
-
-    by = ["cluster", "part", "queries"]
-    found = part.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, "key long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
-    best = found.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
+            near = np.take_along_axis(score, best, 1)
+            good = np.isfinite(near)
+            for o, x in zip(out, (np.repeat(keys[a : a + 64], good.sum(axis=1)), item[best[good]], first[best[good]], near[good]), strict=True):
+                o.append(x)
+        return pa.Table.from_arrays([pa.array(np.concatenate(o), t.type) for o, t in zip(out, result, strict=True)], schema=result)
+
+    by = ["block", "queries"]
+    found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, "key long, item long, first long, near float")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("near"), "first", "item"))
+    chosen = found.withColumn("place", place).where(F.col("place") <= rerank).select("key", "item", "first")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (unit(matrix(b.column(c), b.num_rows)) for c in ("vector", "asked"))
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("ids"), pa.array(np.einsum("rd,rd->r", x, y))], names=["key", "ids", "score"])
+
+    pairs = chosen.join(known, ["item", "first"]).join(different.withColumnRenamed("vector", "asked"), "key").select("key", "vector", "asked", "ids")
+    exact = pairs.mapInArrow(score, "key long, ids array<long>, score double")
+    top = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), *order))).where(F.col("place") <= k + 1)
+    best = top(top(exact, F.get("ids", F.lit(0))).select("key", "score", F.explode("ids").alias("vec_id")), "vec_id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
     mine = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("id")), 1, k)
     answers = queries.select("id", "key").join(best, "key").select("id", F.posexplode(mine).alias("at", "n"))
     return answers.select(F.col("id").alias("query_id"), (F.col("at") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score"))

@@ -36,7 +36,7 @@ class Quantiser:
     changes the large inner products, which decide who is nearest, most.
     """
 
-    def __init__(self, x: np.ndarray, clusters: int, width: int = 4, t: float = 0.2, rounds: int = 6, seed: int = 1) -> None:
+    def __init__(self, x: np.ndarray, clusters: int, width: int = 2, t: float = 0.2, rounds: int = 6, seed: int = 1) -> None:
         self.d = x.shape[1]
         self.m = -(-self.d // width)
         self.width = width

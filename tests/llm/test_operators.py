@@ -288,14 +288,15 @@ def test_tree_features_are_the_same_in_spark_and_in_training(spark):
         assert np.array(y)[chosen].mean() > 0.9 and chosen[np.array(y) == 1].mean() > 0.7
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("options", [{}, {"block": 40}])
+def test_nearest(spark, options):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 12)).astype(np.float32)
     x[100:700] = x[100]  # a large group of copies, queries among them
     rows = [(k, x[k].tolist()) for k in range(3000)]
     bad = [(5000, None), (5050, [0.0] * 12), (5100, [float("nan")] + [1.0] * 11), (5150, [float("inf")] * 12), (5200, [None] + [1.0] * 11), (5250, [1.0] * 3), (None, [1.0] * 12)]
     df = spark.createDataFrame([(i, v, 1.0, 2) for i, v in rows + bad], "vec_id long, embedding array<float>, score double, rank int")
-    out = nearest.nearest(df, sample_rows=1500).toPandas()
+    out = nearest.nearest(df, sample_rows=1500, **options).toPandas()
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hits, total = 0, 0
     for q in range(0, 3000, 50):
@@ -313,6 +314,22 @@ def test_nearest(spark):
     assert nearest.nearest(df.where("vec_id >= 5000")).count() == 0 and nearest.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, folder):
+    df = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    own = df.toPandas()
+    x = np.stack(own.embedding).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = nearest.nearest(df).toPandas()
+    hits, total = 0, 0
+    for q in np.flatnonzero(own.vec_id % 50 == 0):
+        s = x @ x[q]
+        s[q] = -9
+        best = set(own.vec_id.to_numpy()[np.lexsort((own.vec_id, -np.round(s, 12)))[:5]])
+        hits, total = hits + len(best & set(out[out.query_id == own.vec_id[q]].vec_id)), total + 5
+    assert hits / total >= 0.95
+
+
 def labelled(spark, bad, n=240):
     rng = np.random.default_rng(6)
     rows, labels = [], []
