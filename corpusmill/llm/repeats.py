@@ -27,75 +27,83 @@ ANCHOR_BYTES = 1 << 19
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 20
 
-_ANCHOR = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("many", pa.int32()), ("gram", pa.int64()), ("span", pa.int64())])
-_SPAN = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+#: A row's key: its id and a hash of its text.
+KEY = "key struct<id:long,text:long>"
+_KEY = pa.field("key", pa.struct([("id", pa.int64()), ("text", pa.int64())]))
+_ANCHOR = pa.schema([_KEY, ("start", pa.int64()), ("many", pa.int32()), ("gram", pa.int64()), ("span", pa.int64())])
+_SPAN = pa.schema([_KEY, ("start", pa.int64()), ("end", pa.int64())])
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Rows with the same id and text share a key and have the same result."""
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    """Rows with the same id and text share a key and have the same result.
+    The id is part of it, so only texts of one id could be mixed up by their
+    hashes, however many rows there are."""
+    return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull()).alias("text"))
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", ANCHOR_BYTES):
             a = find_anchors(texts_of(b.column("text")), length, GRAM)
-            key = b.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key[a.text]), pa.array(a.start), pa.array(a.many.astype(np.int32)), pa.array(a.gram), pa.array(a.span)], schema=_ANCHOR)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(a.text)).cast(_KEY.type), pa.array(a.start), pa.array(a.many.astype(np.int32)), pa.array(a.gram), pa.array(a.span)], schema=_ANCHOR)
 
-    return texts.mapInArrow(run, "key long, start long, many int, gram long, span long")
+    return texts.mapInArrow(run, f"{KEY}, start long, many int, gram long, span long")
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(gram, single, key, start, string): the bytes of wanted anchors."""
-    schema = pa.schema([("gram", pa.int64()), ("single", pa.bool_()), ("key", pa.int64()), ("start", pa.int64()), ("string", pa.binary())])
+    schema = pa.schema([("gram", pa.int64()), ("single", pa.bool_()), _KEY, ("start", pa.int64()), ("string", pa.binary())])
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "single", "start", "many")).alias("wanted"))  # bounded by the text's length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            rows: list[list] = [[], [], [], [], []]
-            for key, raw, want in zip(b.column("key").to_pylist(), texts_of(b.column("text")), b.column("wanted").to_pylist(), strict=True):
+            own, rows = [], ([], [], [], [])
+            for k, (raw, want) in enumerate(zip(texts_of(b.column("text")), b.column("wanted").to_pylist(), strict=True)):
                 for w in want:
-                    for x, v in zip(rows, (w["gram"], w["single"], key, w["start"], raw[w["start"] : w["start"] + w["many"] - 1 + length]), strict=True):
+                    own.append(k)
+                    for x, v in zip(rows, (w["gram"], w["single"], w["start"], raw[w["start"] : w["start"] + w["many"] - 1 + length]), strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
+            gram, single, start, string = (pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True))
+            yield pa.RecordBatch.from_arrays([gram, single, b.column("key").take(pa.array(own, pa.int64())).cast(_KEY.type), start, string], schema=schema)
 
-    return texts.join(lists, "key").mapInArrow(run, "gram long, single boolean, key long, start long, string binary")
+    return texts.join(lists, "key").mapInArrow(run, f"gram long, single boolean, {KEY}, start long, string binary")
 
 
 def _by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of maximal repeats among contexts of the same anchor string; a
     task holds whole groups, about ARRAY_BYTES at a time."""
 
-    def solve(rows: list[tuple[bool, int, int, bytes]]) -> pa.RecordBatch:
+    def solve(rows: list[tuple[bool, int, int, int, bytes]]) -> pa.RecordBatch:
         best: dict[tuple[int, int], int] = {}
-        for size, places in maximal_repeats([r[3] for r in rows], length):
-            for i, p in places:
-                if rows[i][0]:
-                    at = (i, p)
+        for size, places in maximal_repeats([r[4] for r in rows], length):
+            for at in places:
+                if rows[at[0]][0]:
                     best[at] = max(best.get(at, 0), size)
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in best], pa.int64()), pa.array([rows[i][2] + p for i, p in best], pa.int64()), pa.array([rows[i][2] + p + n for (i, p), n in best.items()], pa.int64())], schema=_SPAN)
+        key = pa.StructArray.from_arrays([pa.array([rows[i][f] for i, _ in best], pa.int64()) for f in (1, 2)], fields=list(_KEY.type))
+        return pa.RecordBatch.from_arrays([key, pa.array([rows[i][3] + p for i, p in best], pa.int64()), pa.array([rows[i][3] + p + n for (i, p), n in best.items()], pa.int64())], schema=_SPAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[bool, int, int, bytes]] = []
+        rows: list[tuple[bool, int, int, int, bytes]] = []
         size, last = 0, None
         for b in batches:
-            for gram, single, key, start, string in zip(*(b.column(c).to_pylist() for c in ("gram", "single", "key", "start", "string")), strict=True):
+            ids, texts = (b.column("key").field(f).to_pylist() for f in (0, 1))
+            for gram, single, id_, text, start, string in zip(b.column("gram").to_pylist(), b.column("single").to_pylist(), ids, texts, b.column("start").to_pylist(), b.column("string").to_pylist(), strict=True):
                 if gram != last and size >= ARRAY_BYTES:
                     yield solve(rows)
                     rows, size = [], 0
-                rows.append((single, key, start, string))
+                rows.append((single, id_, text, start, string))
                 size, last = size + len(string), gram
         if rows:
             yield solve(rows)
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key long, start long, end long")
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"{KEY}, start long, end long")
 
 
 def _by_string(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of the strings of `length` bytes that several of the contexts
-    have, for groups of any size: counted by hash, with partial counts."""
-    schema = pa.schema([("hash", pa.int64()), ("single", pa.bool_()), ("key", pa.int64()), ("start", pa.int64())])
+    have, for groups of any size: counted by the hashes of the anchor and of
+    the string, 128 bits, with partial counts."""
+    schema = pa.schema([("gram", pa.int64()), ("hash", pa.int64()), ("single", pa.bool_()), _KEY, ("start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,11 +118,11 @@ def _by_string(contexts: DataFrame, length: int) -> DataFrame:
                 place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                 at = (np.cumsum(sizes) - sizes)[own] + place
                 h = mix((total[at + length] - total[at]) * _powers(_INVERSE, len(buf))[at])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("single").take(pa.array(own)), part.column("key").take(pa.array(own)), pa.array(part.column("start").to_numpy()[own] + place)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("gram").take(pa.array(own)), pa.array(h.view(np.int64)), part.column("single").take(pa.array(own)), part.column("key").take(pa.array(own)).cast(_KEY.type), pa.array(part.column("start").to_numpy()[own] + place)], schema=schema)
 
-    strings = stored(contexts.mapInArrow(run, "hash long, single boolean, key long, start long"), "strings")
-    often = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return strings.where("single").join(often, "hash").select("key", "start", (F.col("start") + length).alias("end"))
+    strings = stored(contexts.mapInArrow(run, f"gram long, hash long, single boolean, {KEY}, start long"), "strings")
+    often = stored(strings.groupBy("gram", "hash").agg(F.count("*").alias("n")).where("n > 1").select("gram", "hash"), "often-strings")
+    return strings.where("single").join(often, ["gram", "hash"]).select("key", "start", (F.col("start") + length).alias("end"))
 
 
 def repeated_spans(texts: DataFrame, length: int = 200, group: int = GROUP, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -130,11 +138,13 @@ def repeated_spans(texts: DataFrame, length: int = 200, group: int = GROUP, broa
     task finds their maximal repeats in an enhanced suffix array.
     """
     anchors = _anchors(texts, length)
-    often = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # stored, so that the join reads two exchanges and adaptive execution can split a gram that many rows have
+    often = stored(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
     hot = stored(anchors.join(often, "gram"), "anchors")
     by_span = stored(hot.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "many")).alias("one")), "by-span")
+    # the hash of the anchor and that of all its bytes: 128 bits
     known = hot.join(by_span.where("n > 1").select("gram", "span"), ["gram", "span"]).select("key", "start", (F.col("start") + F.col("many") - 1 + length).alias("end")).distinct()
-    several = by_span.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = stored(by_span.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
     wanted = stored(by_span.join(several, "gram").select("gram", (F.col("n") == 1).alias("single"), "one.key", "one.start", "one.many", (F.col("contexts") > group).alias("large")), "wanted")
     keys = stored(wanted.select("key").distinct(), "keys")
     few = keys.count() <= broadcast_keys
@@ -153,7 +163,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     Null is an empty text; texts shorter than `length` bytes keep all; rows
     that repeat lose all their bytes if they are long enough, for each is
     elsewhere too; a null id is an id like others; an empty table gives no
-    rows.  Strings are told apart by 64-bit hashes but in the suffix arrays.
+    rows.  Strings are told apart byte by byte in the suffix arrays, and elsewhere by
+    128 bits of hashes.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = source.withColumn("key", row_key("doc_id", "text"))
