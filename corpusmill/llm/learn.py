@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,20 +14,22 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, most_chars: int = 40_000) -> list[tuple[bytes, int]]:
-    """Texts and labels outside the held-out fold: per class the `per_class`
-    rows whose hashed ids come first, each with up to `most_chars` characters.
-    These two bound what the driver gets and are the only sampling of the
-    classifiers; scoring reads whole texts.  Rows without a label are left
-    out; of several labels of an id the largest counts, of several texts of
-    an id the smallest."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, most_bytes: int = 8 << 20) -> list[tuple[bytes, int]]:
+    """Whole texts and labels outside the held-out fold: per class the
+    `per_class` rows whose hashed ids come first, and of these as many, in the
+    same order, as have `most_bytes` together.  The two bounds are the only
+    sampling of the classifiers; no text is cut, in training or in scoring.
+    Rows without a label are left out; of several labels of an id the largest
+    counts, of several texts of an id the smallest."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").where(fold("id", folds) != held_out).groupBy("id").agg(F.max("y").alias("y"))
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")  # 2 * per_class rows at most
-    rows = rows.withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, most_chars)).groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # per_class rows in a partition at most
+    rows = rows.withColumn("size", F.sum(F.octet_length("text")).over(order)).where(F.col("size") <= most_bytes)
     return [(r["text"].encode(), r["y"]) for r in sorted(rows.collect(), key=lambda r: r["id"])]
 
 

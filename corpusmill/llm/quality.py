@@ -1,10 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A document is cut into overlapping chunks that cover all of it.  Learned
-filters run over each chunk's bytes; a second bank sees where bytes repeat
-those some places before, so that repetition can be learned.  Each filter is
-max-pooled over the chunk, the chunks' pools are combined (largest and mean),
-and one probability comes out.
+filters run over each chunk's bytes and are max-pooled over the chunk.  One
+more input is computed, not learned: the largest share of bytes that repeat
+those some places before, which a filter over byte values cannot see.  The
+chunks' pools are combined (largest and mean), and one probability comes out.
 """
 
 from __future__ import annotations
@@ -20,19 +20,17 @@ from .learn import Adam, calibrate, fold, labelled_sample, sigmoid
 from .shared import batch_of, slices, texts_of
 
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS, LAGS, BOX = 512, 64, 8, 2, 16, 40, 32
+#: Scale of the share of repeated bytes beside the filters' responses.
+REPEATED = np.float32(4)
 PAD = 256
 
 
-def chunks(texts: list[bytes], most: int = 0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Chunks of all texts (rows of byte values, padded at the end) and the
-    first chunk of each text.  `most` above 0 takes that many of a text, for
-    training; an empty text is one chunk of padding."""
-    rng = np.random.default_rng(seed)
+    first chunk of each text; an empty text is one chunk of padding."""
     starts, first = [], [0]
     for t in texts:
         at = np.arange(0, max(len(t) - OVERLAP, 1), CHUNK - OVERLAP)
-        if most and len(at) > most:
-            at = np.sort(rng.choice(at, most, replace=False))
         starts.append(at)
         first.append(first[-1] + len(at))
     out = np.full((first[-1], CHUNK), PAD, np.int16)
@@ -53,7 +51,6 @@ class Network:
         self.kernel = rng.normal(0, 0.15, (WIDTH, 257, FILTERS)).astype(np.float32)
         self.kernel[:, PAD] = 0
         self.bias = np.zeros(FILTERS, np.float32)
-        self.match = np.array([4.0, 4.0], np.float32)
         self.out = rng.normal(0, 0.1, 2 * FILTERS + 2).astype(np.float32)
         self.last = np.zeros(1, np.float32)
         self.scale, self.shift = 1.0, 0.0
@@ -90,7 +87,7 @@ class Network:
         return np.maximum(best + self.bias, 0), place
 
     def features(self, pooled: np.ndarray, repeated: np.ndarray, first: np.ndarray) -> np.ndarray:
-        both = np.concatenate([pooled, self.match[:1] * repeated[:, None]], axis=1)
+        both = np.concatenate([pooled, REPEATED * repeated[:, None]], axis=1)
         size = np.diff(first)[:, None]
         return np.concatenate([np.maximum.reduceat(both, first[:-1], axis=0), np.add.reduceat(both, first[:-1], axis=0) / size], axis=1)
 
@@ -101,9 +98,30 @@ class Network:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return sigmoid(self.scale * self.logits(texts).astype(np.float64) + self.shift)
 
-    def fit(self, texts: list[bytes], y: np.ndarray, threshold: float, epochs: int = 14, most: int = 6, batch: int = 24) -> Network:
+    def gradients(self, rows: np.ndarray, repeated: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The weighted logistic loss of documents whose chunks these are, and
+        its gradient by kernel, bias, out and last."""
+        sizes = np.diff(first)
+        doc = np.repeat(np.arange(len(y)), sizes)
+        pooled, place = self.pool(rows, True)
+        x = self.features(pooled, repeated, first)
+        logit = x @ self.out + self.last[0]
+        error = ((sigmoid(logit) - y) * weight / len(y)).astype(np.float32)
+        loss = float((weight * (np.logaddexp(0, logit) - y * logit)).sum() / len(y) + 0.5e-5 * (self.kernel**2).sum() + 0.5e-4 * (self.out**2).sum())
+        back, half = error[:, None] * self.out[None], FILTERS + 1
+        best = pooled >= np.maximum.reduceat(pooled, first[:-1], axis=0)[doc]
+        top = back[:, :FILTERS][doc] * best / np.add.reduceat(best.astype(np.float32), first[:-1], axis=0)[doc]  # chunks that are equally good share it
+        grad = (top + back[:, half : half + FILTERS][doc] / sizes[doc][:, None]) * (pooled > 0)
+        g = np.zeros_like(self.kernel)
+        f = np.broadcast_to(np.arange(FILTERS), place.shape)
+        for k in range(WIDTH):
+            np.add.at(g[k], (rows[np.arange(len(rows))[:, None], place + k], f), grad)
+        g[:, PAD] = 0
+        return loss, [g + 1e-5 * self.kernel, grad.sum(axis=0), x.T @ error + 1e-4 * self.out, np.array([error.sum()], np.float32)]
+
+    def fit(self, texts: list[bytes], y: np.ndarray, threshold: float, epochs: int = 14, batch: int = 24) -> Network:
         rng = np.random.default_rng(11)
-        rows, first = chunks(texts, most, 3)
+        rows, first = chunks(texts)
         repeated = self.repeats(rows)
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
         adam = Adam([self.kernel, self.bias, self.out, self.last], 0.01)
@@ -112,23 +130,8 @@ class Network:
             for a in range(0, len(order), batch):
                 docs = order[a : a + batch]
                 own = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-                sizes = np.array([first[d + 1] - first[d] for d in docs])
-                begin = np.concatenate([[0], np.cumsum(sizes)])
-                part, doc = rows[own], np.repeat(np.arange(len(docs)), sizes)
-                pooled, place = self.pool(part, True)
-                x = self.features(pooled, repeated[own], begin)
-                error = ((sigmoid(x @ self.out + self.last[0]) - y[docs]) * weight[docs] / len(docs)).astype(np.float32)
-                back = error[:, None] * self.out[None]
-                half = FILTERS + 1
-                top = back[:, :FILTERS][doc] * (pooled >= np.maximum.reduceat(pooled, begin[:-1], axis=0)[doc])
-                grad = (top + back[:, half : half + FILTERS][doc] / sizes[doc][:, None]) * (pooled > 0)
-                g = np.zeros_like(self.kernel)
-                f = np.broadcast_to(np.arange(FILTERS), place.shape)
-                for k in range(WIDTH):
-                    b = part[np.arange(len(part))[:, None], place + k]
-                    np.add.at(g[k], (b, f), grad)
-                g[:, PAD] = 0
-                adam.step([g + 1e-5 * self.kernel, grad.sum(axis=0), x.T @ error + 1e-4 * self.out, np.array([error.sum()], np.float32)])
+                begin = np.concatenate([[0], np.cumsum([first[d + 1] - first[d] for d in docs])])
+                adam.step(self.gradients(rows[own], repeated[own], begin, y[docs], weight[docs])[1])
         self.scale, self.shift = calibrate(self.logits(texts), y, threshold)
         return self
 
@@ -147,8 +150,9 @@ def train(sample: list[tuple[bytes, int]], threshold: float) -> Network | float:
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3, per_class: int = 400) -> DataFrame:
     """(doc_id, held_out, score, predicted): the quality of each whole text.
 
-    The driver trains on `per_class` labelled rows of each class at most,
-    never of the held-out fold; the weights (about 130 kB) go to the workers,
+    The driver trains on whole texts of `per_class` labelled rows of each class
+    and 8 MB of a class at most, never of the held-out fold, and on the
+    beginnings of some good ones as further short texts; the weights (about 130 kB) go to the workers,
     which map over the rows without a shuffle, 1 MB of text or one document at
     a time.  A null text counts as empty and gets the score of a chunk of
     padding; a null id is hashed as ''; repeated rows give repeated rows; an

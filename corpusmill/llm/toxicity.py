@@ -2,8 +2,9 @@
 in numpy.
 
 A document's words are read in overlapping windows that cover all of it.  Each
-word enters as character inputs (evidence of its 3- to 5-byte pieces) and word
-inputs (evidence of the word), both counted on the labelled sample.  Two gated
+word enters as learned vectors of the word and of its 3- to 5-byte pieces,
+trained with the network, and beside them as evidence: how much more often the
+word and its pieces stand in toxic texts of the labelled sample.  Two gated
 recurrent passes run over a window, attention weighs their states, and the
 document's score is that of its most toxic window.
 """
@@ -23,7 +24,10 @@ from .words import _BYTES, ALNUM, LOWER, U, mix, words
 
 WINDOW, STEP, HIDDEN, BUCKETS = 32, 24, 8, 1 << 18
 GRAMS = (3, 4, 5)
-INPUTS = 3 + 2 * len(GRAMS)
+EVIDENCE = 3 + 2 * len(GRAMS)
+#: Learned numbers of a word and of its pieces, and buckets of either table.
+VECTOR, ROWS, VECTOR_RATE = 4, 1 << 15, 0.02
+INPUTS = EVIDENCE + 2 * VECTOR
 
 
 class Tokens:
@@ -93,7 +97,7 @@ class Evidence:
 
     def inputs(self, tokens: Tokens) -> np.ndarray:
         """The inputs of each different word; row 0 is no word."""
-        out = np.zeros((len(tokens.word) + 1, INPUTS), np.float32)
+        out = np.zeros((len(tokens.word) + 1, EVIDENCE), np.float32)
         if len(tokens.word):
             out[1:, 0] = self.table[0, tokens.word] / 2
             out[1:, 1] = self.seen[tokens.word]
@@ -105,6 +109,50 @@ class Evidence:
         return out
 
 
+class Vectors:
+    """Learned vectors of words and of pieces, in hashed tables that begin at
+    zero: what the sample does not have says nothing."""
+
+    def __init__(self) -> None:
+        self.tables = [np.zeros((ROWS, VECTOR), np.float32) for _ in range(2)]
+        self.seen = [np.full((ROWS, 1), 1e-6, np.float32) for _ in range(2)]
+
+    @staticmethod
+    def _pieces(tokens: Tokens, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each size: the rows of these words' pieces, and how many each
+        word has."""
+        out = []
+        for bucket, first in tokens.grams:
+            many = np.diff(np.append(first, len(bucket)))[words]
+            at = np.repeat(first[words] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            out.append((bucket[at] % ROWS, many))
+        return out
+
+    def inputs(self, tokens: Tokens, words: np.ndarray) -> np.ndarray:
+        """The vectors of these different words, their pieces' averaged."""
+        out = np.zeros((len(words), 2 * VECTOR), np.float32)
+        if len(words):
+            out[:, :VECTOR] = self.tables[0][tokens.word[words] % ROWS]
+            for rows, many in self._pieces(tokens, words):
+                out[:, VECTOR:] += np.add.reduceat(self.tables[1][rows], np.cumsum(many) - many) / (many[:, None] * len(GRAMS))
+        return out
+
+    def step(self, tokens: Tokens, words: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        """Descend along the gradients of these words' vectors, each row at a
+        rate of its own."""
+        if len(words):
+            self._move(0, tokens.word[words] % ROWS, grad[:, :VECTOR], rate)
+            for rows, many in self._pieces(tokens, words):
+                self._move(1, rows, np.repeat(grad[:, VECTOR:] / (many[:, None] * len(GRAMS)), many, axis=0), rate)
+
+    def _move(self, which: int, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        own, at = np.unique(rows, return_inverse=True)
+        total = np.zeros((len(own), VECTOR), np.float32)
+        np.add.at(total, at, grad)
+        self.seen[which][own] += (total**2).mean(axis=1, keepdims=True)
+        self.tables[which][own] -= rate * total / np.sqrt(self.seen[which][own])
+
+
 class Network:
     def __init__(self, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
@@ -147,8 +195,10 @@ class Network:
         memory |= {"a": a, "w": w, "pooled": pooled, "states": states, "real": real}
         return pooled @ p[8] + p[9][0], memory
 
-    def backward(self, inputs: np.ndarray, windows: np.ndarray, m: dict, error: np.ndarray) -> list[np.ndarray]:
+    def backward(self, inputs: np.ndarray, windows: np.ndarray, m: dict, error: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Gradients of the parameters, and of the inputs at each place."""
         p, g = self.params, [np.zeros_like(x) for x in self.params]
+        dx = np.zeros((*windows.shape, INPUTS), np.float32)
         g[8], g[9] = m["pooled"].T @ error, np.array([error.sum()], np.float32)
         dp = error[:, None] * p[8]
         ds = m["w"][:, :, None] * dp[:, None, :]
@@ -168,38 +218,54 @@ class Network:
                 dr = drh * h * r * (1 - r)
                 back = np.concatenate([dz, dr, dc], axis=1)
                 x = inputs[windows[:, t]]
+                dx[:, t] += back @ p[3 * d].T
                 g[3 * d] += x.T @ back
                 g[3 * d + 2] += back.sum(axis=0)
                 g[3 * d + 1] += np.concatenate([h.T @ back[:, : 2 * HIDDEN], (r * h).T @ dc], axis=1)
                 dh = dh * (1 - z) + back[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T + drh * r
-        return g
+        return g, dx
 
 
 class Model:
-    """Evidence and network; score is the largest window's probability."""
+    """Evidence, vectors and network; score is the largest window's
+    probability."""
+
+    def __init__(self, evidence: Evidence, vectors: Vectors, net: Network) -> None:
+        self.evidence, self.vectors, self.net = evidence, vectors, net
+
+    def inputs(self, tokens: Tokens) -> np.ndarray:
+        return self.joined(self.evidence.inputs(tokens), tokens)
 
-    def __init__(self, evidence: Evidence, net: Network) -> None:
-        self.evidence, self.net = evidence, net
+    def joined(self, evidence: np.ndarray, tokens: Tokens) -> np.ndarray:
+        """Evidence and vectors of each different word; row 0 is no word."""
+        vectors = self.vectors.inputs(tokens, np.arange(len(tokens.word)))
+        return np.concatenate([evidence, np.concatenate([np.zeros((1, 2 * VECTOR), np.float32), vectors])], axis=1)
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         tokens = Tokens(texts)
         windows, first = tokens.windows()
-        inputs = self.evidence.inputs(tokens)
-        out = np.empty(len(windows), np.float32)
-        for a in range(0, len(windows), 2048):
-            out[a : a + 2048] = self.net.forward(inputs, windows[a : a + 2048])[0]
-        return np.maximum.reduceat(out, first[:-1])
+        return np.maximum.reduceat(self.of_windows(self.inputs(tokens), windows), first[:-1])
+
+    def of_windows(self, inputs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.net.forward(inputs, windows[a : a + 2048])[0] for a in range(0, len(windows), 2048)])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return sigmoid(self.net.scale * self.logits(texts).astype(np.float64) + self.net.shift)
 
 
-def train(sample: list[tuple[bytes, int]], threshold: float, epochs: int = 16, most: int = 10) -> Model | float:
+#: Epochs before which every window of every text is scored anew, and the one
+#: that scores highest in each text becomes the one that is trained.
+LOOK_AGAIN = {0, 1, 2, 4, 6, 9, 12}
+
+
+def train(sample: list[tuple[bytes, int]], threshold: float, epochs: int = 16, rate: float = 0.02) -> Model | float:
     """Evidence counted on one half of the sample is what the network is
     trained with on the other, and the other way round, so that it learns how
-    far evidence carries over; at the end all of it is counted.  Of a text the
-    window that now scores highest is trained, with up to `most` windows to
-    choose from.  A sample of one class gives that class, an empty one 0.5."""
+    far evidence carries over; at the end all of it is counted.  Vectors are
+    trained with the network, with those of half the words left out at random
+    in each step, so that they add to the evidence and do not replace it.  Of
+    a text the window that scores highest of all its windows is trained.  A
+    sample of one class gives that class, an empty one 0.5."""
     y = np.array([b for _, b in sample])
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
@@ -209,36 +275,43 @@ def train(sample: list[tuple[bytes, int]], threshold: float, epochs: int = 16, m
         own = np.flatnonzero(y == label)
         half[own] = np.arange(len(own)) % 2
     parts = []
+    model = Model(Evidence(), Vectors(), Network())
+    net, vectors = model.net, model.vectors
     for k in (0, 1):
         learn, use = np.flatnonzero(half != k), np.flatnonzero(half == k)
         evidence = Evidence().add([texts[i] for i in learn], y[learn]).finish()
         tokens = Tokens([texts[i] for i in use])
-        windows, first = tokens.windows()
-        inputs = evidence.inputs(tokens)
-        strongest = inputs[:, [0, 3, 5, 7]].max(axis=1)[windows].max(axis=1)
-        keep = [np.sort(a + np.argsort(-strongest[a:b], kind="stable")[:most]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        parts.append((inputs, windows[np.concatenate(keep)], np.concatenate([[0], np.cumsum([len(x) for x in keep])]), y[use]))
-    net = Network()
-    adam = Adam(net.params, 0.02)
+        parts.append((tokens, evidence.inputs(tokens), *tokens.windows(), y[use]))
+    adam = Adam(net.params, rate)
     balance = (y == 0).sum() / max((y == 1).sum(), 1)
+    tops: list[np.ndarray] = [np.zeros(0, int)] * 2
     for epoch in range(epochs):
-        adam.rate = 0.02 * (1 - epoch / (epochs + 4))
-        for inputs, windows, first, label in parts:
-            logit = np.concatenate([net.forward(inputs, windows[a : a + 4096])[0] for a in range(0, len(windows), 4096)])
-            top = np.array([a + logit[a:b].argmax() for a, b in zip(first[:-1], first[1:], strict=True)])
-            order = rng.permutation(len(top))
+        adam.rate = rate * (1 - epoch / (epochs + 4))
+        for k, (tokens, evidence, windows, first, label) in enumerate(parts):
+            if epoch in LOOK_AGAIN:
+                logit = model.of_windows(model.joined(evidence, tokens), windows)
+                tops[k] = np.array([a + logit[a:b].argmax() for a, b in zip(first[:-1], first[1:], strict=True)])
+            order = rng.permutation(len(label))
             for a in range(0, len(order), 64):
                 i = order[a : a + 64]
-                out, memory = net.forward(inputs, windows[top[i]], True)
+                part = windows[tops[k][i]]
+                words, at = np.unique(np.append(part.reshape(-1), 0), return_inverse=True)  # the first is no word
+                at = at[:-1].reshape(part.shape)
+                shown = rng.random(len(words) - 1) < 0.5
+                local = np.zeros((len(words), INPUTS), np.float32)
+                local[:, :EVIDENCE] = evidence[words]
+                local[1:, EVIDENCE:] = vectors.inputs(tokens, words[1:] - 1) * shown[:, None]
+                out, memory = net.forward(local, at, True)
                 weight = np.where(label[i] == 1, min(balance, 4.0), 1.0)
-                adam.step(net.backward(inputs, windows[top[i]], memory, ((sigmoid(out) - label[i]) * weight / len(i)).astype(np.float32)))
-    tops, labels = [], []
-    for inputs, windows, first, label in parts:
-        logit = np.concatenate([net.forward(inputs, windows[a : a + 4096])[0] for a in range(0, len(windows), 4096)])
-        tops.append(np.maximum.reduceat(logit, first[:-1]))
-        labels.append(label)
-    net.scale, net.shift = calibrate(np.concatenate(tops), np.concatenate(labels), threshold)
-    return Model(Evidence().add(texts, y).finish(), net)
+                grads, dx = net.backward(local, at, memory, ((sigmoid(out) - label[i]) * weight / len(i)).astype(np.float32))
+                adam.step(grads)
+                moved = np.zeros((len(words), 2 * VECTOR), np.float32)
+                np.add.at(moved, at.reshape(-1), dx[:, :, EVIDENCE:].reshape(-1, 2 * VECTOR))
+                vectors.step(tokens, words[1:][shown] - 1, moved[1:][shown], VECTOR_RATE)
+    logits = [np.maximum.reduceat(model.of_windows(model.joined(evidence, tokens), windows), first[:-1]) for tokens, evidence, windows, first, _ in parts]
+    net.scale, net.shift = calibrate(np.concatenate(logits), np.concatenate([p[4] for p in parts]), threshold)
+    model.evidence = Evidence().add(texts, y).finish()
+    return model
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, per_class: int = 700) -> Model | float:
