@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import forget, stored
 
 SCHEMA = pa.schema([("node", pa.int64()), ("component", pa.int64())])
 
@@ -50,10 +50,11 @@ def connected(links: DataFrame, one_task: int = 50_000) -> DataFrame:
     """(node, component) of each node of links (a, b): component is the
     smallest node that can be reached.
 
-    Links that are few by count go through one union-find.  More are first
-    reduced to a forest in each partition, then nodes take the smallest label
-    among their neighbours and jump to their label's label until nothing
-    changes, in joins and aggregates over all tasks.  No links, no rows.
+    Links that are few by count go through one union-find.  More go through
+    one in each partition, which leaves a forest; then the partitions' trees
+    are joined as a parallel union-find does it, in joins and aggregates over
+    all tasks: a node takes the smallest label beside it and then its label's
+    label, until nothing changes.  The result is the same.  No links, no rows.
     """
     if links.count() <= one_task:
         return stored(links.select("a", "b").coalesce(1).mapInArrow(_local, "node long, component long"), "components")
@@ -65,6 +66,9 @@ def connected(links: DataFrame, one_task: int = 50_000) -> DataFrame:
         low = stored(label.join(near, label.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component")), "low")
         up = low.select(F.col("node").alias("up"), F.col("component").alias("top"))
         new = stored(low.join(up, low.component == up.up, "left").select("node", "old", F.least("component", F.coalesce("top", "component")).alias("component")), "labels")
-        if new.where("old <> component").limit(1).count() == 0:
-            return new.select("node", "component")
+        done = new.where("old <> component").limit(1).count() == 0
+        forget(low, label)
         label = new.select("node", "component")
+        if done:
+            forget(both, forest)
+            return label

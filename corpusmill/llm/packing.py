@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         table = bpe.load(tokenizer)
         for b in slices(batches, "text"):
             rows: dict[str, list] = {f.name: [] for f in schema}
-            for doc, ids in zip(b.column("doc_id").to_pylist(), table.encode_many([x.decode() for x in texts_of(b.column("text"))]), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), table.encode_many([x.decode("utf-8", "replace") for x in texts_of(b.column("text"))]), strict=True):
                 ids += tail
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
@@ -55,7 +55,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     says which sequence of which pattern it goes to.  A sequence holds at most
     `capacity` ids, so the last window, by sequence, has bounded groups.
 
-    A null text is empty, so its document is end_id alone; null ids stay null
+    A null text is empty, so its document is end_id alone; bytes that are no
+    UTF-8 count as the replacement character; null ids stay null
     and are packed like others; repeated rows are packed as often as they
     come; an empty table gives no rows.  Other columns are not read.
     """

@@ -25,45 +25,64 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document: a null or empty text gets the score of
+    a chunk of padding; repeated rows repeat; no documents, no rows."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and expressions of every whole document; a null or empty
+    text has no words and no labels; repeated rows repeat."""
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of 2048; a null or empty text is the
+    end id alone; repeated rows are packed each."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document; a null text has none."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every whole document; a null text has no words,
+    an empty benchmark hits nothing."""
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates; texts without words link with nothing,
+    rows with a null id have a null component and are kept."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start
+    elsewhere too; repeated rows lose such strings all, null is empty."""
     left = remove_repeats(table(spark, sf_dir, "documents"))
     sizes = F.transform("removed", lambda r: r["end"] - r["start"])
     return left.select("doc_id", "n_bytes", F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document: a null or empty text gets the score
+    of an empty window; repeated rows repeat."""
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every query; unusable vectors take no part, ties
+    go to the smaller id, a repeated row is one row."""
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document; a null or empty text has none;
+    repeated rows repeat."""
     return pii_report(table(spark, sf_dir, "documents"))
 
 

@@ -4,6 +4,7 @@ and Arrow batches cut to bounded pieces."""
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
-    Where it is unset (local tests), a temporary one is set."""
+    Where it is unset, a temporary one is set if all runs in one machine's
+    process; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='corpusmill-')}"
         atexit.register(shutil.rmtree, urlparse(folder).path, True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -58,10 +62,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a stored table that no later step reads."""
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        _drop(spark, f)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            _drop(df.sparkSession, folder)
 
 
 def numbered(df: DataFrame) -> DataFrame:
