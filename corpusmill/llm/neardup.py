@@ -189,7 +189,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id
 
     group = reps.select("k1", "k2", "rep", "node").join(component, "node", "left").withColumn("group", F.coalesce("component", "node"))
     group = stored(group.select("k1", "k2", "rep", "group"), "groups")
-    smallest = group.groupBy("group").agg(F.min("rep").alias("component_id"))
+    smallest = stored(group.groupBy("group").agg(F.min("rep").alias("component_id")), "smallest")  # stored: the join can split a hot group
     of_set = group.join(smallest, "group").select("k1", "k2", "group", "component_id")
     linked = (F.col("size") > 0) & F.col("id").isNotNull()
     shared = sketch.where(linked).join(of_set, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "text_key", F.col("size").alias("n_shingles"), "group", "component_id")
@@ -217,7 +217,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows with a null id stay."""
     names = docs.columns
     rows = stored(groups(docs, id_col=id_col, text_col=text_col, broadcast_ids=broadcast_ids, **options), "rows")
-    best = rows.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    best = stored(rows.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("best")), "best")
     judged = rows.join(best, "group").withColumn("stays", F.struct("doc_id", "text_key") == F.col("best"))
     found = stored(judged.groupBy("doc_id", "text_key").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"), "not-single")
     id_, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
