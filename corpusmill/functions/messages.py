@@ -55,32 +55,131 @@ def fingerprint(declared: Column) -> Column:
     return F.to_json(declared)
 
 
+def tools_block(prompt: Column) -> Column:
+    """The text between the first opening tag of a tools block and the closing
+    tag after it; null without one."""
+    after = prompt.substr(F.instr(prompt, "<tools>") + 7, F.char_length(prompt))
+    return F.when(prompt.contains("<tools>") & after.contains("</tools>"), F.substring_index(after, "</tools>", 1))
+
+
 def rendered_tools(prompt: Column) -> Column:
-    """Canonical declarations inside a rendered prompt's tools block, null
-    where there is none (FN-03)."""
-    block = F.regexp_extract(prompt, r"(?s)<tools>(.*?)</tools>", 1)
-    lines = F.filter(F.split(block, "\n"), lambda x: F.trim(x) != "")
-    return F.when(prompt.rlike(r"(?s)<tools>.*</tools>"), F.to_json(F.from_json(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")), TOOLS)))
+    """Canonical declarations inside a rendered prompt's tools block; a prompt
+    without a block, and a line that is no JSON, fail the job (FN-03)."""
+    lines = F.filter(T.lines(tools_block(prompt)), lambda x: T.strip(x) != "")
+    wrong = F.exists(lines, lambda x: F.try_parse_json(x).isNull())
+    read = F.to_json(F.from_json(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")), TOOLS))
+    return F.when(tools_block(prompt).isNull(), F.raise_error(F.lit("the prompt has no tools block"))).when(wrong, F.raise_error(F.lit("a line of the tools block is no JSON"))).otherwise(read)
+
 
+#: Fields of a message beside role and content, with their types.
+CALLS = "array<struct<id:string,type:string,function:struct<name:string,arguments:map<string,string>>>>"
+OTHERS = {"reasoning_content": "string", "name": "string", "tool_call_id": "string", "tool_calls": CALLS}
 
-def fold_system(messages: Column) -> Column:
+
+def fold_system(messages: Column, others: dict[str, str] | None = None) -> Column:
     """The leading system and developer messages as one system message, the
-    contents joined by a blank line; later ones stay (FN-04)."""
+    contents joined by a blank line; later ones stay, and every other message
+    stays as it is, with all its fields (FN-04).
+
+    others: the message's further fields and their types, which the folded
+    message has as nulls.
+    """
     opening = lambda m: m["role"].isin("system", "developer")
-    others = F.filter(F.transform(messages, lambda m, i: F.struct(i.alias("i"), opening(m).alias("opening"))), lambda x: ~x["opening"])
-    n = F.when(F.size(others) > 0, others[0]["i"]).otherwise(F.size(messages))
-    head = F.slice(messages, F.lit(1), n)
-    rest = F.slice(messages, n + 1, F.greatest(F.size(messages) - n, F.lit(0)))
-    joined = F.array_join(F.transform(head, lambda m: F.coalesce(m["content"], F.lit(""))), "\n\n")
-    return F.when(n == 0, F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content")))).otherwise(
-        F.concat(F.array(F.struct(F.lit("system").alias("role"), joined.alias("content"))), F.transform(rest, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content"))))
-    )
-
-
-def render_chatml(messages: Column, generation_prompt: bool = False) -> Column:
-    """Turn markers around each message of a folded list (FN-05)."""
-    turns = F.array_join(F.transform(fold_system(messages), lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")
-    return F.concat(turns, F.lit("<|im_start|>assistant\n<think>\n")) if generation_prompt else turns
+    rest_from = F.filter(F.transform(messages, lambda m, i: F.struct(i.alias("i"), opening(m).alias("opening"))), lambda x: ~x["opening"])
+    n = F.when(F.size(rest_from) > 0, F.get(rest_from, F.lit(0))["i"]).otherwise(F.size(messages))
+
+    def folded(n: Column) -> Column:
+        head = F.slice(messages, F.lit(1), n)
+        joined = F.array_join(F.transform(head, lambda m: F.coalesce(m["content"], F.lit(""))), "\n\n")
+
+        def one(m: Column) -> Column:
+            m = m.withField("role", F.lit("system")).withField("content", joined)
+            for name, kind in (others or {}).items():
+                m = m.withField(name, F.lit(None).cast(kind))
+            return m
+
+        return F.concat(F.transform(F.slice(head, F.lit(1), F.lit(1)), one), F.slice(messages, n + 1, F.greatest(F.size(messages) - n, F.lit(0))))
+
+    return T.bound(n, folded)
+
+
+def render_chatml(messages: Column) -> Column:
+    """Turn markers around role and content of each message of a folded list:
+    what plain conversations need."""
+    turn = lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>\n"))
+    return F.array_join(F.transform(fold_system(messages), turn), "")
+
+
+def rendered_call(call: Column) -> Column:
+    """A tool call in the native format that `parse_tool_calls` reads."""
+    parameter = lambda e: F.concat(F.lit("<parameter="), e["key"], F.lit(">\n"), F.coalesce(e["value"], F.lit("")), F.lit("\n</parameter>\n"))
+    body = F.array_join(F.transform(F.map_entries(F.coalesce(call["function"]["arguments"], F.create_map().cast("map<string,string>"))), parameter), "")
+    return F.concat(F.lit("<tool_call>\n<function="), call["function"]["name"], F.lit(">\n"), body, F.lit("</function>\n</tool_call>"))
+
+
+def render_chat(messages: Column, tools: Column | None = None, generation_prompt: bool = False, options: Column | None = None) -> Column:
+    """A whole trajectory as text (FN-05): the declared tools (an array of JSON
+    lines) inside the system turn, thoughts of every assistant turn, calls in
+    the native format, and answers of tools in turns of their own.
+
+    messages: array of MESSAGE.  options: a map that travels with the row
+    (UDF-06): enable_thinking `false` closes the thought at once, and
+    reasoning_effort is stated in the system turn.
+    """
+    options = F.create_map().cast("map<string,string>") if options is None else options
+    think = F.coalesce(options["enable_thinking"], F.lit("true")) != "false"
+    block = F.lit(None).cast("string") if tools is None else F.when(F.size(tools) > 0, F.concat(F.lit("<tools>\n"), F.array_join(tools, "\n"), F.lit("\n</tools>")))
+    effort = F.when(options["reasoning_effort"].isNotNull(), F.concat(F.lit("Reasoning effort: "), options["reasoning_effort"]))
+
+    def turn(m: Column) -> Column:
+        content = F.coalesce(m["content"], F.lit(""))
+        thought = F.concat(F.lit("<think>\n"), F.coalesce(m["reasoning_content"], F.lit("")), F.lit("\n</think>\n\n"))
+        made = F.transform(F.coalesce(m["tool_calls"], F.array().cast(CALLS)), rendered_call)
+        spoken = F.concat(thought, content, F.when((content != "") & (F.size(made) > 0), "\n").otherwise(""), F.array_join(made, "\n"))
+        role = F.when(m["role"] == "tool", "user").otherwise(m["role"])
+        text = F.when(m["role"] == "assistant", spoken).when(m["role"] == "tool", F.concat(F.lit("<tool_response>\n"), content, F.lit("\n</tool_response>"))).otherwise(content)
+        return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
+
+    def rendered(folded: Column) -> Column:
+        has = (F.size(folded) > 0) & (F.get(folded, F.lit(0))["role"] == "system")
+        own = F.when(has, F.nullif(F.coalesce(F.get(folded, F.lit(0))["content"], F.lit("")), F.lit("")))
+        system = F.concat_ws("\n\n", block, effort, own)
+        head = F.when(has | (system != ""), F.concat(F.lit("<|im_start|>system\n"), system, F.lit("<|im_end|>\n"))).otherwise("")
+        turns = F.transform(F.when(has, F.slice(folded, F.lit(2), F.greatest(F.size(folded) - 1, F.lit(0)))).otherwise(folded), turn)
+        text = F.concat(head, F.array_join(turns, ""))
+        return F.concat(text, F.lit("<|im_start|>assistant\n<think>\n"), F.when(think, "").otherwise("\n</think>\n\n")) if generation_prompt else text
+
+    return T.bound(fold_system(messages, OTHERS), rendered)
+
+
+def after_prefix(full: Column, prompt: Column) -> Column:
+    """What follows a prompt in a full text (FN-10); a text that does not
+    begin with its prompt fails the job."""
+    return F.when(full.startswith(prompt), full.substr(F.char_length(prompt) + 1, F.char_length(full))).otherwise(F.raise_error(F.lit("the template's prefix drifts: a completion cannot be told from its prompt")))
+
+
+def preference(prompt: Column, chosen: Column, rejected: Column, chosen_reward: Column, rejected_reward: Column, infra: Column, tools: Column | None = None) -> Column:
+    """(prompt, chosen, rejected) texts of a preference row (CMP-04).  Failed
+    infrastructure comes first, then rewards that do not prefer, then a prefix
+    that drifts; each fails the job (GATE-05)."""
+    before = render_chat(prompt, tools, generation_prompt=True)
+    completion = lambda m: after_prefix(render_chat(F.concat(prompt, F.array(m)), tools), before)
+    ok = F.struct(before.alias("prompt"), completion(chosen).alias("chosen"), completion(rejected).alias("rejected"))
+    return F.when(~infra.eqNullSafe(F.lit("ok")), F.raise_error(F.lit("an infrastructure failure is no preference"))).when(~F.coalesce(chosen_reward > rejected_reward, F.lit(False)), F.raise_error(F.lit("the chosen reward must be the larger one"))).otherwise(ok)
+
+
+def supervision(messages: Column, answer: Column, observation: Column) -> Column:
+    """The audit of what is trained on (CMP-18, AGG-11): the supervised text,
+    and whether any of it is trained, nothing before the first answer is, the
+    expected answer is in it and the tools' observation is not."""
+    def audit(spans: Column) -> Column:
+        on = F.filter(spans, lambda s: s["trainable"])
+        joined = F.array_join(F.transform(on, lambda s: s["text"]), "\n")
+        first = F.array_position(F.transform(spans, lambda s: s["trainable"]), F.lit(True))
+        before = F.slice(spans, F.lit(1), F.greatest(first.cast("int") - 1, F.lit(0)))
+        return F.struct(joined.alias("text"), (F.size(on) > 0).alias("some"), (~F.exists(before, lambda s: s["trainable"])).alias("nothing_before"), joined.contains(answer).alias("answer"), (~joined.contains(observation)).alias("no_observation"))
+
+    return T.bound(trainable(messages), audit)
 
 
 #: Patterns of native tool calls.

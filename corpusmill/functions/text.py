@@ -17,6 +17,25 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"\A{SPACE}+", ""), rf"{SPACE}+\z", "")
 
 
+def lines(text: Column) -> Column:
+    """The lines of a text as Python's splitlines() has them: every Unicode
+    line end counts, and the end of the last line opens no further one."""
+    ends = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+    parts = F.split(text, ends, -1)
+    return bound(parts, lambda p: F.when(F.get(p, F.size(p) - 1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+
+def float_text(text: Column) -> Column:
+    """The number that Python's float() reads, or null (FLT-04): padding,
+    exponents, inf and nan in any case, and single underscores between
+    digits; no type suffixes."""
+    clean = strip(text)
+    number = r"\A[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?\z"
+    special = F.lower(F.regexp_replace(clean, r"\A[+-]", ""))
+    sign = F.when(clean.startswith("-"), -1.0).otherwise(1.0)
+    return F.when(clean.rlike(number), F.replace(clean, F.lit("_"), F.lit("")).try_cast("double")).when(special.isin("inf", "infinity"), sign * F.lit(float("inf"))).when(special == "nan", F.lit(float("nan")))
+
+
 def normalised(text: Column) -> Column:
     """Lower case, runs of white space one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n\f\x{0b}]+", " "))
@@ -69,8 +88,9 @@ def numbers(text: Column) -> Column:
 
 
 def bare_number(text: Column) -> Column:
-    """Whether a text is one number after trimming and dropping commas (FLT-03)."""
-    return F.replace(F.trim(text), F.lit(","), F.lit("")).rlike(r"^-?[0-9]+(?:\.[0-9]+)?$")
+    """Whether a text is one number after trimming white space of any kind and
+    dropping commas (FLT-03)."""
+    return F.replace(strip(text), F.lit(","), F.lit("")).rlike(r"\A-?[0-9]+(?:\.[0-9]+)?\n?\z")
 
 
 def spans(text: Column, start: str, end: str) -> Column:
@@ -129,7 +149,9 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def word_windows(text: Column, n: int) -> Column:
-    """64-bit hashes of the runs of n words of the normalised text; fewer
-    words give none."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-    return bound(F.split(normalised(text), " "), lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<bigint>")))
+    """64-bit hashes of the runs of n words of the normalised text, from the
+    hashes of the words, so that no run is built as a text; fewer words give
+    none."""
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+    hashes = F.transform(F.split(normalised(text), " "), lambda w: F.xxhash64(w))
+    return bound(hashes, lambda h: F.when(F.size(h) >= n, runs(h)).otherwise(F.array().cast("array<bigint>")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
@@ -80,3 +80,13 @@ def validate(version: Column, stored: Column, declared: Column, messages: Column
     after = _some(~F.coalesce(verified, F.lit(False)), _error("not_verified", row))
     empty = messages.isNull() | (F.size(messages) == 0)
     return F.when(empty, F.array(_error("no_messages", row))).otherwise(F.concat(before, message_errors(messages, names), after))
+
+
+def require_valid(rows: DataFrame, errors: str, key: str, shown: int = 20) -> DataFrame:
+    """The rows, if none has errors; else the job fails and shows the first
+    ones by key (GATE-01)."""
+    wrong = rows.where(F.size(errors) > 0)
+    if first := wrong.select(key, errors).orderBy(key).limit(shown).collect():
+        lines = "\n".join(f"{r[0]}: " + ", ".join(f"{e['code']}@{e['idx']}" for e in r[1]) for r in first)
+        raise ValueError(f"{wrong.count()} invalid rows, the first {len(first)}:\n{lines}")
+    return rows

@@ -83,7 +83,10 @@ def test_rendered_tools(spark):
     want = M.canonical(M.tools())
     lines = "\n".join(json.dumps(t) for t in M.tools())
     rows = spark.createDataFrame([(f"x <tools>\n{lines}\n</tools> y",), ("none",)], "p string")
-    assert [r[0] for r in rows.select(M.rendered_tools(F.col("p"))).collect()] == [want, None]
+    assert rows.where("p like 'x%'").select(M.rendered_tools(F.col("p"))).first()[0] == want
+    for wrong in ("none", "<tools>\n{\"a\": 1\n</tools>", "</tools> <tools>"):
+        with pytest.raises(Exception, match="tools block"):
+            spark.createDataFrame([(wrong,)], "p string").select(M.rendered_tools(F.col("p"))).collect()
 
 
 @pytest.mark.parametrize(("roles", "expected"), [("dsu", ["system", "user"]), ("d", ["system"]), ("uds", ["user", "developer", "system"]), ("u", ["user"])])
