@@ -177,7 +177,7 @@ def supervision(messages: Column, answer: Column, observation: Column) -> Column
         joined = F.array_join(F.transform(on, lambda s: s["text"]), "\n")
         first = F.array_position(F.transform(spans, lambda s: s["trainable"]), F.lit(True))
         before = F.slice(spans, F.lit(1), F.greatest(first.cast("int") - 1, F.lit(0)))
-        return F.struct(joined.alias("text"), (F.size(on) > 0).alias("some"), (~F.exists(before, lambda s: s["trainable"])).alias("nothing_before"), joined.contains(answer).alias("answer"), (~joined.contains(observation)).alias("no_observation"))
+        return F.struct(joined.alias("text"), (F.size(on) > 0).alias("any_trained"), (~F.exists(before, lambda s: s["trainable"])).alias("nothing_before"), joined.contains(answer).alias("answer"), (~joined.contains(observation)).alias("no_observation"))
 
     return T.bound(trainable(messages), audit)
 
