@@ -95,3 +95,25 @@ def around(text: Column, sentinel: str, start: str) -> tuple[Column, Column]:
     last start marker on (FN-24)."""
     before, after = F.substring_index(text, sentinel, 1), F.substring_index(text, sentinel, -1)
     return F.when(before.contains(start), F.concat(F.lit(start), F.substring_index(before, start, -1))).otherwise(before), after
+
+
+def render(prepared: Column, tools: Column) -> Column:
+    """Prepared messages as text: the declared tools as JSON lines in the
+    system turn, calls as JSON in their tags.  A row of which any part is
+    missing gives null, which the caller drops (CMP-05)."""
+    line = lambda t: F.concat(F.lit('{"name":"'), t["name"], F.lit('","parameters":'), t["parameters"], F.lit("}"))
+    block = F.when(F.size(tools) > 0, F.concat(F.lit("<tools>\n"), F.array_join(F.transform(tools, line), "\n"), F.lit("\n</tools>")))
+    called = lambda c: F.concat(F.lit('<tool_call>\n{"name":"'), c["name"], F.lit('","arguments":'), c["arguments"], F.lit("}\n</tool_call>"))
+
+    def turn(m: Column) -> Column:
+        calls_ = F.array_join(F.transform(m["tool_calls"], called), "\n")
+        text = F.concat_ws("\n", F.when(m["content"] != "", m["content"]), F.when(F.size(m["tool_calls"]) > 0, calls_))
+        return F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), text, F.lit("<|im_end|>\n"))
+
+    own = F.get(prepared, F.lit(0))
+    has = own["role"] == "system"
+    system = F.concat_ws("\n\n", block, F.when(has, F.nullif(own["content"], F.lit(""))))
+    head = F.when(system != "", F.concat(F.lit("<|im_start|>system\n"), system, F.lit("<|im_end|>\n"))).otherwise("")
+    rest = F.when(has, F.slice(prepared, F.lit(2), F.greatest(F.size(prepared) - 1, F.lit(0)))).otherwise(prepared)
+    turns = F.transform(rest, turn)
+    return F.when(~F.exists(turns, lambda t: t.isNull()), F.concat(head, F.array_join(turns, "")))

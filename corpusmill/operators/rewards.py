@@ -63,3 +63,23 @@ def span_correct(text: Column, answer: Column) -> Column:
     """The only solution span equals the answer but for line feeds (CMP-15)."""
     found = T.spans(text, *SOLUTION)
     return F.when((F.size(found) == 1) & (F.replace(F.when(F.size(found) > 0, found[0]), F.lit("\n"), F.lit("")) == answer), 2.0).otherwise(0.0)
+
+
+#: Rewards by name: functions of a completion and of a row's columns (UDF-03).
+Reward = Callable[[Column, Callable[[str], Column]], Column]
+REWARDS: dict[str, Reward] = {
+    "channel_format": lambda text, row: channel_format(text),
+    "number_format": lambda text, row: number_format(text),
+    "number_correct": lambda text, row: number_correct(text, row("gold")),
+    "span_format": lambda text, row: span_format(text),
+    "span_correct": lambda text, row: span_correct(text, row("answer")),
+}
+
+
+def total(names: list[str], text: Column, row: Callable[[str], Column], rewards: dict[str, Reward] | None = None) -> Column:
+    """The sum of the named rewards; one that gives nothing is worth 0
+    (CMP-16)."""
+    known = REWARDS if rewards is None else rewards
+    if unknown := set(names) - set(known):
+        raise ValueError(f"unknown rewards: {sorted(unknown)}")
+    return sum((F.coalesce(known[n](text, row).cast("double"), F.lit(0.0)) for n in names), F.lit(0.0))

@@ -3,13 +3,17 @@ and the scorecard.  Episodes are a user's events of a day."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions import text as T
 from ..operators import episodes as E
+from ..operators import judgement as J
 from ..operators import rewards as R
+from ..operators.split import within_budget
 from ..operators.validate import validate
 from .registry import NORMAL, WORDS, query, table
 from .text_queries import inline, values
@@ -128,15 +132,6 @@ def cmp_length_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(E.context_band(F.col("tokens")).alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("tokens") > 8192).alias("over_limit"))
 
 
-@query("SELECT lang, doc_id, CAST(total AS BIGINT) AS total FROM (SELECT lang, doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents) JOIN (VALUES ('en', 0.5), ('de', 0.3), ('fr', 0.2)) s(l, share) ON lang = l WHERE total <= share * 100000")
-def cmp_mixture_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-25: a mixture by shares of a size budget, in hash order."""
-    total = F.sum("n_chars").over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    shares = inline(spark, "lang string, share double", [("en", 0.5), ("de", 0.3), ("fr", 0.2)])
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars").join(F.broadcast(shares), "lang")
-    return docs.withColumn("total", total).where(F.col("total") <= F.col("share") * 100000).select("lang", "doc_id", "total")
-
-
 @query(f"SELECT h, count(*) AS copies, min(doc_id) AS kept FROM (SELECT doc_id, sha256({NORMAL}) AS h FROM documents) GROUP BY h HAVING count(*) > 1")
 def cmp_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-26, JON-07: normalised copies and the one that stays."""
@@ -162,62 +157,49 @@ def cmp_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams(table(spark, sf_dir, "documents"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count_distinct("g").alias("shared"))
 
 
-@query("SELECT source, lang, arg_max(doc_id, (quality, -toxic, doc_id)) AS chosen, arg_min(doc_id, (quality, -toxic, doc_id)) AS rejected FROM documents JOIN labels USING (doc_id) GROUP BY source, lang HAVING max(quality) > min(quality)")
-def cmp_preference_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-21: of the same state, a clear winner and loser."""
-    order = F.struct("quality", -F.col("toxic"), "doc_id")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    pairs = rows.groupBy("source", "lang").agg(F.max_by("doc_id", order).alias("chosen"), F.min_by("doc_id", order).alias("rejected"), F.max("quality").alias("high"), F.min("quality").alias("low"))
-    return pairs.where("high > low").select("source", "lang", "chosen", "rejected")
-
-
 @query(
     f"""SELECT 'rows' AS section, lang AS key, CAST(count(*) AS DOUBLE) AS value FROM documents GROUP BY lang
     UNION ALL SELECT 'tokens', lang, CAST(sum({WORDS}) AS DOUBLE) FROM documents GROUP BY lang
+    UNION ALL SELECT 'length', 'p' || CAST(q * 100 AS INT), round(v, 6) FROM (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS q, unnest(quantile_cont(n, [0.5, 0.9, 0.95, 0.99])) AS v FROM (SELECT {WORDS} AS n FROM documents))
     UNION ALL SELECT 'source', source, CAST(count(*) AS DOUBLE) FROM documents GROUP BY source
+    UNION ALL SELECT 'rates', 'pass', round(avg(quality), 6) FROM labels
+    UNION ALL SELECT 'rates', 'replay', round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0 END), 6) FROM labels
+    UNION ALL SELECT 'rates', 'parse', round(avg(CASE WHEN NOT contains(text, '<tool_call>') THEN 1.0 ELSE 0 END), 6) FROM documents
+    UNION ALL SELECT 'rejections', r, CAST(count(*) AS DOUBLE) FROM (SELECT unnest(list_filter([CASE WHEN quality = 0 THEN 'required_tests_fail' END, CASE WHEN toxic = 1 THEN 'verification_cheated' END], lambda x: x IS NOT NULL)) AS r FROM labels) GROUP BY r
     UNION ALL SELECT 'duplicates', 'exact', CAST(count(*) - count(DISTINCT sha256({NORMAL})) AS DOUBLE) FROM documents
-    UNION ALL SELECT 'labels', 'quality', round(avg(quality), 6) FROM labels
-    UNION ALL SELECT 'labels', 'toxic', round(avg(toxic), 6) FROM labels"""
+    UNION ALL SELECT 'contamination', 'exact', CAST(count(*) AS DOUBLE) FROM documents WHERE sha256({NORMAL}) IN (SELECT sha256({NORMAL}) FROM benchmark)
+    UNION ALL SELECT 'licences', 'stated', CAST(count(DISTINCT source) AS DOUBLE) FROM documents WHERE regexp_matches(text, 'Licen[sc]e')
+    UNION ALL SELECT 'template', '{M.SCHEMA_VERSION}', 1.0"""
 )
 def cmp_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-27, AGG-12/13/14/19: the dataset report, one row a figure."""
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
+    """CMP-27, AGG-19: the dataset report in nine sections, one row a figure:
+    counts, lengths, distribution, rates, rejections, duplicates and
+    contamination, licences, template."""
+    docs, labels, text = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("text")
     row = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
-    by_lang = docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(T.word_count(F.col("text"))).alias("t"))
-    parts = [row(by_lang, "rows", F.col("lang"), F.col("n")), row(by_lang, "tokens", F.col("lang"), F.col("t")), row(docs.groupBy("source").agg(F.count("*").alias("n")), "source", F.col("source"), F.col("n"))]
-    copies = docs.groupBy(T.content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("n")).agg((F.sum("n") - F.count("*")).alias("n"))
-    parts += [row(copies, "duplicates", F.lit("exact"), F.col("n")), row(labels, "labels", F.lit("quality"), F.col("quality")), row(labels, "labels", F.lit("toxic"), F.col("toxic"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query("SELECT source, concat_ws(',', CASE WHEN count(lang) = 0 THEN 'lang' END, CASE WHEN max(n_chars) IS NULL THEN 'size' END, 'licence') AS missing FROM documents GROUP BY source")
-def cmp_registry_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-33/34: facts that a source's entry lacks."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("lang").alias("langs"), F.max("n_chars").alias("size"))
-    missing = F.array_compact(F.array(F.when(F.col("langs") == 0, "lang"), F.when(F.col("size").isNull(), "size"), F.lit("licence")))
-    return rows.select("source", F.array_join(missing, ",").alias("missing"))
-
-
-@query("WITH m AS (SELECT event_id % 2 AS side, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0 END) AS s FROM events GROUP BY 1), d AS (SELECT (SELECT s FROM m WHERE side = 1) - (SELECT s FROM m WHERE side = 0) AS d, (SELECT s FROM m WHERE side = 0) AS p) SELECT round(d, 6) AS delta, d >= -0.02 * p AS sft_static, d >= 0.03 AS rl, d >= -0.01 AS four_bit, d >= -0.02 AS three_bit, d >= -0.05 AS two_bit FROM d")
-def cmp_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-28: stage gates on candidate less parent; limits are parameters of
-    the policy."""
-    ok = (F.col("event_type") != "error").cast("double")
-    m = table(spark, sf_dir, "events").agg(F.avg(F.when(F.col("event_id") % 2 == 0, ok)).alias("p"), F.avg(F.when(F.col("event_id") % 2 == 1, ok)).alias("c")).withColumn("d", F.col("c") - F.col("p"))
-    limits = {"rl": 0.03, "four_bit": -0.01, "three_bit": -0.02, "two_bit": -0.05}
-    return m.select(F.round("d", 6).alias("delta"), (F.col("d") >= -0.02 * F.col("p")).alias("sft_static"), *[(F.col("d") >= v).alias(k) for k, v in limits.items()])
-
-
-@query("SELECT tier, round(tasks * attempts * minutes / 60.0, 6) AS upper_hours, CAST(ceiling AS DOUBLE) AS ceiling, tasks * attempts * minutes / 60.0 <= ceiling AS within FROM (VALUES ('sentinel', 12, 1, 8, 1.6), ('candidate', 24, 3, 12, 14.4), ('release', 40, 3, 15, 30.0)) t(tier, tasks, attempts, minutes, ceiling)")
-def cmp_budget_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-31, CMP-08: the longest a tier can take against its ceiling."""
-    tiers = inline(spark, "tier string, tasks int, attempts int, minutes int, ceiling double", [("sentinel", 12, 1, 8, 1.6), ("candidate", 24, 3, 12, 14.4), ("release", 40, 3, 15, 30.0)])
-    hours = F.round(F.col("tasks") * F.col("attempts") * F.col("minutes") / 60, 6)
-    return tiers.select("tier", hours.alias("upper_hours"), "ceiling", (hours <= F.col("ceiling")).alias("within"))
+    named = lambda df, section: row(df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in df.columns])).alias("x")), section, F.col("x.k"), F.col("x.v"))
+    by_lang = docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(T.word_count(text)).alias("t"))
+    of_text = docs.select(T.word_count(text).alias("n"), text.contains("<tool_call>").alias("call"), "source", text.rlike("Licen[sc]e").alias("licence"))
+    shares = (0.5, 0.9, 0.95, 0.99)
+    p = of_text.agg(F.percentile("n", F.array(*map(F.lit, shares))).alias("p")).select(*[F.round(F.col("p")[i], 6).alias(f"p{int(q * 100)}") for i, q in enumerate(shares)])
+    rate = lambda c: F.round(F.avg(c.cast("double")), 6)
+    hashes = docs.groupBy(T.content_hash(text).alias("h")).agg(F.count("*").alias("n"))
+    held = table(spark, sf_dir, "benchmark").select(T.content_hash(text).alias("h")).distinct()
+    reasons = labels.select(F.explode(J.rejection({"required_tests_fail": F.col("quality") == 0, "verification_cheated": F.col("toxic") == 1})["reasons"]).alias("r")).groupBy("r").agg(F.count("*").alias("n"))
+    parts = [
+        row(by_lang, "rows", F.col("lang"), F.col("n")),
+        row(by_lang, "tokens", F.col("lang"), F.col("t")),
+        named(p, "length"),
+        row(docs.groupBy("source").agg(F.count("*").alias("n")), "source", F.col("source"), F.col("n")),
+        named(labels.agg(rate(F.col("quality")).alias("pass"), rate((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("replay")), "rates"),
+        named(of_text.agg(rate(~F.col("call")).alias("parse")), "rates"),
+        row(reasons, "rejections", F.col("r"), F.col("n")),
+        named(hashes.agg((F.sum("n") - F.count("*")).alias("exact")), "duplicates"),
+        named(hashes.join(held, "h").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("exact")), "contamination"),
+        named(of_text.where("licence").agg(F.count_distinct("source").alias("stated")), "licences"),
+        row(spark.range(1), "template", F.lit(M.SCHEMA_VERSION), F.lit(1)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT CAST(p AS DOUBLE) AS p, n, round(power(p, n), 6) AS all_correct FROM (VALUES (0.99), (0.98), (0.97)) a(p), (VALUES (10), (50)) b(n)")
@@ -227,27 +209,6 @@ def cmp_compounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p", F.explode(F.array(F.lit(10), F.lit(50))).alias("n")).withColumn("all_correct", F.round(F.pow("p", "n"), 6))
 
 
-@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' AND value < 5 THEN 'infrastructure' WHEN event_type = 'error' AND value < 20 THEN 'invalid_json' WHEN event_type = 'error' THEN 'tool_failure' WHEN prev = event_type THEN 'loop' WHEN value > 200 THEN 'budget' ELSE 'correct' END AS outcome FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS prev FROM events)) GROUP BY outcome")
-def cmp_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-29: one outcome for each call, infrastructure first."""
-    prev = F.lag("event_type").over(Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id"))
-    rows = table(spark, sf_dir, "events").withColumn("prev", prev)
-    error = F.col("event_type") == "error"
-    flags = {"infrastructure": error & (F.col("value") < 5), "invalid_json": error & (F.col("value") < 20), "tool_failure": error, "loop": F.coalesce(F.col("prev") == F.col("event_type"), F.lit(False)), "budget": F.col("value") > 200}
-    return rows.groupBy(E.outcome(flags).alias("outcome")).agg(F.count("*").alias("n"))
-
-
-@query("WITH e AS (SELECT user_id, event_id % 2 AS side, list(event_type ORDER BY event_id) AS a FROM events GROUP BY 1, 2), p AS (SELECT x.user_id, list_transform(range(1, least(len(x.a), len(y.a)) + 1), lambda i: x.a[i] = y.a[i]) AS same FROM e x JOIN e y ON x.user_id = y.user_id AND x.side = 0 AND y.side = 1) SELECT user_id, CAST(coalesce(list_position(same, false), 0) AS BIGINT) AS first_divergence FROM p")
-def cmp_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-30: the first action in which candidate and parent differ; 0 if
-    the shorter one is a prefix."""
-    e = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 2).alias("side")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("a"))
-    x, y = e.where("side = 0").select("user_id", F.col("a").alias("x")), e.where("side = 1").select("user_id", F.col("a").alias("y"))
-    n = F.least(F.size("x"), F.size("y"))
-    same = F.zip_with(F.slice("x", 1, n), F.slice("y", 1, n), lambda p, q: p.eqNullSafe(q))
-    return x.join(y, "user_id").select("user_id", F.array_position(same, F.lit(False)).alias("first_divergence"))
-
-
 @query(
     """WITH e AS (SELECT *, user_id || '/' || CAST(ts AS DATE) AS ep FROM events),
     p AS (SELECT ep, bool_and(event_type <> 'error') AS ok, count(*) AS calls, sum(value) AS seconds FROM e GROUP BY ep),
@@ -275,17 +236,24 @@ def met_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unpivot([], one.columns, "metric", "value").withColumn("value", F.round("value", 6))
 
 
-@query("SELECT round(count(*) FILTER (a AND NOT b) / count(*), 6) AS regression_rate, count(*) AS tests FROM (SELECT user_id, bool_or(event_type = 'click') FILTER (event_id % 2 = 0) AS a, bool_or(event_type = 'signup') FILTER (event_id % 2 = 1) AS b FROM events GROUP BY user_id) WHERE a IS NOT NULL AND b IS NOT NULL")
-def met_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET-03: tests that passed before and fail now."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(F.when(F.col("event_id") % 2 == 0, F.col("event_type") == "click")).alias("a"), F.bool_or(F.when(F.col("event_id") % 2 == 1, F.col("event_type") == "signup")).alias("b"))
-    return rows.where("a is not null and b is not null").agg(F.round(F.count_if(F.col("a") & ~F.col("b")) / F.count("*"), 6).alias("regression_rate"), F.count("*").alias("tests"))
+@query("SELECT lang, doc_id, CAST(total AS BIGINT) AS total FROM (SELECT lang, doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents) JOIN (VALUES ('en', 0.5), ('de', 0.3), ('fr', 0.2)) s(l, share) ON lang = l WHERE total <= share * 100000")
+def cmp_mixture_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CMP-25: a mixture by shares of a size budget, in hash order; no task
+    orders a whole language."""
+    shares = inline(spark, "lang string, share double", [("en", 0.5), ("de", 0.3), ("fr", 0.2)])
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars").join(F.broadcast(shares), "lang")
+    return within_budget(docs, "lang", "doc_id", "n_chars").where(F.col("total") <= F.col("share") * 100000).select("lang", "doc_id", "total")
+
+
+TIERS = [("protocol", 15, 1, 1, 0.25), ("sentinel", 12, 1, 8, 1.6), ("candidate", 24, 3, 12, 14.4), ("release", 40, 3, 15, 30.0)]
 
 
-@query("SELECT round(sum(quality) / count(*), 6) AS visible_fraction, round(count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (quality = 1), 0), 6) AS unsupported_claims, round(sum(CASE WHEN toxic = 0 THEN n_chars ELSE 0 END) / sum(n_chars), 6) AS patch_precision, round(count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (quality = 1), 0), 6) AS argument_success, round(sum(n_chars) / nullif(count(*) FILTER (quality = 1), 0), 6) AS size_per_success FROM documents JOIN labels USING (doc_id)")
-def met_outcome_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET-02/05/07/08/10 as ratios of sums."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    good = F.col("quality") == 1
-    share = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
-    return rows.agg(share(F.sum("quality"), F.count("*")).alias("visible_fraction"), share(F.count_if(good & (F.col("toxic") == 1)), F.count_if(good)).alias("unsupported_claims"), share(F.sum(F.when(F.col("toxic") == 0, F.col("n_chars")).otherwise(0)), F.sum("n_chars")).alias("patch_precision"), share(F.count_if(good & (F.col("toxic") == 0)), F.count_if(good)).alias("argument_success"), share(F.sum("n_chars"), F.count_if(good)).alias("size_per_success"))
+@query(f"SELECT tier, round(tasks * attempts * minutes / 60.0, 6) AS upper_hours, round(tasks * attempts * (SELECT avg(value) FROM events) / 3600.0, 6) AS expected_hours, ceiling, round(tasks * attempts * minutes / 60.0, 6) <= ceiling AS within FROM {values(TIERS, 'tier, tasks, attempts, minutes, ceiling')}")
+def cmp_budget_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CMP-31, CMP-08: the longest each of the four tiers can take against its
+    ceiling, and what it takes at the measured mean."""
+    mean = table(spark, sf_dir, "events").agg(F.avg("value").alias("mean"))
+    runs = F.col("tasks") * F.col("attempts")
+    upper = F.round(runs * F.col("minutes") / 60, 6)
+    tiers = inline(spark, "tier string, tasks int, attempts int, minutes int, ceiling double", TIERS).join(F.broadcast(mean))  # four rows and one
+    return tiers.select("tier", upper.alias("upper_hours"), F.round(runs * F.col("mean") / 3600, 6).alias("expected_hours"), "ceiling", (upper <= F.col("ceiling")).alias("within"))

@@ -8,11 +8,13 @@ arguments).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.readers import pinned
+from ..sources.readers import answer_tool, from_rows, pinned
 from .registry import WORDS, query, table
 
 
@@ -90,13 +92,6 @@ def flt_numeric_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * FROM " + ANSWERS.replace("\\", "\\\\") + " t(id, answer)").where(T.bare_number(F.col("answer")))
 
 
-@query("SELECT event_id, TRY_CAST(substr(event_type, 1, 1) || CAST(value AS VARCHAR) AS DOUBLE) IS NOT NULL AS as_text, TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS number FROM events")
-def flt_try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-04: numbers by attempted cast."""
-    value = F.col("value").cast("string")
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.substring("event_type", 1, 1), value).try_cast("double").isNotNull().alias("as_text"), value.try_cast("double").alias("number"))
-
-
 @query(f"SELECT doc_id, {WORDS} AS tokens FROM documents WHERE {WORDS} <= 512")
 def flt_length_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-05, FN-09: texts over the budget go whole, none is cut."""
@@ -147,3 +142,57 @@ def gate_required_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     want = spark.sql("SELECT explode(array('en','de','fr','es')) AS lang")
     have = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     return want.join(have, "lang", "left").select("lang", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("present"))
+
+
+FLOATS = [(1, "42", 42.0), (2, " -3.5\t", -3.5), (3, "1e5", 100000.0), (4, "1_000", 1000.0), (5, "inf", float("inf")), (6, "-Infinity", float("-inf")), (7, "1__0", None), (8, "3d", None), (9, "", None), (10, ".5", 0.5), (11, "5.", 5.0), (12, "1,2", None), (13, "\u20037\u00a0", 7.0), (14, "0x10", None), (15, "+2E-1", 0.2), (16, None, None)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if x is None else repr(x) + '::DOUBLE' if abs(x) != float('inf') else chr(39) + str(x) + chr(39) + '::DOUBLE'})" for i, _, x in FLOATS) + ") t(id, number) UNION ALL SELECT event_id + 1000, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END FROM events")
+def flt_try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-04: numbers by attempted reading: padding, exponents, infinities
+    and underscores count, type suffixes and doubled underscores do not; and
+    every event's value as text, a fifth of them spoilt."""
+    texts = spark.createDataFrame([(i, t) for i, t, _ in FLOATS], "id long, text string")
+    value = F.col("value").cast("string")
+    events = table(spark, sf_dir, "events").select((F.col("event_id") + 1000).alias("id"), F.when(F.col("event_id") % 5 == 0, F.concat(value, F.lit(" s"))).otherwise(F.concat(F.lit(" "), value)).alias("text"))
+    return texts.unionByName(events).select("id", T.float_text(F.col("text")).alias("number"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def src_named_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-03: a scan of one named configuration below a path."""
+    return pinned(spark, sf_dir, revision="v1", name="documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, json_extract_string(j, '$.params.input[0].content') AS content, CAST(json_extract(j, '$.params.limits.calls') AS BIGINT) AS calls FROM (SELECT event_id, '{\"params\":{\"input\":[{\"role\":\"user\",\"content\":\"' || event_type || ' ' || user_id || '\"},{\"role\":\"system\"}],\"limits\":{\"calls\":' || user_id % 7 || '}}}' AS j FROM events)")
+def src_nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-07: values from inside nested JSON, by a declared schema."""
+    j = F.concat(F.lit('{"params":{"input":[{"role":"user","content":"'), "event_type", F.lit(" "), F.col("user_id").cast("string"), F.lit('"},{"role":"system"}],"limits":{"calls":'), (F.col("user_id") % 7).cast("string"), F.lit("}}}"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json(j, "params struct<input:array<struct<role:string,content:string>>,limits:struct<calls:bigint>>").alias("r"))
+    return rows.select("event_id", F.get("r.params.input", F.lit(0))["content"].alias("content"), F.col("r.params.limits.calls").alias("calls"))
+
+
+@query("SELECT * FROM (VALUES (1, 'fix the parser', 3), (2, 'fix the clamp', NULL)) t(id, request, budget)")
+def src_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-01: rows in memory under a declared schema."""
+    return from_rows(spark, [{"id": 1, "request": "fix the parser", "budget": 3}, {"budget": None, "request": "fix the clamp", "id": 2}], "id int, request string, budget int")
+
+
+PATHS = "SELECT 'src/' || CAST(doc_id % 7 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents"
+
+
+@query(
+    f"""WITH f AS ({PATHS}), t AS (SELECT *, sum(strlen(text)) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM f WHERE NOT contains(text, chr(0))),
+    l AS (SELECT path, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM (SELECT path, CASE WHEN text LIKE '%' || chr(10) THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS p FROM t WHERE total <= 5000000)),
+    h AS (SELECT path, i, path || ':' || i || ':' || line AS hit FROM l WHERE regexp_matches(line, 'rights reserved') ORDER BY path, i LIMIT 200)
+    SELECT 'list_files' AS tool, left(string_agg(path, chr(10) ORDER BY path), 20000) AS answer FROM (SELECT path FROM f WHERE path LIKE 'src/3/%' ORDER BY path LIMIT 200)
+    UNION ALL SELECT 'read_file', left(max(text), 20000) FROM f WHERE path = 'src/5/5.txt'
+    UNION ALL SELECT 'search', left(coalesce(string_agg(hit, chr(10) ORDER BY path, i), '') || CASE WHEN count(*) >= 200 THEN chr(10) || '[search truncated after 200 matches]' WHEN (SELECT max(total) FROM t) > 5000000 THEN chr(10) || '[search truncated after 5 MB]' ELSE '' END, 20000) FROM h
+    UNION ALL SELECT 'shell', 'shell is disabled' UNION ALL SELECT 'grep', 'unknown tool: grep'"""
+)
+def cmp_tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CMP-07, FN-13/14, WIN-04/05: what the tools answer over a file tree."""
+    path = F.concat(F.lit("src/"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    asked = [("list_files", {"path": "src/3"}), ("read_file", {"path": "src/5/5.txt"}), ("search", {"query": "rights reserved"}), ("shell", {}), ("grep", {})]
+    return reduce(DataFrame.unionByName, [answer_tool(files, name, arguments).select(F.lit(name).alias("tool"), F.col("text").alias("answer")) for name, arguments in asked])

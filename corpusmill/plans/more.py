@@ -19,6 +19,18 @@ FOREIGN = [
 ]
 
 
+_HEAD = '<|im_start|>system\n<tools>\n{"name":"f","parameters":{"type":"object","properties":{}}}\n</tools><|im_end|>\n'
+_TURN = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+
+
+@query("SELECT * FROM " + values([(1, _HEAD + _TURN("user", "q") + _TURN("assistant", '<think>t</think>\nc\n<tool_call>\n{"name":"f","arguments":{"x":1}}\n</tool_call>') + _TURN("tool", "r")), (4, _TURN("system", "s") + _TURN("assistant", '<think>t</think>\n<tool_call>\n{"name":"g","arguments":{"y":2}}\n</tool_call>') + _TURN("tool", "r"))], "id, text"))
+def cmp_foreign_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CMP-05: foreign rows prepared and rendered; rows that cannot be are
+    dropped."""
+    rows = inline(spark, "id int, raw string", FOREIGN).withColumn("m", X.parse(F.col("raw"))).where(X.usable(F.col("m")))
+    return rows.select("id", X.render(X.prepare(F.col("m")), X.declared(F.col("m"))).alias("text")).where("text is not null")
+
+
 @query("SELECT * FROM " + values([(1, "user|assistant|tool", "<think>t</think>\nc", 'f{"x":1}', "f", 'f:{"type":"object","properties":{}}'), (4, "system|assistant|tool", "<think>t</think>", 'g{"y":2}', "unknown_tool", "")], "id, roles, content, calls, answered, tools"))
 def cmp_foreign_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-05, FN-16 to FN-19, FLT-02/07: foreign rows prepared, unusable ones
@@ -37,14 +49,6 @@ def cmp_foreign_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT item_id, text AS rest, '<|start|>user ' AS opening FROM benchmark")
-def fn_template_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-15/24: what a template puts around a text."""
-    full = F.concat(F.lit("<bos><|start|>system x<|start|>user "), F.lit("@@"), "text")
-    before, after = X.around(X.without_start(full), "@@", "<|start|>")
-    return table(spark, sf_dir, "benchmark").where(~F.col("text").contains("@@")).select("item_id", after.alias("rest"), before.alias("opening"))
-
-
 @query(f"SELECT count(*) AS documents, CAST(sum({WORDS}) AS BIGINT) AS tokens, max({WORDS}) AS max_tokens FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 512)")
 def cmp_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-17, SRC-11: the first 512 texts by key and their size; the limit is
@@ -75,12 +79,6 @@ def fn_utc_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd'T'HHmmss'Z'").alias("stamp"), F.round(F.col("value") / 3, 3).alias("elapsed"))
 
 
-@query("SELECT split_part(url, '/', 3) AS host, count(*) AS pages FROM pages WHERE url LIKE 'http%' GROUP BY 1")
-def src_nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-07: a value taken from inside a field, as text."""
-    return table(spark, sf_dir, "pages").where(F.col("url").startswith("http")).groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")).agg(F.count("*").alias("pages"))
-
-
 def _shingles(n: str) -> str:
     return f"SELECT {n} AS id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' '))) AS s FROM (SELECT {n}, string_split({NORMAL}, ' ') AS w FROM documents) WHERE len(w) >= 5"
 

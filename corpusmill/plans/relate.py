@@ -46,25 +46,6 @@ def jon_route_by_server(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source").join(F.broadcast(routes), F.col("source") == F.col("name")).groupBy("source").agg(F.count("*").alias("documents"), F.max("weight").alias("weight"))
 
 
-@query(
-    """WITH a AS (SELECT user_id, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0 END) AS s FROM events WHERE event_id % 2 = 0 GROUP BY 1),
-    b AS (SELECT user_id, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0 END) AS s FROM events WHERE event_id % 2 = 1 GROUP BY 1)
-    SELECT user_id, round(a.s, 6) AS parent, round(b.s, 6) AS candidate, round(b.s - a.s, 6) AS delta FROM a JOIN b USING (user_id)"""
-)
-def jon_paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-09: candidate against parent on the same task."""
-    ok = (F.col("event_type") != "error").cast("double")
-    both = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(F.when(F.col("event_id") % 2 == 0, ok)).alias("a"), F.avg(F.when(F.col("event_id") % 2 == 1, ok)).alias("b"))
-    return both.where("a is not null and b is not null").select("user_id", F.round("a", 6).alias("parent"), F.round("b", 6).alias("candidate"), F.round(F.col("b") - F.col("a"), 6).alias("delta"))
-
-
-@query("SELECT count(DISTINCT source) AS families, 0 AS shared FROM documents")
-def jon_family_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-10, SET-06: no family on both sides of the split."""
-    rows = family_split(table(spark, sf_dir, "documents").select("source"), "source").groupBy("source").agg(F.count_distinct("split").alias("sides"))
-    return rows.agg(F.count("*").alias("families"), F.count_if(F.col("sides") > 1).cast("int").alias("shared"))
-
-
 @query(f"SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS longest, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99 FROM (SELECT {WORDS} AS n FROM documents)")
 def agg_token_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-01: sums and percentiles by linear interpolation."""
@@ -111,13 +92,6 @@ def agg_token_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))), 6))
 
 
-@query("SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'unsafe' END, CASE WHEN n_chars < 200 THEN 'short' END], lambda x: x IS NOT NULL)) AS reason FROM documents JOIN labels USING (doc_id)) GROUP BY reason")
-def agg_rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-14, CMP-20: how often each rule rejects."""
-    rules = F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"), F.when(F.col("toxic") == 1, "unsafe"), F.when(F.col("n_chars") < 200, "short")))
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id").select(F.explode(rules).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query("SELECT count(*) AS episodes, round(avg(CASE WHEN s = 0 THEN 1.0 ELSE 0 END), 6) AS zero_std FROM (SELECT user_id, stddev_pop(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS s FROM events GROUP BY user_id, CAST(ts AS DATE))")
 def agg_zero_std_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-16: share of groups whose rewards do not differ."""
@@ -184,14 +158,6 @@ def win_temporal_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 EPISODE = "user_id, CAST(ts AS DATE)"
 
 
-@query(f"SELECT count(*) AS calls, count(*) FILTER (same) AS repeats, round(count(*) FILTER (same) / count(*), 6) AS loop_rate FROM (SELECT coalesce(event_type = lag(event_type) OVER (PARTITION BY {EPISODE} ORDER BY event_id), false) AS same FROM events)")
-def win_loop_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-11: an action equal to the one before it in the episode."""
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id")
-    same = table(spark, sf_dir, "events").select(F.coalesce(F.col("event_type") == F.lag("event_type").over(w), F.lit(False)).alias("same"))
-    return same.agg(F.count("*").alias("calls"), F.count_if("same").alias("repeats"), F.round(F.count_if("same") / F.count("*"), 6).alias("loop_rate"))
-
-
 @query(f"SELECT count(*) AS failures, count(*) FILTER (later) AS recovered FROM (SELECT event_type, coalesce(bool_or(event_type <> 'error') OVER (PARTITION BY {EPISODE} ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS later FROM events) WHERE event_type = 'error'")
 def win_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-12: failures followed by a success in the episode."""
@@ -221,8 +187,16 @@ def set_required_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.array_except(need, "given"), ",").alias("missing"), F.array_join(F.array_except("given", need), ",").alias("unknown"))
 
 
-@query("SELECT DISTINCT lang FROM documents EXCEPT SELECT DISTINCT lang FROM documents WHERE source = 'none'")
+@query(f"{SPLIT_SQL}, e AS (SELECT DISTINCT source, split FROM s) SELECT count(DISTINCT source) AS families, (SELECT count(*) FROM (SELECT source FROM e GROUP BY source HAVING count(*) > 1)) AS shared, (SELECT count(*) FROM e WHERE split = 'validation') AS held_out FROM e")
+def jon_family_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-06: no family on both sides of the split, and how many are held
+    out."""
+    rows = family_split(table(spark, sf_dir, "documents").select("source"), "source").distinct().groupBy("source").agg(F.count("*").alias("sides"), F.max("split").alias("split"))
+    return rows.agg(F.count("*").alias("families"), F.count_if(F.col("sides") > 1).alias("shared"), F.count_if(F.col("split") == "validation").alias("held_out"))
+
+
+@query("SELECT DISTINCT source FROM documents EXCEPT SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id % 3 = 0")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-05: values present in one set and not in another."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("lang").distinct().exceptAll(docs.where("source = 'none'").select("lang").distinct())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return docs.select("source").distinct().exceptAll(docs.join(table(spark, sf_dir, "labels"), "doc_id").where("toxic = 1 and doc_id % 3 = 0").select("source").distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def flagship_render_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPLETIONS = [
-    (1, "<think>I should look.</think>\n\n<tool_call>\n<function=read_file>\n<parameter=path>\nsrc/cache.py\n</parameter>\n</function>\n</tool_call>"),
+    (1, "<think>The index may be stale.</think>\n\n<tool_call>\n<function=read_file>\n<parameter=path>\nlib/index.rs\n</parameter>\n</function>\n</tool_call>"),
     (2, "</think><tool_call>\n<function=apply_patch>\n<parameter=patch>\n first\n-old\n+new\n</parameter>\n</function>\n</tool_call><tool_call><function=run_tests><parameter=profile> unit </parameter></function></tool_call>"),
     (3, "plain answer without a tag  "),
     (4, "<think>a</think>b</think>c"),
@@ -86,7 +88,7 @@ def fn_split_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inline(spark, "id int, raw string", COMPLETIONS).select("id", reasoning.alias("reasoning"), F.char_length(content).cast("long").alias("n"))
 
 
-@query("SELECT * FROM " + values([(1, "read_file", "path=src/cache.py", "false"), (2, "apply_patch;run_tests", "patch= first\n-old\n+new;profile=unit", "false"), (3, "", "", "false"), (4, "", "", "false"), (5, "", "", "true"), (6, "", "", "false")], "id, names, arguments, malformed"))
+@query("SELECT * FROM " + values([(1, "read_file", "path=lib/index.rs", "false"), (2, "apply_patch;run_tests", "patch= first\n-old\n+new;profile=unit", "false"), (3, "", "", "false"), (4, "", "", "false"), (5, "", "", "true"), (6, "", "", "false")], "id, names, arguments, malformed"))
 def fn_parse_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-07: calls with their arguments; a malformed call is flagged."""
     rows = inline(spark, "id int, raw string", COMPLETIONS).withColumn("calls", M.parse_tool_calls(F.col("raw")))
@@ -94,23 +96,16 @@ def fn_parse_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("calls", lambda c: c["name"]), ";").alias("names"), F.array_join(shown, ";").alias("arguments"), M.malformed_call(F.col("raw")).cast("string").alias("malformed"))
 
 
-@query("SELECT item_id, length(text) + 1 AS n, true AS ends FROM benchmark")
-def fn_patch_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-08: exactly one line feed at the end."""
-    fixed = T.patch_newline(F.concat("text", F.lit("\r\n\n")))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.char_length(fixed).cast("long").alias("n"), fixed.endswith("\n").alias("ends"))
-
-
 CHANNELS = [
-    (1, " to=self<|message|>48/2 = 24<|eom|><|start|>assistant to=user<|message|>72<|eot|>", "72"),
-    (2, " to=self 48/2 to=user 72", "72"),
-    (3, "never replied", "5"),
+    (1, " to=self<|message|>9 crates of 6<|eom|><|start|>assistant to=user<|message|>54<|eot|>", "54"),
+    (2, " to=self 9 crates to=user 54", "54"),
+    (3, "no word of it", "5"),
     (4, "to=user to=user<|message|>1,200 apples<|eot|>x", "1200"),
     (5, None, "1"),
 ]
 
 
-@query("SELECT * FROM " + values([(1, "48/2 = 24", "72", 1.5, 1.0, 4.0), (2, "48/2", "72", 1.5, 1.0, 4.0), (3, "never replied", "", -0.5, -0.5, -0.5), (4, "to=user", "1,200 apples", 1.5, 0.25, 4.0), (5, "", "", -1.0, -0.5, -0.5)], "id, reasoning, reply, format, is_number, correct"))
+@query("SELECT * FROM " + values([(1, "9 crates of 6", "54", 1.5, 1.0, 4.0), (2, "9 crates", "54", 1.5, 1.0, 4.0), (3, "no word of it", "", -0.5, -0.5, -0.5), (4, "to=user", "1,200 apples", 1.5, 0.25, 4.0), (5, "", "", -1.0, -0.5, -0.5)], "id, reasoning, reply, format, is_number, correct"))
 def cmp_rewards_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-20/21, CMP-11/12/13: channels and the three rewards on them."""
     from ..operators import rewards as R
@@ -183,17 +178,65 @@ def fn_path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inline(spark, "id int, path string", rows).select("id", T.inside_root(F.col("path")).cast("string").alias("inside"))
 
 
-@query("SELECT item_id, 'answer ' || item_id AS completion FROM benchmark")
-def fn_prefix_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-10, CMP-04: the completion is the full text after its prompt; a
-    prompt that is no prefix fails the row."""
-    rows = table(spark, sf_dir, "benchmark").withColumn("full", F.concat("text", F.lit("answer "), F.col("item_id").cast("string")))
-    rest = F.col("full").substr(F.char_length("text") + 1, F.char_length("full"))
-    return rows.select("item_id", F.when(F.col("full").startswith(F.col("text")), rest).otherwise(F.raise_error(F.lit("prompt is no prefix"))).alias("completion"))
-
-
 @query("SELECT concat_ws('', 'c', item_id) AS cell, substr(sha256('t' || chr(0) || item_id || chr(0) || 'code' || chr(0) || text), 1, 16) AS id FROM benchmark")
 def snk_cell_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-06: deterministic identifiers from hashed fields."""
     key = F.concat_ws("\0", F.lit("t"), F.col("item_id").cast("string"), F.lit("code"), "text")
     return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("cell"), F.substring(F.sha2(key, 256), 1, 16).alias("id"))
+
+
+@query("SELECT item_id, length(text) + 1 AS n, true AS ends, sha256(text || chr(10)) AS h FROM benchmark")
+def fn_patch_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-08: exactly one line feed at the end, whatever stood there."""
+    k = F.col("item_id") % 4
+    fixed = T.patch_newline(F.concat("text", F.when(k == 0, "").when(k == 1, "\n").when(k == 2, "\r\n").otherwise("\n\r\n\n")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.char_length(fixed).cast("long").alias("n"), fixed.endswith("\n").alias("ends"), F.sha2(fixed, 256).alias("h"))
+
+
+@query("""SELECT event_id, '{' || CASE WHEN event_id % 2 = 0 THEN '"a":' || event_id || ',' ELSE '' END || '"b":{' || CASE WHEN event_id % 3 = 0 THEN '"c":"' || event_type || '"' ELSE '' END || '},"d":[null,' || user_id || ']}' AS j FROM events""")
+def fn_without_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-01: null members go at every depth, null elements of lists stay."""
+    padded = F.concat(F.lit('{"a":'), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("null"), F.lit(',"b":{"c":'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise("null"), F.lit(',"x":null},"d":[null,'), F.col("user_id").cast("string"), F.lit("]}"))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(F.from_json(padded, "a bigint, b struct<c:string,x:string>, d array<bigint>")).alias("j"))
+
+
+@query("SELECT item_id, text || '|' || item_id AS rest, '<|start|>user ' AS opening, length('<|start|>system x') AS dropped FROM benchmark WHERE NOT contains(text, '@@')")
+def fn_template_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-15/24: what a template puts around a text, without its start mark."""
+    from ..functions import foreign as X
+
+    template = F.concat(F.lit("<bos><|start|>system x<|start|>user @@"), "text", F.lit("|"), F.col("item_id").cast("string"))
+    full = X.without_start(template)
+    before, after = X.around(full, "@@", "<|start|>")
+    return table(spark, sf_dir, "benchmark").where(~F.col("text").contains("@@")).select("item_id", after.alias("rest"), before.alias("opening"), (F.instr(full, "@@") - 1 - F.char_length(before)).cast("long").alias("dropped"))
+
+
+@query("SELECT doc_id, strlen(text) AS n_bytes FROM documents")
+def udf_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-02: a function over whole Arrow columns."""
+    from ..functions.batches import map_batches
+
+    sizes = lambda text: pc.cast(pc.fill_null(pc.binary_length(text), 0), pa.int64())
+    return map_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], sizes, "n_bytes", "long").drop("text")
+
+
+@query("SELECT doc_id, upper(lang) AS lang, n_chars // 100 AS hundreds FROM documents WHERE n_chars >= 100 AND lang <> 'de'")
+def udf_map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-01: a function of a row and a condition on a row."""
+    from ..functions.batches import filter_rows, map_rows
+
+    rows = filter_rows(table(spark, sf_dir, "documents"), lambda r: (r("n_chars") >= 100) & (r("lang") != "de"))
+    return map_rows(rows, lambda r: {"doc_id": r("doc_id"), "lang": F.upper(r("lang")), "hundreds": F.floor(r("n_chars") / 100)}, drop=True)
+
+
+@query("SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 1.5 + 1.0 + 4.0 WHEN 1 THEN 1.5 + 0.25 - 0.5 WHEN 2 THEN -0.5 - 0.5 - 0.5 ELSE 1.0 + 1.0 + 4.0 END AS DOUBLE) AS total FROM events")
+def udf_reward_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-03, CMP-11/12/13: named rewards of completions, summed."""
+    from ..operators import rewards as R
+
+    n, k = F.col("user_id").cast("string"), F.col("event_id") % 4
+    reply = F.when(k == 1, F.concat(F.lit("that makes "), n, F.lit(" apples"))).otherwise(n)
+    text = F.when(k == 2, F.concat(F.lit("only "), n)).otherwise(F.concat(F.when(k == 3, "").otherwise(" to=self<|message|>sum<|eom|>"), F.lit("<|start|>assistant to=user<|message|>"), reply, F.lit("<|eot|>")))
+    gold = F.when(k == 1, F.lit("-1")).otherwise(n)
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("completion"), gold.alias("gold"))
+    return rows.select("event_id", R.total(["channel_format", "number_format", "number_correct"], F.col("completion"), F.col).alias("total"))

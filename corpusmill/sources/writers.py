@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def publish_splits(df: DataFrame, path: str, demo: bool = False) -> None:
     """Parquet partitioned by split; demonstration data is refused and both
@@ -30,7 +32,21 @@ def manifest(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).limit(1).coalesce(1).write.text(path)
 
 
-def corpus_text(df: DataFrame, path: str, key: str, n: int = 512, separator: str = "<|calibration_document|>") -> None:
-    """The first n texts by key, with a separator line between them (SNK-04)."""
-    first = df.orderBy(key).limit(n).select(F.col("text").alias("value"))
-    first.write.option("lineSep", f"\n{separator}\n").text(path)
+def corpus_text(df: DataFrame, path: str, key: str, n: int = 512, separator: str = "<|calibration_document|>") -> dict[str, int]:
+    """The first n texts by key in one text, a separator line between each two
+    and none after the last (SNK-04): documents, characters and words
+    written.  n bounds the text, which is one row."""
+    first = df.orderBy(key).limit(n).select(F.col(key).alias("k"), F.coalesce("text", F.lit("")).alias("v"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])
+    row = first.agg(F.array_join(ordered, f"\n{separator}\n").alias("value"), F.count("*").alias("documents"), F.coalesce(F.sum(F.char_length("v")), F.lit(0)).alias("chars"), F.coalesce(F.sum(T.word_count(F.col("v"))), F.lit(0)).alias("words"))
+    row.select("value").coalesce(1).write.option("lineSep", "\0").text(path)
+    return {k: v for k, v in row.drop("value").first().asDict().items()}
+
+
+def refuse_demo(kind: str, demo: bool, revision: str | None) -> None:
+    """Training on demonstration rows, or on a revision that is a placeholder,
+    is refused (GATE-06); kind says for which run."""
+    if demo:
+        raise ValueError(f"{kind}: demonstration data is only for a trial of the code")
+    if not revision or revision.startswith("REPLACE_"):
+        raise ValueError(f"{kind}: the revision must be pinned, not {revision!r}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import messages as M
 from corpusmill.functions import text as T
 from corpusmill.operators import episodes, split
+from corpusmill.operators.validate import require_valid
 from corpusmill.sources import readers, writers
 from corpusmill.streaming import ingest
 
@@ -39,14 +40,38 @@ def test_search_skips_binaries_and_version_control(spark, tmp_path):
     (tmp_path / ".git/c").write_text("needle")
     files = readers.file_tree(spark, str(tmp_path))
     assert [r["hit"] for r in readers.text_search(files, "needle").collect()] == ["src/a.py:2:needle here"]
-    assert readers.text_search(files, "needle", most_bytes=3).count() == 0
+    assert [r["hit"] for r in readers.text_search(files, "needle", most_bytes=3).collect()] == ["[search truncated after 0 MB]"]
+    assert readers.text_search(files, "[").first()["hit"].startswith("invalid regular expression: ")
+    (tmp_path / "src/c.txt").write_text("a\x0bneedle 1\u2028needle 2\r\n")
+    hits = [r["hit"] for r in readers.text_search(readers.file_tree(spark, str(tmp_path)), "needle", most_hits=2).collect()]
+    assert hits == ["src/a.py:2:needle here", "src/c.txt:2:needle 1", "[search truncated after 2 matches]"]
+
+
+def test_tool_answers(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("one\ntwo\n")
+    (tmp_path / "b.txt").write_text("three")
+    files = readers.file_tree(spark, str(tmp_path))
+    say = lambda name, **arguments: readers.answer_tool(files, name, arguments).first()["text"]
+    assert say("list_files", path=".") == "b.txt\nsrc/a.py" and say("list_files", path="src") == "src/a.py" and say("list_files", path="none") == "[no files]"
+    assert say("read_file", path="src/a.py") == "one\ntwo\n"
+    assert say("search", query="t.o") == "src/a.py:2:two" and say("search", query="zzz") == "[no matches]" and say("search", query="(").startswith("invalid regular expression")
+    assert say("shell", command="ls") == "shell is disabled" and say("bash") == "unknown tool: bash"
+    assert say("read_file", path="../x") == "path leaves the repository"
+
+
+def test_rows_need_their_declared_fields(spark):
+    assert readers.from_rows(spark, [{"a": 1, "b": None}], "a long, b string").first().asDict() == {"a": 1, "b": None}
+    for rows in ([{"a": 1}], [{"a": 1, "b": "x", "c": 2}], [{"a": "text", "b": "x"}]):
+        with pytest.raises(Exception):  # noqa: B017
+            readers.from_rows(spark, rows, "a long, b string").collect()
 
 
 def test_audit_reports_errors_as_rows(spark, tmp_path):
     spark.range(3).withColumn("messages", F.array(F.lit("a"))).write.parquet(str(tmp_path / "ok"))
     found = readers.audit(spark, {"ok": str(tmp_path / "ok"), "gone": str(tmp_path / "gone")})
-    assert found[0] == {"dataset": "ok", "rows": 3, "columns": ["id", "messages"], "with_messages": 3, "error": None}
-    assert found[1]["error"] == "AnalysisException"
+    assert found[0] == {"dataset": "ok", "rows": 3, "columns": ["id", "messages"], "with_messages": 3, "planning_direct_survival": 0, "error": None}
+    assert found[1]["error"].startswith("AnalysisException: ")
 
 
 def test_publishing_needs_both_splits_and_real_data(spark, tmp_path):
@@ -64,8 +89,12 @@ def test_other_sinks(spark, tmp_path):
     assert spark.read.json(writers.json_lines(df, str(tmp_path))).count() == 3
     writers.manifest(df.where("id = 1"), str(tmp_path / "m"))
     assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == {"id": 1, "text": "a"}
-    writers.corpus_text(df, str(tmp_path / "c"), "id", 2)
-    assert sorted(r[0] for r in spark.read.option("lineSep", "\n<|calibration_document|>\n").text(str(tmp_path / "c")).collect()) == ["a", "b"]
+    assert writers.corpus_text(df, str(tmp_path / "c"), "id", 2) == {"documents": 2, "chars": 2, "words": 2}
+    assert spark.read.text(str(tmp_path / "c"), wholetext=True).first()[0].rstrip("\0") == "a\n<|calibration_document|>\nb"
+    for kind, demo, revision in (("dpo", True, "r1"), ("grpo", False, "REPLACE_ME"), ("grpo", False, None)):
+        with pytest.raises(ValueError, match=kind):
+            writers.refuse_demo(kind, demo, revision)
+    writers.refuse_demo("dpo", False, "r1")
 
 
 def test_fingerprint_survives_a_parquet_round_trip(spark, tmp_path):
@@ -122,6 +151,54 @@ def test_split_sizes(spark, n, k):
     assert len(sides["validation"]) == k and not sides["validation"] & sides["train"]
 
 
+def test_rows_without_a_family_stay(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), (None, 4)], "family string, id int")
+    out = {r["id"]: r["split"] for r in split.family_split(rows, "family").collect()}
+    assert len(out) == 4 and out[3] == out[4] and set(out.values()) == {"train", "validation"}
+
+
+def test_the_hash_cut_is_the_kth(spark):
+    hashes = sorted(f"{k * 7919 % 65536:04x}" for k in range(300))
+    df = spark.createDataFrame([(h,) for h in hashes], "h string")
+    assert [split.smallest_hash_cut(df, k, digits=1) for k in (1, 17, 300)] == [hashes[k - 1] for k in (1, 17, 300)]
+
+
+def test_invalid_rows_fail_the_job(spark):
+    rows = spark.createDataFrame([(k, [("no_messages", -1, "")] if k % 2 else []) for k in range(60)], "id int, e array<struct<code:string,idx:int,detail:string>>")
+    with pytest.raises(ValueError, match="30 invalid rows, the first 20:\n1: no_messages@-1\n3: "):
+        require_valid(rows, "e", "id")
+    assert require_valid(rows.where("id % 2 = 0"), "e", "id").count() == 30
+
+
+def message(role, content=None, thought=None, calls=None):
+    return (role, content, thought, None, None, [(None, "function", c) for c in calls] if calls else None)
+
+
+def test_a_whole_trajectory_is_rendered_and_read_back(spark):
+    talk = [message("developer", "d"), message("system", "s"), message("user", "fix"), message("assistant", "on it", "why", [("apply_patch", {"patch": " a\n-b\n+c"}), ("run_tests", {"profile": "unit"})]), message("tool", "ok"), message("assistant", "done")]
+    rows = spark.createDataFrame([(talk, [json.dumps(t) for t in M.tools()])], f"m array<{M.MESSAGE}>, t array<string>")
+    folded = rows.select(M.fold_system(F.col("m"), M.OTHERS)).first()[0]
+    assert (folded[0]["content"], len(folded), folded[2]["reasoning_content"]) == ("d\n\ns", 5, "why")
+    text = rows.select(M.render_chat(F.col("m"), F.col("t"))).first()[0]
+    assert text.count("<|im_start|>") == 5 and "<think>\nwhy\n</think>\n\non it\n<tool_call>" in text and "<tool_response>\nok\n</tool_response>" in text
+    back = spark.createDataFrame([(text,)], "x string")
+    assert back.select(M.rendered_tools(F.col("x"))).first()[0] == M.canonical(M.tools())
+    calls = back.select(M.parse_tool_calls(F.substring_index("x", "<|im_start|>assistant", -2))).first()[0]
+    assert [(c["name"], c["arguments"]) for c in calls] == [("apply_patch", {"patch": " a\n-b\n+c"}), ("run_tests", {"profile": "unit"})]
+
+
+def test_preferences_that_are_none_fail(spark):
+    def row(infra="ok", chosen=1.0, rejected=0.0):
+        return spark.createDataFrame([([message("user", "q")], message("assistant", "a", "t"), message("assistant", "b"), chosen, rejected, infra)], f"p array<{M.MESSAGE}>, c {M.MESSAGE}, r {M.MESSAGE}, x double, y double, i string").select(M.preference(*map(F.col, "pcrxyi"))).first()[0]
+
+    assert row()["chosen"] == "t\n</think>\n\na<|im_end|>\n" and row()["prompt"].endswith("<|im_start|>assistant\n<think>\n")
+    for change, said in (({"infra": "failed"}, "infrastructure"), ({"chosen": 0.0}, "larger"), ({"infra": None}, "infrastructure")):
+        with pytest.raises(Exception, match=said):
+            row(**change)
+    with pytest.raises(Exception, match="drifts"):
+        spark.createDataFrame([("ab", "b")], "f string, p string").select(M.after_prefix(F.col("f"), F.col("p"))).collect()
+
+
 def test_one_family_cannot_be_split(spark):
     with pytest.raises(ValueError, match="two families"):
         split.family_split(spark.createDataFrame([("a",)], "family string"), "family")
