@@ -14,7 +14,7 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, most_bytes: int = 8 << 20) -> list[tuple[bytes, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, most_bytes: int = 4 << 20) -> list[tuple[bytes, int]]:
     """Whole texts and labels outside the held-out fold: per class the
     `per_class` rows whose hashed ids come first, and of these as many, in the
     same order, as have `most_bytes` together.  The two bounds are the only

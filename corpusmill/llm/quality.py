@@ -151,7 +151,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     """(doc_id, held_out, score, predicted): the quality of each whole text.
 
     The driver trains on whole texts of `per_class` labelled rows of each class
-    and 8 MB of a class at most, never of the held-out fold, and on the
+    and 4 MB of a class at most, never of the held-out fold, and on the
     beginnings of some good ones as further short texts; the weights (about 130 kB) go to the workers,
     which map over the rows without a shuffle, 1 MB of text or one document at
     a time.  A null text counts as empty and gets the score of a chunk of

@@ -315,8 +315,8 @@ def train(sample: list[tuple[bytes, int]], threshold: float, epochs: int = 16, r
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, per_class: int = 700) -> Model | float:
-    """Trained on the driver on `per_class` labelled rows of each class at
-    most, never of the held-out fold."""
+    """Trained on the driver on whole texts of `per_class` labelled rows of
+    each class and 4 MB of a class at most, never of the held-out fold."""
     return train(labelled_sample(docs, labels, "toxic", folds, held_out, per_class), threshold)
 
 
