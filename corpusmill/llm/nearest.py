@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .quantise import Quantiser, pack, unit, unpack
 from .shared import stored
 
-#: Rows of a block of candidates and of a block of queries, most clusters, and
+#: Candidates of a part and most parts, queries of a block, most clusters, and
 #: sampled vectors that each needs.
-CANDIDATES, QUERIES, CLUSTERS, MEMBERS = 16_384, 2_048, 256, 64
+CANDIDATES, PARTS, QUERIES, CLUSTERS, MEMBERS = 16_384, 8, 2_048, 256, 64
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -71,7 +71,7 @@ def fit(sample: np.ndarray, rows: int, k: int, aim: float, seed: int = 1) -> Qua
     return out
 
 
-def blocks_of(counts: dict[int, int], size: int = CANDIDATES) -> dict[int, tuple[int, int]]:
+def blocks_of(counts: dict[int, int], size: int = QUERIES) -> dict[int, tuple[int, int]]:
     """Of each cluster its first block and in how many it lies: small clusters
     share a block, large ones are dealt to several by hash."""
     out, block, room = {}, 0, size
@@ -89,19 +89,61 @@ def blocks_of(counts: dict[int, int], size: int = CANDIDATES) -> dict[int, tuple
     return out
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 384, aim: float = 0.95, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", block: int = CANDIDATES) -> DataFrame:
+class Best:
+    """The best candidates of each of some queries so far, at most `most`."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray, clusters: list[list[int]], most: int) -> None:
+        self.keys, self.vectors, self.most = keys, vectors, most
+        self.probed: dict[int, np.ndarray] = {}
+        for i, own in enumerate(clusters):
+            for c in own:
+                self.probed.setdefault(c, np.zeros(len(keys), bool))[i] = True
+        self.near = np.zeros((len(keys), 0), np.float32)
+        self.item = self.first = np.zeros((len(keys), 0), np.int64)
+
+    def scan(self, q: Quantiser, cluster: int, codes: np.ndarray, item: np.ndarray, first: np.ndarray) -> None:
+        """Take in the candidates of one cluster, for the queries that probe
+        it."""
+        rows = np.flatnonzero(self.probed.get(cluster, np.zeros(0, bool)))
+        if not len(rows):
+            return
+        width = min(self.near.shape[1] + len(codes), self.most)
+        near = np.full((len(self.keys), width), -np.inf, np.float32)
+        items, firsts = (np.zeros((len(self.keys), width), np.int64) for _ in range(2))
+        kept = self.near.shape[1]
+        near[:, :kept], items[:, :kept], firsts[:, :kept] = self.near, self.item, self.first
+        for a in range(0, len(rows), 64):
+            at = rows[a : a + 64]
+            score = np.concatenate([self.near[at], q.scan(self.vectors[at], cluster, codes)], axis=1)
+            best = np.argpartition(-score, width - 1, axis=1)[:, :width]
+            near[at] = np.take_along_axis(score, best, 1)
+            old, new = np.minimum(best, max(kept - 1, 0)), np.maximum(best - kept, 0)
+            for out, own, other in ((items, self.item, item), (firsts, self.first, first)):
+                out[at] = np.where(best < kept, np.take_along_axis(own[at], old, 1), other[new]) if kept else other[new]
+        self.near, self.item, self.first = near, items, firsts
+
+    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.keys), 64):
+            good = np.isfinite(self.near[a : a + 64])
+            columns = np.repeat(self.keys[a : a + 64], good.sum(axis=1)), self.item[a : a + 64][good], self.first[a : a + 64][good], self.near[a : a + 64][good]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 384, aim: float = 0.95, sample_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", part_rows: int = CANDIDATES, query_rows: int = QUERIES, broadcast_pairs: int = 1_000_000) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is divisible by
     `every`, the k nearest other rows found, by cosine, ties to the smaller id.
 
     `sample_rows` different vectors, first by hash, fit the index on the
     driver; all rows are indexed.  Copies of a vector are one candidate with
     its k + 1 smallest ids, and one query, so large groups of copies cost
-    little.  Codes lie in blocks of clusters; queries go to the blocks of the
-    clusters they probe, as many as give a recall of `aim` on the sample.  A
-    block scans its codes and gives the best of each query (of a cluster dealt
-    to several blocks each its part of them, and six deviations more).  The
-    `rerank` best of all blocks, however many there are, meet their vectors
-    and are scored in double precision.
+    little.  As many clusters are probed as give a recall of `aim` on the
+    sample.  Queries lie in blocks by their nearest cluster, and a block meets
+    the codes of the clusters that it probes, in some parts dealt by hash.  A
+    task reads its part cluster by cluster and keeps the best of each query:
+    `rerank` of one part, or each part's share of them and six deviations
+    more, so what a query brings back does not grow with the table.  The
+    `rerank` best of all parts meet their vectors and are scored in double
+    precision.
 
     Null ids, and vectors that are null, zero, hold null or non-finite
     components or have another length than most, take no part.  A row that is
@@ -135,62 +177,66 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 384,
     coded = stored(known.mapInArrow(encode, "cluster int, codes binary, item long, first long"), "codes")
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("key", F.xxhash64("vector"))
     different = stored(queries.select("key", "vector").distinct(), "queries")
-    # counts by cluster: CLUSTERS rows at most
-    where = blocks_of({r["cluster"]: r["n"] for r in coded.groupBy("cluster").agg(F.count("*").alias("n")).collect()}, block)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for b in batches:
             if b.num_rows:
-                rows, sent, lists = [], [], []
-                for i, clusters in enumerate(q.nearest_clusters(unit(matrix(b.column("vector"), b.num_rows)), q.probes).tolist()):
-                    asked: dict[int, list[int]] = {}
-                    for c in clusters:
-                        if c in where:
-                            for part in range(where[c][1]):
-                                asked.setdefault(where[c][0] + part, []).append(c)
-                    rows += [i] * len(asked)
-                    sent += asked.keys()
-                    lists += asked.values()
-                at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("vector").take(at), pa.array(sent, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["key", "vector", "block", "clusters"])
-
-    several = max(1, math.ceil(different.count() / QUERIES))
-    first_block, parts = (F.create_map(*[F.lit(x) for c in sorted(where) for x in (c, where[c][i])])[F.col("cluster")] for i in (0, 1))
-    held = coded.withColumn("block", (first_block + F.pmod("item", parts)).cast("int")).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(several - 1))))
-    asked = different.mapInArrow(probe, "key long, vector array<double>, block int, clusters array<int>").withColumn("queries", F.pmod("key", F.lit(several)).cast("int"))
+                at = q.nearest_clusters(unit(matrix(b.column("vector"), b.num_rows)), q.probes)
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("vector"), pa.array(at.tolist(), pa.list_(pa.int32()))], names=["key", "vector", "clusters"])
+
+    sent = stored(different.mapInArrow(probe, "key long, vector array<double>, clusters array<int>"), "sent")
+    # counts by nearest cluster: CLUSTERS rows at most
+    nearest_one = F.get("clusters", F.lit(0))
+    where = blocks_of({r["c"]: r["n"] for r in sent.groupBy(nearest_one.alias("c")).agg(F.count("*").alias("n")).collect()}, query_rows)
+    if not where:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    first_block, several = (F.create_map(*[F.lit(x) for c in sorted(where) for x in (c, where[c][i])])[nearest_one] for i in (0, 1))
+    asked = sent.withColumn("queries", (first_block + F.pmod("key", several)).cast("int"))
+    pairs = stored(asked.select("queries", F.explode("clusters").alias("cluster")).distinct(), "pairs")
+    parts = max(1, min(PARTS, -(-coded.count() // part_rows)))
+    most = rerank if parts == 1 else math.ceil(rerank / parts + 6 * (rerank / parts) ** 0.5)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    held = coded.join(F.broadcast(pairs) if pairs.count() <= broadcast_pairs else pairs, "cluster")
+    held = held.select("queries", F.pmod("item", F.lit(parts)).cast("int").alias("part"), "cluster", "codes", "item", "first", none("long", "key"), none("array<double>", "vector"), none("array<int>", "clusters"))
+    # the queries of a block come first in each of its parts
+    ask = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("cluster"), none("binary", "codes"), none("long", "item"), none("long", "first"), "key", "vector", "clusters")
     result = pa.schema([("key", pa.int64()), ("item", pa.int64()), ("first", pa.int64()), ("near", pa.float32())])
-    most = {b + i: math.ceil(rerank / n + 6 * (rerank / n) ** 0.5) if n > 1 else rerank for b, n in where.values() for i in range(n)}
 
-    def search(group: tuple, candidates: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not candidates.num_rows or not wanted.num_rows:
-            return result.empty_table()
-        q = shared.value
-        own = candidates.column("cluster").to_numpy()
-        order = np.argsort(own, kind="stable")
-        own = own[order]
-        codes = unpack(np.frombuffer(b"".join(candidates.column("codes").to_pylist()), np.uint8).reshape(candidates.num_rows, -1), q.m)[order]
-        item, first = candidates.column("item").to_numpy()[order], candidates.column("first").to_numpy()[order]
-        clusters = np.unique(own)
-        keys, ask = wanted.column("key").to_numpy(), unit(matrix(wanted.column("vector"), wanted.num_rows))
-        probed = np.array([np.isin(clusters, x) for x in wanted.column("clusters").to_pylist()])
-        n = min(most[group[0].as_py()], len(own))
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for a in range(0, len(keys), 64):
-            score = np.full((min(64, len(keys) - a), len(own)), -np.inf, np.float32)
-            for c, rows in zip(clusters.tolist(), probed[a : a + 64].T, strict=True):
-                at = slice(*np.searchsorted(own, (c, c + 1)))
-                if rows.any():
-                    score[rows, at] = q.scan(ask[a : a + 64][rows], c, codes[at])
-            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-            near = np.take_along_axis(score, best, 1)
-            good = np.isfinite(near)
-            for o, x in zip(out, (np.repeat(keys[a : a + 64], good.sum(axis=1)), item[best[good]], first[best[good]], near[good]), strict=True):
-                o.append(x)
-        return pa.Table.from_arrays([pa.array(np.concatenate(o), t.type) for o, t in zip(out, result, strict=True)], schema=result)
-
-    by = ["block", "queries"]
-    found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, "key long, item long, first long, near float")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, best, group = shared.value, None, None
+        waiting: list[pa.RecordBatch] = []
+
+        def ready() -> Best:
+            t = pa.Table.from_batches(waiting)
+            waiting.clear()
+            return Best(t.column("key").to_numpy(), unit(matrix(t.column("vector"), t.num_rows)), t.column("clusters").to_pylist(), most)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.stack([b.column(c).to_numpy() for c in ("queries", "part", "cluster")])
+            starts = np.append(np.flatnonzero(np.append(True, (own[:, 1:] != own[:, :-1]).any(axis=0))), b.num_rows)
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                now, cluster, run = tuple(own[:2, s].tolist()), int(own[2, s]), b.slice(s, e - s)
+                if now != group:
+                    if best is not None:
+                        yield from best.rows(result)
+                    group, best = now, None
+                    waiting.clear()
+                if cluster < 0:
+                    waiting.append(run)
+                    continue
+                if best is None and waiting:
+                    best = ready()
+                if best is not None:
+                    codes = unpack(np.frombuffer(b"".join(run.column("codes").to_pylist()), np.uint8).reshape(run.num_rows, -1), q.m)
+                    best.scan(q, cluster, codes, run.column("item").to_numpy(), run.column("first").to_numpy())
+        if best is not None:
+            yield from best.rows(result)
+
+    dealt = ask.unionByName(held).repartition("queries", "part").sortWithinPartitions("queries", "part", "cluster")
+    found = dealt.mapInArrow(search, "key long, item long, first long, near float")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("near"), "first", "item"))
     chosen = found.withColumn("place", place).where(F.col("place") <= rerank).select("key", "item", "first")
 
@@ -200,8 +246,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 384,
                 x, y = (unit(matrix(b.column(c), b.num_rows)) for c in ("vector", "asked"))
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("ids"), pa.array(np.einsum("rd,rd->r", x, y))], names=["key", "ids", "score"])
 
-    pairs = chosen.join(known, ["item", "first"]).join(different.withColumnRenamed("vector", "asked"), "key").select("key", "vector", "asked", "ids")
-    exact = pairs.mapInArrow(score, "key long, ids array<long>, score double")
+    both = chosen.join(known, ["item", "first"]).join(different.withColumnRenamed("vector", "asked"), "key").select("key", "vector", "asked", "ids")
+    exact = both.mapInArrow(score, "key long, ids array<long>, score double")
     top = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), *order))).where(F.col("place") <= k + 1)
     best = top(top(exact, F.get("ids", F.lit(0))).select("key", "score", F.explode("ids").alias("vec_id")), "vec_id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
     mine = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("id")), 1, k)

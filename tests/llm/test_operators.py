@@ -288,7 +288,7 @@ def test_tree_features_are_the_same_in_spark_and_in_training(spark):
         assert np.array(y)[chosen].mean() > 0.9 and chosen[np.array(y) == 1].mean() > 0.7
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 40}])
+@pytest.mark.parametrize("options", [{}, {"part_rows": 400, "query_rows": 9, "broadcast_pairs": 0}])
 def test_nearest(spark, options):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 12)).astype(np.float32)
