@@ -61,6 +61,21 @@ def test_stages_on_an_empty_table(spark, folder):
         assert stage(spark, docs, path).count() == 0
 
 
+def test_a_long_text_and_repeated_rows(spark, folder):
+    path = folder[0]
+    long = prose(950, 60_000)
+    rows = [(300, long), (301, long + " more"), (302, prose(951, 40)), (302, prose(951, 40)), (302, prose(952, 40)), (303, "bob@example.com " * 20_000), (304, None), (304, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1.0, "x", 2) for i, t in rows], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near duplicates"](spark, docs, path)
+    assert sorted((r["doc_id"], len(r["text"] or "")) for r in kept.collect()) == sorted((i, len(t or "")) for i, t in [rows[0], rows[2], *rows[4:]])
+    clean = stages["personal data"](spark, stages["decontamination"](spark, kept, path), path).collect()
+    assert next(r["text"] for r in clean if r["doc_id"] == 303) == "[EMAIL] " * 20_000 and next(r["n_chars"] for r in clean if r["doc_id"] == 303) == 160_000
+    packed = stages["packing"](spark, spark.createDataFrame(clean, docs.schema), path).toPandas()
+    firsts = packed[packed.start == 0]
+    assert len(firsts) == 6 and packed.length.sum() == firsts.doc_tokens.sum()
+
+
 def test_registered_names():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
