@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,24 @@ def seeded_split(rows: DataFrame, key: str, seed: str, small: int = 20) -> DataF
     return rows.withColumn("split", F.when(h < int(share * (1 << 32)), "test").otherwise("train"))
 
 
+def newest_held_out(rows: DataFrame, at: str, share: float = 0.10) -> DataFrame:
+    """The rows with `held_out`: at or after the time that the older ones, all
+    but `share`, reach (WIN-10).
+
+    Counts by day say on which day it lies, and only that day is ordered.
+    Rows without a time are not held out; without any time none is.
+    """
+    times = rows.where(F.col(at).isNotNull()).select(F.col(at).alias("t"), F.to_date(at).alias("d"))
+    days = times.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect()  # one row a day
+    left, cut = math.ceil(round((1 - share) * sum(r["n"] for r in days), 6)), None
+    for r in days:
+        if left <= r["n"]:
+            cut = times.where(F.col("d") == F.lit(r["d"])).orderBy("t").limit(max(left, 1)).agg(F.max("t")).first()[0]
+            break
+        left -= r["n"]
+    return rows.withColumn("held_out", F.lit(False) if cut is None else F.coalesce(F.col(at) >= F.lit(cut), F.lit(False)))
+
+
 def within_budget(rows: DataFrame, group: str, key: str, size: str, digits: int = 3) -> DataFrame:
     """The rows with `total`: the running sum of sizes in each group in the
     order of the key's md5 and the key (CMP-25).
