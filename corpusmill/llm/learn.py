@@ -5,32 +5,53 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import forget, stored
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the folds; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+#: Rows of a class that fit into its bytes whatever comes first by hash: texts
+#: over this part of the bytes are only taken after all shorter ones.
+LEAST_ROWS = 8
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, most_bytes: int = 4 << 20) -> list[tuple[bytes, int]]:
     """Whole texts and labels outside the held-out fold: per class the
-    `per_class` rows whose hashed ids come first, and of these as many, in the
-    same order, as have `most_bytes` together.  The two bounds are the only
+    `per_class` labelled documents whose hashed ids come first, and of these
+    all, in the same order, that still fit into `most_bytes`; one that does
+    not is passed over and the next is tried.  The two bounds are the only
     sampling of the classifiers; no text is cut, in training or in scoring.
-    Rows without a label are left out; of several labels of an id the largest
-    counts, of several texts of an id the smallest."""
+
+    Texts over an eighth of the bytes come after all others of the class, the
+    shortest of them first, so a few very long ones cannot use up the sample.
+    A class that has labelled documents and none that fits is an error.
+    Labels without a document and rows without a label are left out; of
+    several labels of an id the largest counts, of several texts of an id the
+    smallest."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").where(fold("id", folds) != held_out).groupBy("id").agg(F.max("y").alias("y"))
-    chosen = None
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = texts.select("id", F.octet_length("text").cast("long").alias("size")).join(known, "id").groupBy("id", "y").agg(F.max("size").alias("size"))
+    labelled = stored(sizes.where(F.col("y").isin(0, 1)), "labelled")
+    long = F.when(F.col("size") * LEAST_ROWS > most_bytes, F.col("size")).otherwise(0)
+    chosen: dict = {}
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")  # 2 * per_class rows at most
-    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)  # per_class rows in a partition at most
-    rows = rows.withColumn("size", F.sum(F.octet_length("text")).over(order)).where(F.col("size") <= most_bytes)
-    return [(r["text"].encode(), r["y"]) for r in sorted(rows.collect(), key=lambda r: r["id"])]
+        left, first = most_bytes, labelled.where(F.col("y") == y).orderBy(long, F.xxhash64("id"), "id").limit(per_class).collect()
+        for r in first:
+            if r["size"] <= left:
+                left -= r["size"]
+                chosen[r["id"]] = y
+        if first and y not in chosen.values():
+            raise ValueError(f"{label} = {y}: the shortest labelled text has {first[0]['size']} bytes, more than the {most_bytes} of a sample")
+    forget(labelled)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], texts.select("id").schema)  # 2 * per_class rows at most
+    rows = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
+    return [(r["text"].encode(), chosen[r["id"]]) for r in sorted(rows.collect(), key=lambda r: r["id"])]
 
 
 class Adam:
