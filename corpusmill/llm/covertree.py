@@ -60,7 +60,7 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> CoverTree:
     at = 0
     while at < len(nodes):
         begin, end, centre = nodes[at][:3]
-        rows = order[begin:end]
+        rows = order[begin:end].copy()
         far = away[centre, rows]
         radius = float(far.max(initial=0.0))
         nodes[at][3] = radius

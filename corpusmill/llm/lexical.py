@@ -25,7 +25,7 @@ _SCHEMA = pa.schema([("shard", pa.int64()), ("term", pa.binary()), ("df", pa.int
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, block: int = BLOCK) -> DataFrame:
     """One row a shard and term, with its posting list, and one row a shard
-    with the ids and lengths of its documents (term null).
+    with the ids and lengths of its documents (term null); a stored table.
 
     A shard is a run of a task's documents of at most `shard_bytes`, or one
     longer document, so no list of a frequent term is longer than a shard and
@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if texts:
             yield from shard()
 
-    return source.mapInArrow(run, INDEX)
+    return stored(source.mapInArrow(run, INDEX), "index")  # shards are named by the task that made them
 
 
 def query_terms(items: DataFrame) -> DataFrame:
@@ -275,4 +275,4 @@ def search(index: DataFrame, items: DataFrame, most: int = 50, item_col: str = "
 
 def rank_documents(docs: DataFrame, items: DataFrame, most: int = 50, **options) -> DataFrame:
     """The `most` best documents of each item; see `build_index` and `search`."""
-    return search(stored(build_index(docs, **options), "index"), items, most)
+    return search(build_index(docs, **options), items, most)
