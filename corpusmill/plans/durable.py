@@ -3,6 +3,8 @@ and answers from what it reads back."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +35,11 @@ def src_file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy(F.regexp_extract("path", "^lang=([^/]*)/", 1).alias("lang")).agg(F.sum(F.octet_length("content")).alias("bytes"))
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 3 = 0")
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def snk_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-01: trajectories as JSON lines in a folder with the time in its
     name."""
-    rows = table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", "user_id", "event_type", "value")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     return spark.read.schema(rows.schema).json(writers.json_lines(rows, scratch(spark)))
 
 
@@ -50,13 +52,15 @@ def snk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(row.schema).json(path)
 
 
-@query(f"{SPLIT_SQL} SELECT split, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN s USING (source) GROUP BY split")
+@query(" UNION ALL ".join(f"SELECT * FROM ({SPLIT_SQL.replace('n * 0.1', f'n * {share}')} SELECT '{name}' AS revision, split, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN s USING (source) GROUP BY split)" for name, share in (("tenth", 0.1), ("third", 0.3))))
 def snk_published_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-03, GATE-02/06: both splits published as partitions."""
-    path = scratch(spark)
+    """SNK-03, GATE-02/06: both splits published as partitions, in two
+    revisions of one store; each is read back by its name and verified."""
+    base, docs = scratch(spark), table(spark, sf_dir, "documents").select("source", "n_chars")
     writers.refuse_demo("publication", False, "v1")
-    writers.publish_splits(family_split(table(spark, sf_dir, "documents").select("source", "n_chars"), "source"), path)
-    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    names = {tag: writers.publish_revision(family_split(docs, "source", share), base, tag=tag) for tag, share in (("tenth", 0.1), ("third", 0.3))}
+    counted = [readers.pinned(spark, base, name).groupBy("split").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).select(F.lit(tag).alias("revision"), "split", "n", "chars") for tag, name in names.items()]
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query("SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars, length(string_agg(text, chr(10) || '<|calibration_document|>' || chr(10) ORDER BY doc_id)) AS written FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 512)")

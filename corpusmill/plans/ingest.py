@@ -14,15 +14,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import revisions
 from ..sources.readers import answer_tool, from_rows, pinned
+from ..sources.scratch import scratch
 from .registry import WORDS, query, table
 
 
-@query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+TOXIC = "SELECT doc_id FROM labels WHERE toxic = 1"
+
+
+def two_revisions(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """A store with the documents' facts in two revisions by language, all of
+    them (tag v1) and without toxic ones (tag clean), and both names."""
+    base = scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "source")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    first = revisions.publish(docs, base, ["lang"], tag="v1")
+    return base, first, revisions.publish(docs.join(toxic, "doc_id", "left_anti"), base, ["lang"], tag="clean")
+
+
+@query(f"SELECT 'v1' AS revision, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang UNION ALL SELECT 'clean', lang, count(*), CAST(sum(n_chars) AS BIGINT) FROM documents WHERE doc_id NOT IN ({TOXIC}) GROUP BY lang")
 def src_scan_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-02/04: a scan that refuses placeholder revisions."""
-    docs = pinned(spark, f"{sf_dir}/documents.parquet", revision="v1")
-    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    """SRC-02/04: two published revisions, one read by its name and one by its
+    tag, each verified against its manifest; placeholders are refused."""
+    base, first, _ = two_revisions(spark, sf_dir)
+    summed = lambda label, name: pinned(spark, base, name).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).select(F.lit(label).alias("revision"), "lang", "n", "chars")
+    return summed("v1", first).unionByName(summed("clean", "clean"))
+
+
+_NUMBERS = " || ':' || ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT)::VARCHAR" for k in range(4))
+
+
+@query(f"SELECT 'lang=' || lang AS part, count(*) AS rows, sha256(count(*) || ':' || {_NUMBERS}) AS digest FROM (SELECT lang, sha256(to_json({{'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source}})::VARCHAR) AS h FROM documents) GROUP BY lang")
+def src_revision_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04, SNK-02: the manifest of a revision: rows and a digest of each
+    partition that does not depend on order or files."""
+    base, first, _ = two_revisions(spark, sf_dir)
+    return revisions.resolve(spark, base, first).parts(spark)
+
+
+@query(f"SELECT 'lang=' || lang AS part, count(*) AS old_rows, nullif(count(*) FILTER (doc_id NOT IN ({TOXIC})), 0) AS new_rows FROM documents GROUP BY lang HAVING count(*) FILTER (doc_id IN ({TOXIC})) > 0")
+def src_revision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04: what differs between two revisions, told from their manifests
+    without reading a row of either."""
+    base, first, second = two_revisions(spark, sf_dir)
+    return revisions.changed_parts(spark, base, first, second)
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -158,10 +194,15 @@ def flt_try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.unionByName(events).select("id", T.float_text(F.col("text")).alias("number"))
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT 'documents' AS config, lang AS key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'conversations', role, count(*) FROM conversations GROUP BY role")
 def src_named_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-03: a scan of one named configuration below a path."""
-    return pinned(spark, sf_dir, revision="v1", name="documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    """SRC-03: scans of named configurations below one base, each at its own
+    pinned revision."""
+    base = scratch(spark)
+    made = {"documents": ("lang", ["doc_id", "lang"]), "conversations": ("role", ["conv_id", "turn", "role"])}
+    names = {c: revisions.publish(table(spark, sf_dir, c).select(*columns), f"{base}/{c}") for c, (_, columns) in made.items()}
+    counted = [pinned(spark, base, names[c], c).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(c).alias("config"), "key", "n") for c, (key, _) in made.items()]
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query("SELECT event_id, json_extract_string(j, '$.params.input[0].content') AS content, CAST(json_extract(j, '$.params.limits.calls') AS BIGINT) AS calls FROM (SELECT event_id, '{\"params\":{\"input\":[{\"role\":\"user\",\"content\":\"' || event_type || ' ' || user_id || '\"},{\"role\":\"system\"}],\"limits\":{\"calls\":' || user_id % 7 || '}}}' AS j FROM events)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
+from . import revisions
 
 TASK = "task_id string, repo_path string, request string, visible_test_command array<string>, hidden_test_command array<string>"
 
@@ -23,11 +24,11 @@ def from_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(row[n] for n in declared.names) for row in rows], declared)
 
 
-def pinned(spark: SparkSession, path: str, revision: str, name: str | None = None) -> DataFrame:
-    """Parquet of a revision; a placeholder revision is refused (SRC-02/03/04)."""
-    if not revision or revision.startswith("REPLACE_"):
-        raise ValueError(f"revision must be pinned, not {revision!r}")
-    return spark.read.parquet(f"{path}/{name}" if name else path)
+def pinned(spark: SparkSession, base: str, revision: str | None, name: str | None = None, verify: str | None = "content") -> DataFrame:
+    """The rows of a published revision, of one named configuration below the
+    base where there are several; placeholders, unknown revisions and changed
+    data are refused (SRC-02/03/04)."""
+    return revisions.scan(spark, f"{base}/{name}" if name else base, revision, verify)
 
 
 def tasks(spark: SparkSession, path: str) -> DataFrame:

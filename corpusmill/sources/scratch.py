@@ -10,11 +10,20 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from . import files
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        files.remove(spark, folder)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        return
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder's path below spark.checkpoint.dir, which driver and
     executors share; where that is unset and all runs in one process, below a
-    temporary folder that goes at exit."""
+    temporary folder.  The folder goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -22,4 +31,6 @@ def scratch(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         atexit.register(shutil.rmtree, folder, True)
         base = f"file://{folder}"
-    return f"{base}/queries/{uuid.uuid4().hex}"
+    folder = f"{base}/queries/{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, folder)
+    return folder

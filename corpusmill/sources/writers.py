@@ -6,19 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import revisions
 
 
-def publish_splits(df: DataFrame, path: str, demo: bool = False) -> None:
-    """Parquet partitioned by split; demonstration data is refused and both
-    splits must have rows (SNK-03, GATE-02/06)."""
+def _both_splits(df: DataFrame, demo: bool) -> None:
     if demo:
         raise ValueError("demonstration data is not published")
     found = {r["split"] for r in df.select("split").distinct().collect()}
     if missing := {"train", "validation"} - found:
         raise ValueError(f"splits without rows: {sorted(missing)}")
+
+
+def publish_splits(df: DataFrame, path: str, demo: bool = False) -> None:
+    """Parquet partitioned by split; demonstration data is refused and both
+    splits must have rows (SNK-03, GATE-02/06)."""
+    _both_splits(df, demo)
     df.write.partitionBy("split").parquet(path)
 
 
+def publish_revision(df: DataFrame, base: str, demo: bool = False, tag: str | None = None) -> str:
+    """The same as a revision that can be pinned by its name (SNK-03)."""
+    _both_splits(df, demo)
+    return revisions.publish(df, base, ["split"], tag)
+
+
 def json_lines(df: DataFrame, folder: str, prefix: str = "trajectories") -> str:
     """JSON lines in a folder named by the UTC time (SNK-01)."""
     stamp = df.sparkSession.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")).first()[0]
