@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import durable, episodes, evaluate, ingest, more, relate, text_queries, trajectories  # noqa: F401  they register
+from .plans import durable, episodes, evaluate, ingest, leaks, more, relate, text_queries, trajectories  # noqa: F401  they register
 from .plans.registry import ORACLES, QUERIES, Query
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import foreign as X
 from ..functions import text as T
+from ..operators.links import rare_elements, similar
 from .registry import NORMAL, WORDS, query, table
 from .text_queries import inline, values
 
@@ -100,19 +101,11 @@ def cmp_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     sets = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(T.word_windows(F.col("text"), 5))).alias("s")).where(F.size("s") > 0)
     reps = sets.groupBy("s").agg(F.min("doc_id").alias("id"))
-    each = reps.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    often = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    # a shingle of one text joins nothing, so only the shared ones are ranked, after the n - df>1 rare ones
-    shared = each.join(often, "g")
-    ranked = shared.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "g")))
-    many = ranked.groupBy("id").agg(F.count("*").alias("m"))
-    prefix = ranked.join(many, "id").where(F.col("n") - F.col("m") + F.col("place") <= F.col("n") - F.ceil(0.75 * F.col("n")) + 1).select("id", "n", "g")
+    prefix = rare_elements(reps, 75)
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
     fits = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
     pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    left, right = reps.select(F.col("id").alias("a"), F.col("s").alias("x")), reps.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
-    return both.withColumn("either", F.size("x") + F.size("y") - F.col("shared")).where(100 * F.col("shared") >= 75 * F.col("either")).select("a", "b", "shared", "either")
+    return similar(pairs, reps, 75)
 
 
 @query(

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from . import files
 
@@ -34,3 +34,19 @@ def scratch(spark: SparkSession) -> str:
     folder = f"{base}/queries/{uuid.uuid4().hex}"
     atexit.register(_drop, spark, folder)
     return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a scratch folder and read back: the lineage ends there,
+    so it is computed once, a lost executor costs no recomputation, and
+    adaptive execution sees its sizes."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            _drop(df.sparkSession, folder)
