@@ -155,3 +155,21 @@ def word_windows(text: Column, n: int) -> Column:
     runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
     hashes = F.transform(F.split(normalised(text), " "), lambda w: F.xxhash64(w))
     return bound(hashes, lambda h: F.when(F.size(h) >= n, runs(h)).otherwise(F.array().cast("array<bigint>")))
+
+
+#: A JSON string, possessively: it never ends at an escaped quote.
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+
+
+def canonical_json(text: Column) -> Column:
+    """One text for equal JSON values, whatever their types and depth: members
+    by name, no white space, null members left out at every depth, null
+    elements of lists kept (FN-01/02).  Text that is no JSON gives null.
+
+    The value goes through VARIANT, which sorts members and keeps numbers,
+    booleans and nested values as they are; strings are stepped over whole, so
+    nothing inside them is taken for a member.
+    """
+    sorted_ = F.to_json(F.try_parse_json(text))
+    kept = F.regexp_replace(sorted_, rf"({_STRING}(?!:null\b))|{_STRING}:null,?", "$1")
+    return F.regexp_replace(kept, rf"({_STRING})|,(?=\}})", "$1")

@@ -101,6 +101,19 @@ def shared_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: st
     return each.join(held, "g", "left_semi").select("id").distinct()
 
 
+def exclusions(docs: DataFrame, protected: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 8) -> DataFrame:
+    """(id, verdict) of every row with an id, stored: `contaminated` if it is
+    a protected text or shares n words in a row with one, `equal` or `near` if
+    it is not the first of its component of copies, else `kept`."""
+    h = lambda c: T.content_hash(F.coalesce(F.col(c), F.lit(""))).alias("h")
+    linked = link_texts(docs, id_col, text_col)
+    same = docs.select(F.col(id_col).cast("long").alias("id"), h(text_col)).join(protected.select(h("text")).distinct(), "h", "left_semi").select("id")
+    contaminated = stored(shared_windows(docs, protected, n, id_col, text_col).unionByName(same).distinct())
+    verdict = F.when(F.col("id") != F.col("rep"), "equal").when(F.col("id") != F.col("component"), "near").otherwise("kept")
+    left = linked.labelled().join(contaminated, "id", "left_anti").select("id", verdict.alias("verdict"))
+    return stored(left.unionByName(contaminated.where("id is not null").withColumn("verdict", F.lit("contaminated"))))
+
+
 def leak_free_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", family: str | None = None, share: float = 0.10, linked: Linked | None = None) -> DataFrame:
     """The rows of docs with `component` and `split`: components of linked
     texts, not rows, go to one side, in the order of their names' sha256.

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import episodes as E
 from ..operators import judgement as J
+from ..operators.quantiles import quantiles
+from ..sources.scratch import stored
 from .registry import WORDS, query, table
 from .text_queries import inline, values
 
@@ -169,9 +171,10 @@ P = "round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS
 
 def _long(rows: DataFrame, measures: dict[str, F.Column]) -> DataFrame:
     """Mean, percentiles and maximum of each measure, one row each."""
-    flat = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("double").alias("n")) for k, v in measures.items()])).alias("x")).select("x.*")
-    p = flat.groupBy("measure").agg(F.percentile("n", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("p"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
-    return p.select("measure", *[F.round(F.col("p")[i], 6).alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))], "longest", "mean")
+    flat = stored(rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("double").alias("n")) for k, v in measures.items()])).alias("x")).select("x.*"))
+    sums = flat.groupBy("measure").agg(F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
+    p = quantiles(flat, F.col("n"), (0.5, 0.9, 0.95, 0.99), ["measure"]).select("measure", *[F.round(f"q{i}", 6).alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))])
+    return p.join(sums, "measure")
 
 
 @query(f"WITH v AS (SELECT conv_id, sum({WORDS}) AS a, coalesce(sum({WORDS}) FILTER (role = 'assistant'), 0) AS b, coalesce(sum({WORDS}) FILTER (role = 'system'), 0) AS c, count(*) FILTER (role = 'assistant') AS d, max(length(text)) AS e FROM conversations GROUP BY conv_id), u AS (SELECT unnest([{{'m': 'sequence', 'n': a}}, {{'m': 'target', 'n': b}}, {{'m': 'tool_output', 'n': c}}, {{'m': 'calls', 'n': d}}, {{'m': 'patch', 'n': e}}]) AS x FROM v), w AS (SELECT x.m AS measure, x.n AS n FROM u) SELECT measure, {P} FROM w GROUP BY measure")

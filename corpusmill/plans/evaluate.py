@@ -13,10 +13,15 @@ from ..functions import text as T
 from ..operators import episodes as E
 from ..operators import judgement as J
 from ..operators import rewards as R
+from ..operators.links import exclusions
+from ..operators.quantiles import quantiles
 from ..operators.split import within_budget
 from ..operators.validate import validate
+from ..sources.scratch import stored
+from .leaks import LINKS_SQL, VERDICT_SQL
 from .registry import NORMAL, WORDS, query, table
 from .text_queries import inline, values
+from .trajectories import REPLAYED_SQL, replayed
 
 DAY = "user_id, CAST(ts AS DATE) AS day"
 
@@ -59,18 +64,6 @@ TRAJECTORIES = [
 ]
 
 
-@query("SELECT * FROM " + values([(name, codes) for name, _, _, codes in TRAJECTORIES], "id, errors"))
-def cmp_validate_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-01, GATE-01/04: every rule on one trajectory each."""
-    import json
-
-    want = M.canonical(M.tools())
-    rows = [(name, *(change.get(k, v) for k, v in (("version", M.SCHEMA_VERSION), ("stored", want), ("declared", want))), json.dumps(talk), change.get("verified", True)) for name, talk, change, _ in TRAJECTORIES]
-    df = inline(spark, "id string, version string, stored string, declared string, j string, verified boolean", rows)
-    errors = validate(F.col("version"), F.col("stored"), M.fingerprint(F.from_json("declared", M.TOOLS)), F.from_json("j", f"array<{M.MESSAGE}>"), F.col("verified"))
-    return df.select("id", F.array_join(F.transform(errors, lambda e: F.concat_ws(":", e["code"], e["idx"].cast("string"))), ",").alias("errors"))
-
-
 @query(
     f"""WITH a AS (SELECT {DAY}, event_id, CASE WHEN event_type = 'purchase' THEN 0 WHEN event_type = 'click' THEN 2 ELSE 1 END AS calls, value AS seconds FROM events),
     b AS (SELECT *, coalesce(sum(seconds) OVER (PARTITION BY user_id, day ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 120 AS late, sum(calls) OVER (PARTITION BY user_id, day ORDER BY event_id ROWS UNBOUNDED PRECEDING) > 4 AS over_budget FROM a),
@@ -88,14 +81,6 @@ def cmp_episode_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOY = [(1, False, False, False, 0, "d", "d", False), (2, True, True, True, 0, "d", "d", False), (3, True, True, True, 0, "x", "d", False), (4, True, False, False, 2, "d", "d", False), (5, True, True, False, 1, "d", "d", False), (6, True, True, True, 0, "d", "d", True)]
 
 
-@query("SELECT * FROM " + values([(1, 0.0), (2, 1.0), (3, 0.0), (4, 0.0), (5, 0.15), (6, 0.0)], "id, reward"))
-def cmp_reward_toy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-09: untouched 0, solved 1, deleted tests 0."""
-    rows = inline(spark, "id int, visible boolean, ran boolean, hidden boolean, tool_errors int, digest string, expected string, errored boolean", TOY)
-    reward = R.toy(*[F.col(c) for c in ("visible", "ran", "hidden", "tool_errors", "digest", "expected", "errored")])
-    return rows.select("id", F.round(reward, 6).cast("decimal(4,2)").cast("double").alias("reward"))
-
-
 @query("SELECT doc_id, round(0.55 * quality + 0.25 * (1 - toxic) + 0.1 * (doc_id % 2) + 0.05 * (doc_id % 3) / 2 + 0.05 - 0.5 * toxic, 6) AS reward FROM labels")
 def cmp_reward_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-10: the named vector as one number."""
@@ -103,14 +88,6 @@ def cmp_reward_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.round(R.scalar(lambda k: parts[k]), 6).alias("reward"))
 
 
-@query("SELECT lane, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 0 THEN 'regenerable' WHEN n_chars < 1000 THEN 'non_agentic' ELSE 'native' END AS lane FROM documents JOIN labels USING (doc_id)) GROUP BY lane")
-def cmp_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-19: rows in four lanes and their shares."""
-    lane = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 0, "regenerable").when(F.col("n_chars") < 1000, "non_agentic").otherwise("native")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id").groupBy(lane.alias("lane")).agg(F.count("*").alias("n"))
-    return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
-
-
 @query("SELECT user_id, round(s, 6) AS rate, CASE WHEN s > 0.9 THEN 'trivial' WHEN s BETWEEN 0.2 AND 0.8 THEN 'learnable' WHEN s < 0.2 THEN 'frontier' ELSE 'unassigned' END AS band FROM (SELECT user_id, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) AS s FROM events GROUP BY user_id)")
 def cmp_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-22: difficulty by success rate."""
@@ -158,57 +135,56 @@ def cmp_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT 'rows' AS section, lang AS key, CAST(count(*) AS DOUBLE) AS value FROM documents GROUP BY lang
+    f"""WITH RECURSIVE {LINKS_SQL}, {VERDICT_SQL}
+    SELECT 'rows' AS section, lang AS key, CAST(count(*) AS DOUBLE) AS value FROM documents GROUP BY lang
     UNION ALL SELECT 'tokens', lang, CAST(sum({WORDS}) AS DOUBLE) FROM documents GROUP BY lang
     UNION ALL SELECT 'length', 'p' || CAST(q * 100 AS INT), round(v, 6) FROM (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS q, unnest(quantile_cont(n, [0.5, 0.9, 0.95, 0.99])) AS v FROM (SELECT {WORDS} AS n FROM documents))
     UNION ALL SELECT 'source', source, CAST(count(*) AS DOUBLE) FROM documents GROUP BY source
     UNION ALL SELECT 'rates', 'pass', round(avg(quality), 6) FROM labels
-    UNION ALL SELECT 'rates', 'replay', round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0 END), 6) FROM labels
-    UNION ALL SELECT 'rates', 'parse', round(avg(CASE WHEN NOT contains(text, '<tool_call>') THEN 1.0 ELSE 0 END), 6) FROM documents
+    UNION ALL SELECT 'rates', 'replay', round(count(*) FILTER (same) / count(*), 6) FROM ({REPLAYED_SQL})
+    UNION ALL SELECT 'rates', 'parse', round(count(*) FILTER (parsed) / count(*), 6) FROM ({REPLAYED_SQL})
     UNION ALL SELECT 'rejections', r, CAST(count(*) AS DOUBLE) FROM (SELECT unnest(list_filter([CASE WHEN quality = 0 THEN 'required_tests_fail' END, CASE WHEN toxic = 1 THEN 'verification_cheated' END], lambda x: x IS NOT NULL)) AS r FROM labels) GROUP BY r
-    UNION ALL SELECT 'duplicates', 'exact', CAST(count(*) - count(DISTINCT sha256({NORMAL})) AS DOUBLE) FROM documents
-    UNION ALL SELECT 'contamination', 'exact', CAST(count(*) AS DOUBLE) FROM documents WHERE sha256({NORMAL}) IN (SELECT sha256({NORMAL}) FROM benchmark)
+    UNION ALL SELECT 'duplicates', w, CAST(count(*) FILTER (verdict = w) AS DOUBLE) FROM verdicts, (VALUES ('equal'), ('near')) t(w) GROUP BY w
+    UNION ALL SELECT 'contamination', 'windows', CAST(count(*) FILTER (verdict = 'contaminated') AS DOUBLE) FROM verdicts
     UNION ALL SELECT 'licences', 'stated', CAST(count(DISTINCT source) AS DOUBLE) FROM documents WHERE regexp_matches(text, 'Licen[sc]e')
     UNION ALL SELECT 'template', '{M.SCHEMA_VERSION}', 1.0"""
 )
 def cmp_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-27, AGG-19: the dataset report in nine sections, one row a figure:
     counts, lengths, distribution, rates, rejections, duplicates and
-    contamination, licences, template."""
+    contamination, licences, template.
+
+    One scan of the texts leaves a narrow row each, and one pass with grouping
+    sets over these makes all counts; duplicates and contamination come from
+    the stored verdicts of the exclusion."""
     docs, labels, text = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("text")
     row = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
     named = lambda df, section: row(df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in df.columns])).alias("x")), section, F.col("x.k"), F.col("x.v"))
-    by_lang = docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(T.word_count(text)).alias("t"))
-    of_text = docs.select(T.word_count(text).alias("n"), text.contains("<tool_call>").alias("call"), "source", text.rlike("Licen[sc]e").alias("licence"))
+    facts = stored(docs.select("doc_id", "lang", "source", T.word_count(text).alias("n"), text.rlike("Licen[sc]e").alias("licence")))
+    sums = stored(facts.groupingSets([["lang"], ["source"]], "lang", "source").agg(F.grouping("lang").alias("by_source"), F.count("*").alias("rows"), F.sum("n").alias("tokens"), F.bool_or("licence").alias("licence")))
+    langs, sources = sums.where("by_source = 0"), sums.where("by_source = 1")
     shares = (0.5, 0.9, 0.95, 0.99)
-    p = of_text.agg(F.percentile("n", F.array(*map(F.lit, shares))).alias("p")).select(*[F.round(F.col("p")[i], 6).alias(f"p{int(q * 100)}") for i, q in enumerate(shares)])
+    p = quantiles(facts, F.col("n"), shares).select(*[F.round(f"q{i}", 6).alias(f"p{int(q * 100)}") for i, q in enumerate(shares)])
     rate = lambda c: F.round(F.avg(c.cast("double")), 6)
-    hashes = docs.groupBy(T.content_hash(text).alias("h")).agg(F.count("*").alias("n"))
-    held = table(spark, sf_dir, "benchmark").select(T.content_hash(text).alias("h")).distinct()
+    verdicts = exclusions(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = stored(verdicts.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("equal", "near", "contaminated")]))
     reasons = labels.select(F.explode(J.rejection({"required_tests_fail": F.col("quality") == 0, "verification_cheated": F.col("toxic") == 1})["reasons"]).alias("r")).groupBy("r").agg(F.count("*").alias("n"))
     parts = [
-        row(by_lang, "rows", F.col("lang"), F.col("n")),
-        row(by_lang, "tokens", F.col("lang"), F.col("t")),
+        row(langs, "rows", F.col("lang"), F.col("rows")),
+        row(langs, "tokens", F.col("lang"), F.col("tokens")),
         named(p, "length"),
-        row(docs.groupBy("source").agg(F.count("*").alias("n")), "source", F.col("source"), F.col("n")),
-        named(labels.agg(rate(F.col("quality")).alias("pass"), rate((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("replay")), "rates"),
-        named(of_text.agg(rate(~F.col("call")).alias("parse")), "rates"),
+        row(sources, "source", F.col("source"), F.col("rows")),
+        named(labels.agg(rate(F.col("quality")).alias("pass")), "rates"),
+        named(replayed(spark, sf_dir).agg(rate(F.col("same")).alias("replay"), rate(F.col("parsed")).alias("parse")), "rates"),
         row(reasons, "rejections", F.col("r"), F.col("n")),
-        named(hashes.agg((F.sum("n") - F.count("*")).alias("exact")), "duplicates"),
-        named(hashes.join(held, "h").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("exact")), "contamination"),
-        named(of_text.where("licence").agg(F.count_distinct("source").alias("stated")), "licences"),
+        named(found.select("equal", "near"), "duplicates"),
+        named(found.select(F.col("contaminated").alias("windows")), "contamination"),
+        named(sources.agg(F.count_if("licence").alias("stated")), "licences"),
         row(spark.range(1), "template", F.lit(M.SCHEMA_VERSION), F.lit(1)),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("SELECT CAST(p AS DOUBLE) AS p, n, round(power(p, n), 6) AS all_correct FROM (VALUES (0.99), (0.98), (0.97)) a(p), (VALUES (10), (50)) b(n)")
-def cmp_compounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-26: independent steps compound."""
-    p = inline(spark, "p double", [(0.99,), (0.98,), (0.97,)])
-    return p.select("p", F.explode(F.array(F.lit(10), F.lit(50))).alias("n")).withColumn("all_correct", F.round(F.pow("p", "n"), 6))
-
-
 @query(
     """WITH e AS (SELECT *, user_id || '/' || CAST(ts AS DATE) AS ep FROM events),
     p AS (SELECT ep, bool_and(event_type <> 'error') AS ok, count(*) AS calls, sum(value) AS seconds FROM e GROUP BY ep),

@@ -122,26 +122,12 @@ def prj_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERS = "VALUES (1,'42'),(2,'-3.5'),(3,'1,200'),(4,' 7 '),(5,'\\frac{1}{2}'),(6,'1e5'),(7,''),(8,'12 apples'),(9,'+4'),(10,'0.0')"
 
 
-@query(f"SELECT id, answer FROM ({ANSWERS}) t(id, answer) WHERE regexp_matches(replace(trim(answer), ',', ''), '^-?[0-9]+(\\.[0-9]+)?$')")
-def flt_numeric_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-03: answers that are one number."""
-    return spark.sql("SELECT * FROM " + ANSWERS.replace("\\", "\\\\") + " t(id, answer)").where(T.bare_number(F.col("answer")))
-
-
 @query(f"SELECT doc_id, {WORDS} AS tokens FROM documents WHERE {WORDS} <= 512")
 def flt_length_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-05, FN-09: texts over the budget go whole, none is cut."""
     return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("tokens")).where(F.col("tokens") <= 512)
 
 
-@query("SELECT * FROM (VALUES (1, 'HOME,PATH'), (2, 'lang')) t(id, kept)")
-def flt_secret_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-06/08: environment maps without secret-like keys and null values."""
-    rows = spark.sql("SELECT * FROM VALUES (1, map('HOME','/root','GH_TOKEN','x','PATH','/bin','my_secret','y')), (2, map('lang','C','DB_PASSWORD','z','proxy',CAST(NULL AS STRING))) t(id, env)")
-    safe = F.map_filter("env", lambda k, v: v.isNotNull() & ~F.upper(k).rlike("TOKEN|SECRET|PASSWORD|CREDENTIAL"))
-    return rows.select("id", F.array_join(F.array_sort(F.map_keys(safe)), ",").alias("kept"))
-
-
 @query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0 AND bool_and(role <> 'assistant' OR coalesce(text, '') <> '')")
 def flt_forall_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-07: every assistant turn has content, and there is one."""
@@ -164,14 +150,6 @@ def gate_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("chosen_reward"), F.col("toxic").cast("double").alias("rejected_reward"), ok.alias("verdict"))
 
 
-@query("SELECT * FROM (VALUES ('numpy', '2.0', '2.1'), ('torch', '2.9', NULL), ('extra', NULL, '1')) t(name, expected, observed)")
-def gate_pin_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GATE-07: pins that differ, are missing or unexpected."""
-    want = spark.sql("SELECT * FROM VALUES ('numpy','2.0'),('torch','2.9'),('arrow','21') t(name, expected)")
-    have = spark.sql("SELECT * FROM VALUES ('numpy','2.1'),('arrow','21'),('extra','1') t(name, observed)")
-    return want.join(have, "name", "full").where(~F.col("expected").eqNullSafe(F.col("observed")))
-
-
 @query("SELECT lang, count(*) AS n, count(*) > 0 AS present FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang")
 def gate_required_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GATE-02, SET-05: required groups with their counts, missing ones too."""
@@ -213,12 +191,6 @@ def src_nested_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.get("r.params.input", F.lit(0))["content"].alias("content"), F.col("r.params.limits.calls").alias("calls"))
 
 
-@query("SELECT * FROM (VALUES (1, 'fix the parser', 3), (2, 'fix the clamp', NULL)) t(id, request, budget)")
-def src_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-01: rows in memory under a declared schema."""
-    return from_rows(spark, [{"id": 1, "request": "fix the parser", "budget": 3}, {"budget": None, "request": "fix the clamp", "id": 2}], "id int, request string, budget int")
-
-
 PATHS = "SELECT 'src/' || CAST(doc_id % 7 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents"
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators.links import leak_free_split, link_texts, shared_windows
+from ..operators.links import exclusions, leak_free_split, link_texts
 from ..sources.scratch import stored
 from .registry import NORMAL, query, table
 
@@ -49,20 +48,15 @@ def jon_links_across_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.join(end("a"), "a").join(end("b"), "b").groupBy("kind").agg((F.count("*") > 0).alias("present"), F.count_if(F.col("a_split") != F.col("b_split")).alias("across"))
 
 
-@query(
-    f"""WITH RECURSIVE {LINKS_SQL}, c AS (SELECT DISTINCT id FROM ({_SHOWN}) WHERE g IN ({_HELD}) UNION SELECT doc_id FROM documents WHERE sha256({NORMAL}) IN (SELECT sha256({NORMAL}) FROM benchmark))
-    SELECT d.doc_id, CASE WHEN id IS NOT NULL THEN 'contaminated' WHEN d.doc_id <> rep THEN 'equal' WHEN d.doc_id <> component THEN 'near' ELSE 'kept' END AS verdict FROM d LEFT JOIN c ON d.doc_id = c.id"""
-)
+#: What may be trained on: a verdict for every document, after LINKS_SQL.
+VERDICT_SQL = f"""c AS (SELECT DISTINCT id FROM ({_SHOWN}) WHERE g IN ({_HELD}) UNION SELECT doc_id FROM documents WHERE sha256({NORMAL}) IN (SELECT sha256({NORMAL}) FROM benchmark)),
+    verdicts AS MATERIALIZED (SELECT d.doc_id, CASE WHEN id IS NOT NULL THEN 'contaminated' WHEN d.doc_id <> rep THEN 'equal' WHEN d.doc_id <> component THEN 'near' ELSE 'kept' END AS verdict FROM d LEFT JOIN c ON d.doc_id = c.id)"""
+
+
+@query(f"WITH RECURSIVE {LINKS_SQL}, {VERDICT_SQL} SELECT doc_id, verdict FROM verdicts")
 def cmp_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-26: what may be trained on: rows that hold a benchmark text or eight
     words in a row of one are excluded, and so are equal texts and near copies
     but the first of each component; what is kept passes three anti joins."""
-    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    linked = link_texts(docs)
-    h = T.content_hash(F.col("text")).alias("h")
-    same = docs.select("doc_id", h).join(held.select(h).distinct(), "h", "left_semi").select(F.col("doc_id").alias("id"))
-    contaminated = stored(shared_windows(docs, held).unionByName(same).distinct())
-    rows = linked.labelled()
-    left = rows.join(contaminated, "id", "left_anti")
-    verdict = F.when(F.col("id") != F.col("rep"), "equal").when(F.col("id") != F.col("component"), "near").otherwise("kept")
-    return left.select(F.col("id").alias("doc_id"), verdict.alias("verdict")).unionByName(contaminated.select(F.col("id").alias("doc_id"), F.lit("contaminated").alias("verdict")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exclusions(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id"), "verdict")

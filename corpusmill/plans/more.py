@@ -24,32 +24,6 @@ _HEAD = '<|im_start|>system\n<tools>\n{"name":"f","parameters":{"type":"object",
 _TURN = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
-@query("SELECT * FROM " + values([(1, _HEAD + _TURN("user", "q") + _TURN("assistant", '<think>t</think>\nc\n<tool_call>\n{"name":"f","arguments":{"x":1}}\n</tool_call>') + _TURN("tool", "r")), (4, _TURN("system", "s") + _TURN("assistant", '<think>t</think>\n<tool_call>\n{"name":"g","arguments":{"y":2}}\n</tool_call>') + _TURN("tool", "r"))], "id, text"))
-def cmp_foreign_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-05: foreign rows prepared and rendered; rows that cannot be are
-    dropped."""
-    rows = inline(spark, "id int, raw string", FOREIGN).withColumn("m", X.parse(F.col("raw"))).where(X.usable(F.col("m")))
-    return rows.select("id", X.render(X.prepare(F.col("m")), X.declared(F.col("m"))).alias("text")).where("text is not null")
-
-
-@query("SELECT * FROM " + values([(1, "user|assistant|tool", "<think>t</think>\nc", 'f{"x":1}', "f", 'f:{"type":"object","properties":{}}'), (4, "system|assistant|tool", "<think>t</think>", 'g{"y":2}', "unknown_tool", "")], "id, roles, content, calls, answered, tools"))
-def cmp_foreign_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-05, FN-16 to FN-19, FLT-02/07: foreign rows prepared, unusable ones
-    dropped."""
-    rows = inline(spark, "id int, raw string", FOREIGN).withColumn("m", X.parse(F.col("raw"))).where(X.usable(F.col("m")))
-    rows = rows.select("id", X.prepare(F.col("m")).alias("p"), X.declared(F.col("m")).alias("t"))
-    spoken, answers = F.filter("p", lambda m: m["role"] == "assistant"), F.filter("p", lambda m: m["role"] == "tool")
-    made = F.flatten(F.transform("p", lambda m: F.coalesce(m["tool_calls"], F.array().cast("array<struct<id:string,type:string,name:string,arguments:string>>"))))
-    return rows.select(
-        "id",
-        F.array_join(F.transform("p", lambda m: m["role"]), "|").alias("roles"),
-        spoken[0]["content"].alias("content"),
-        F.array_join(F.transform(made, lambda c: F.concat(c["name"], c["arguments"])), ",").alias("calls"),
-        F.array_join(F.transform(answers, lambda m: m["name"]), ",").alias("answered"),
-        F.coalesce(F.array_join(F.transform("t", lambda t: F.concat_ws(":", t["name"], t["parameters"])), ","), F.lit("")).alias("tools"),
-    )
-
-
 @query(f"SELECT count(*) AS documents, CAST(sum({WORDS}) AS BIGINT) AS tokens, max({WORDS}) AS max_tokens FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 512)")
 def cmp_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-17, SRC-11: the first 512 texts by key and their size; the limit is

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.prefix import running_sum
+from ..operators.quantiles import quantiles
 from ..operators.split import family_split, hashed_sample, newest_held_out
+from ..sources.scratch import stored
 from .registry import NORMAL, WORDS, query, table
 
 TOOLS = "VALUES ('click','path'),('view','path'),('purchase','query'),('signup','profile')"
@@ -21,18 +24,6 @@ def jon_tool_spec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(F.broadcast(specs), F.col("event_type") == F.col("name"), "left").select("event_type", "argument", "n")
 
 
-@query("SELECT * FROM (VALUES (1, 'read_file,search'), (2, 'unknown_tool')) t(id, names)")
-def jon_name_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-02: names of tool messages from the calls they answer."""
-    from ..functions.messages import MESSAGE, backfill_names
-
-    raw = """VALUES (1, '[{"role":"assistant","tool_calls":[{"id":"a","function":{"name":"old"}},{"id":"a","function":{"name":"read_file"}},{"id":"b","function":{"name":"search"}}]},{"role":"tool","tool_call_id":"a"},{"role":"tool","tool_call_id":"b"}]'),
-        (2, '[{"role":"tool","tool_call_id":"z"}]')"""
-    rows = spark.sql(f"SELECT * FROM {raw} t(id, j)").withColumn("m", F.from_json("j", f"array<{MESSAGE}>"))
-    tools = F.filter(backfill_names(F.col("m")), lambda m: m["role"] == "tool")
-    return rows.select("id", F.array_join(F.transform(tools, lambda m: m["name"]), ",").alias("names"))
-
-
 @query("SELECT item_id, seed, item_id * 10 + seed AS attempt FROM benchmark, (VALUES (1), (2), (3)) s(seed)")
 def jon_task_seed_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-04: tasks times seeds, as an array of the fixed seeds exploded."""
@@ -48,25 +39,28 @@ def jon_route_by_server(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS longest, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99 FROM (SELECT {WORDS} AS n FROM documents)")
 def agg_token_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-01: sums and percentiles by linear interpolation."""
-    n = table(spark, sf_dir, "documents").select(T.word_count(F.col("text")).alias("n"))
-    p = n.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"), F.max("n").alias("longest"), F.percentile("n", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("p"))
-    return p.select("rows", "tokens", "longest", *[F.round(F.col("p")[i], 6).alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))])
+    """AGG-01: sums and exact percentiles by linear interpolation, selected
+    without a task that keeps all values."""
+    n = stored(table(spark, sf_dir, "documents").select(T.word_count(F.col("text")).alias("n")))
+    sums = n.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"), F.max("n").alias("longest"))
+    p = quantiles(n, F.col("n"), (0.5, 0.9, 0.95, 0.99)).select(*[F.round(f"q{i}", 6).alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))])
+    return sums.join(F.broadcast(p))  # one row each
 
 
 @query(f"SELECT CAST(trunc(quantile_cont(n, 0.5)) AS BIGINT) AS median, CAST(trunc(quantile_cont(n, 0.9)) AS BIGINT) AS p90, max(n) AS longest FROM (SELECT {WORDS} AS n FROM documents)")
 def agg_token_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-06: median, p90 and max, cut to whole numbers, over all rows."""
     n = table(spark, sf_dir, "documents").select(T.word_count(F.col("text")).alias("n"))
-    p = n.agg(F.percentile("n", F.array(F.lit(0.5), F.lit(0.9))).alias("p"), F.max("n").alias("longest"))
-    return p.select(F.col("p")[0].cast("long").alias("median"), F.col("p")[1].cast("long").alias("p90"), "longest")
+    p = quantiles(n, F.col("n"), (0.5, 0.9, 1.0))
+    return p.select(F.col("q0").cast("long").alias("median"), F.col("q1").cast("long").alias("p90"), F.col("q2").cast("long").alias("longest"))
 
 
 @query(f"SELECT role, count(*) AS turns, round(avg({WORDS}), 6) AS mean_tokens, round(quantile_cont({WORDS}, 0.95), 6) AS p95, max(length(text)) AS longest_chars FROM conversations GROUP BY role")
 def agg_length_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-07/08/12/15: lengths by kind of message."""
-    rows = table(spark, sf_dir, "conversations").select("role", T.word_count(F.col("text")).alias("n"), F.char_length("text").alias("c"))
-    return rows.groupBy("role").agg(F.count("*").alias("turns"), F.round(F.avg("n"), 6).alias("mean_tokens"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95"), F.max("c").cast("long").alias("longest_chars"))
+    rows = stored(table(spark, sf_dir, "conversations").select("role", T.word_count(F.col("text")).alias("n"), F.char_length("text").alias("c")))
+    sums = rows.groupBy("role").agg(F.count("*").alias("turns"), F.round(F.avg("n"), 6).alias("mean_tokens"), F.max("c").cast("long").alias("longest_chars"))
+    return sums.join(quantiles(rows, F.col("n"), [0.95], ["role"]).select("role", F.round("q0", 6).alias("p95")), "role").select("role", "turns", "mean_tokens", "p95", "longest_chars")
 
 
 SPLIT_SQL = """WITH f AS (SELECT source, row_number() OVER (ORDER BY sha256(source)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)),
@@ -121,10 +115,10 @@ def win_family_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, CAST(total AS BIGINT) AS total FROM (SELECT item_id, sum(strlen(text)) OVER (ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS total FROM benchmark) WHERE total <= 5000")
 def win_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-04: items in order until a byte budget is used up; the list of
-    benchmark items is small, so one ordered window is enough."""
-    total = F.sum(F.octet_length("text")).over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "benchmark").withColumn("total", total).where("total <= 5000").select("item_id", "total")
+    """WIN-04: items in order until a byte budget is used up, by running sums
+    over ranges of the order."""
+    sizes = table(spark, sf_dir, "benchmark").select("item_id", F.octet_length("text").alias("size"))
+    return running_sum(sizes, ["item_id"], "size").where("total <= 5000").select("item_id", "total")
 
 
 @query("SELECT doc_id, CAST(i AS INTEGER) AS line_number, left(line, 80) AS line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(Licen|reserved)') ORDER BY doc_id, i LIMIT 200")
@@ -179,14 +173,6 @@ def set_union_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.char_length("text").cast("long").alias("size")))
 
 
-@query("SELECT * FROM (VALUES (1, '', ''), (2, 'path', ''), (3, '', 'mode'), (4, 'path', 'mode')) t(id, missing, unknown)")
-def set_required_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-03/04: required names that miss, given names that are unknown."""
-    rows = spark.sql("SELECT * FROM VALUES (1, array('path')), (2, array()), (3, array('path','mode')), (4, array('mode')) t(id, given)")
-    need = F.array(F.lit("path"))
-    return rows.select("id", F.array_join(F.array_except(need, "given"), ",").alias("missing"), F.array_join(F.array_except("given", need), ",").alias("unknown"))
-
-
 @query(f"{SPLIT_SQL}, e AS (SELECT DISTINCT source, split FROM s) SELECT count(DISTINCT source) AS families, (SELECT count(*) FROM (SELECT source FROM e GROUP BY source HAVING count(*) > 1)) AS shared, (SELECT count(*) FROM e WHERE split = 'validation') AS held_out FROM e")
 def jon_family_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-06: no family on both sides of the split, and how many are held

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions import text as T
+from ..operators.quantiles import quantiles
+from ..operators.split import family_split
+from ..sources.scratch import stored
 from .registry import NORMAL, WORDS, query, table
 
 
@@ -22,13 +25,6 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
 
 
-@query("SELECT * FROM " + values([(1, M.canonical(M.tools()))], "id, x"))
-def fn_canonical_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-01/02: the fingerprint survives an inferred, null-padded schema."""
-    rows = inline(spark, "id int, j string", [(1, M.canonical(M.tools()))])
-    return rows.select("id", M.fingerprint(F.from_json("j", M.TOOLS)).alias("x"))
-
-
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of each conversation in order of their turns."""
     turn = F.struct("turn", F.col("role"), F.col("text").alias("content"))
@@ -61,10 +57,10 @@ def fn_render_chatml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship_render_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole preparation in one query: group, render, measure, split by
     hashed group, report by split."""
-    from ..operators.split import family_split
-
-    rendered = fn_render_chatml(spark, sf_dir).select(F.col("conv_id").cast("string").alias("family"), "tokens")
-    return family_split(rendered, "family").groupBy("split").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"), F.round(F.percentile("tokens", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("tokens", F.lit(0.95)), 6).alias("p95"))
+    rendered = stored(fn_render_chatml(spark, sf_dir).select(F.col("conv_id").cast("string").alias("family"), "tokens"))
+    divided = family_split(rendered, "family")
+    sums = divided.groupBy("split").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
+    return sums.join(quantiles(divided, F.col("tokens"), (0.5, 0.95), ["split"]).select("split", F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p95")), "split")
 
 
 COMPLETIONS = [
@@ -77,25 +73,6 @@ COMPLETIONS = [
 ]
 
 
-@query(
-    "SELECT id, CASE WHEN p > 0 THEN regexp_replace(regexp_replace(left(raw, p - 1), '^<think>', ''), '^\\s+|\\s+$', '', 'g') ELSE '' END AS reasoning, length(regexp_replace(CASE WHEN p > 0 THEN substr(raw, p + 8) ELSE raw END, '^\\s+|\\s+$', '', 'g')) AS n FROM (SELECT id, raw, instr(raw, '</think>') AS p FROM "
-    + values(COMPLETIONS, "id, raw")
-    + ")"
-)
-def fn_split_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-06: reasoning before the first closing tag."""
-    reasoning, content = T.split_reasoning(F.col("raw"))
-    return inline(spark, "id int, raw string", COMPLETIONS).select("id", reasoning.alias("reasoning"), F.char_length(content).cast("long").alias("n"))
-
-
-@query("SELECT * FROM " + values([(1, "read_file", "path=lib/index.rs", "false"), (2, "apply_patch;run_tests", "patch= first\n-old\n+new;profile=unit", "false"), (3, "", "", "false"), (4, "", "", "false"), (5, "", "", "true"), (6, "", "", "false")], "id, names, arguments, malformed"))
-def fn_parse_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-07: calls with their arguments; a malformed call is flagged."""
-    rows = inline(spark, "id int, raw string", COMPLETIONS).withColumn("calls", M.parse_tool_calls(F.col("raw")))
-    shown = F.transform("calls", lambda c: F.array_join(F.transform(F.map_entries(c["arguments"]), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
-    return rows.select("id", F.array_join(F.transform("calls", lambda c: c["name"]), ";").alias("names"), F.array_join(shown, ";").alias("arguments"), M.malformed_call(F.col("raw")).cast("string").alias("malformed"))
-
-
 CHANNELS = [
     (1, " to=self<|message|>9 crates of 6<|eom|><|start|>assistant to=user<|message|>54<|eot|>", "54"),
     (2, " to=self 9 crates to=user 54", "54"),
@@ -105,18 +82,6 @@ CHANNELS = [
 ]
 
 
-@query("SELECT * FROM " + values([(1, "9 crates of 6", "54", 1.5, 1.0, 4.0), (2, "9 crates", "54", 1.5, 1.0, 4.0), (3, "no word of it", "", -0.5, -0.5, -0.5), (4, "to=user", "1,200 apples", 1.5, 0.25, 4.0), (5, "", "", -1.0, -0.5, -0.5)], "id, reasoning, reply, format, is_number, correct"))
-def cmp_rewards_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-20/21, CMP-11/12/13: channels and the three rewards on them."""
-    from ..operators import rewards as R
-
-    text = F.col("completion")
-    reasoning, reply = T.split_channels(text)
-    full = F.coalesce(text, F.lit(""))
-    number = lambda c: c.cast("decimal(3,2)").cast("double")
-    return inline(spark, "id int, completion string, gold string", CHANNELS).select("id", reasoning.alias("reasoning"), reply.alias("reply"), number(R.channel_format(full)).alias("format"), number(R.number_format(full)).alias("is_number"), number(R.number_correct(full, F.col("gold"))).alias("correct"))
-
-
 @query("SELECT doc_id, len(regexp_extract_all(text, '-?[0-9]+(\\.[0-9]+)?')) AS n, CASE WHEN len(regexp_extract_all(text, '-?[0-9]+(\\.[0-9]+)?')) > 0 THEN list_last(regexp_extract_all(text, '-?[0-9]+(\\.[0-9]+)?')) END AS last_number FROM documents")
 def fn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-21: all numbers, the last one wins."""
@@ -127,16 +92,6 @@ def fn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPANS = [(1, "<REASONING>a</REASONING><SOLUTION>4\n2</SOLUTION>", "42"), (2, "<SOLUTION>1</SOLUTION><SOLUTION>2</SOLUTION>", "1"), (3, "addCriterion\n\n\nok", "ok"), (4, "", "x")]
 
 
-@query("SELECT * FROM " + values([(1, 2.0, 2.0), (2, 0.0, 0.0), (3, -2.0, 0.0), (4, 0.0, 0.0)], "id, format, correct"))
-def fn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-22, CMP-14/15: delimited spans and their rewards."""
-    from ..operators import rewards as R
-
-    rows = inline(spark, "id int, completion string, answer string", SPANS)
-    number = lambda c: c.cast("decimal(2,1)").cast("double")
-    return rows.select("id", number(R.span_format(F.col("completion"))).alias("format"), number(R.span_correct(F.col("completion"), F.col("answer"))).alias("correct"))
-
-
 @query("SELECT doc_id, round(CASE WHEN length(text) > 0 THEN (length(text) - length(replace(replace(text, 'the', ''), chr(10), ''))) / length(text) ELSE 0 END, 6) AS share FROM documents")
 def fn_gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-23: share of characters that go with some strings."""
@@ -171,13 +126,6 @@ def fn_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", cut["text"].alias("shown"), cut["truncated"].alias("truncated"), cut["original_length"].alias("original_length"))
 
 
-@query("SELECT * FROM " + values([(1, "true"), (2, "true"), (3, "false"), (4, "false"), (5, "false"), (6, "true")], "id, inside"))
-def fn_path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-12: paths that leave their root."""
-    rows = [(1, "src/a.py"), (2, "a/../b"), (3, "../x"), (4, "/etc/passwd"), (5, "a/../../b"), (6, ".")]
-    return inline(spark, "id int, path string", rows).select("id", T.inside_root(F.col("path")).cast("string").alias("inside"))
-
-
 @query("SELECT concat_ws('', 'c', item_id) AS cell, substr(sha256('t' || chr(0) || item_id || chr(0) || 'code' || chr(0) || text), 1, 16) AS id FROM benchmark")
 def snk_cell_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-06: deterministic identifiers from hashed fields."""

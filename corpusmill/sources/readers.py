@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
+from ..operators.prefix import last_within
 from . import revisions
 
 TASK = "task_id string, repo_path string, request string, visible_test_command array<string>, hidden_test_command array<string>"
@@ -66,23 +67,22 @@ def text_search(files: DataFrame, pattern: str, most_hits: int = 200, most_bytes
     message, not with an error.
 
     Files with NUL bytes are skipped and not counted; files after the byte
-    budget, in path order, are not searched.  The running total is over one
-    row a file: a checkout's file list, not the corpus.
+    budget, in path order, are not searched.  Where the budget runs out is
+    looked up by ranges of path and size; contents are not moved for it.
     """
     spark, schema = files.sparkSession, "path string, line_number int, hit string"
     if wrong := pattern_error(spark, pattern):
         return spark.createDataFrame([(None, None, f"invalid regular expression: {wrong}")], schema)
     plain = files.where(~F.contains("content", F.lit(b"\0")))
-    total = F.sum(F.octet_length("content")).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-    counted = plain.withColumn("total", total)
-    lines = counted.where(F.col("total") <= most_bytes).select("path", F.posexplode(T.lines(F.decode("content", "UTF-8"))).alias("i", "line"))
+    last, over = last_within(plain.select("path", F.octet_length("content").alias("size")), "path", "size", most_bytes)
+    within = plain.where(F.col("path") <= F.lit(last)) if over else plain
+    lines = within.select("path", F.posexplode(T.lines(F.decode("content", "UTF-8"))).alias("i", "line"))
     hits = lines.where(F.col("line").rlike(pattern)).orderBy("path", "i").limit(most_hits)
     found = hits.select("path", (F.col("i") + 1).alias("line_number"), F.concat_ws(":", "path", (F.col("i") + 1).cast("string"), "line").alias("hit"))
     n = found.agg(F.count("*").alias("n"))
-    over = counted.agg(F.coalesce(F.max("total") > most_bytes, F.lit(False)).alias("over"))
-    said = F.when(F.col("n") >= most_hits, f"[search truncated after {most_hits} matches]").when(F.col("over"), f"[search truncated after {most_bytes // 1_000_000} MB]")
-    last = n.join(F.broadcast(over)).select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_number"), said.alias("hit"))  # one row each
-    return found.unionByName(last.where("hit is not null"))
+    said = F.when(F.col("n") >= most_hits, f"[search truncated after {most_hits} matches]").when(F.lit(over), f"[search truncated after {most_bytes // 1_000_000} MB]")
+    note = n.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_number"), said.alias("hit"))
+    return found.unionByName(note.where("hit is not null"))
 
 
 def answer_tool(files: DataFrame, name: str, arguments: dict[str, str]) -> DataFrame:
