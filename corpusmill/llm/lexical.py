@@ -18,6 +18,9 @@ from .shared import stored, texts_of
 #: Bytes of text of a shard, or one document; bytes of terms of the queries
 #: that are broadcast at once.
 SHARD_BYTES, QUERY_BYTES = 8 << 20, 4 << 20
+#: Shards of a search task, whose thresholds rise from one to the next, and
+#: most tasks, which then take more shards each.
+SHARDS, MOST_TASKS = 4, 20_000
 COLUMNS = ("lasts", "sizes", "tops", "pairs", "data")
 INDEX = "shard long, term binary, df long, " + ", ".join(f"{c} binary" for c in COLUMNS) + ", ids array<long>, lengths array<int>"
 _SCHEMA = pa.schema([("shard", pa.int64()), ("term", pa.binary()), ("df", pa.int64()), *((c, pa.binary()) for c in COLUMNS), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
@@ -211,8 +214,9 @@ def search(index: DataFrame, items: DataFrame, most: int = 50, item_col: str = "
     distinct = stored(asked.groupBy("query").agg(F.first("terms").alias("terms")), "asked")
     size = distinct.agg(F.sum(F.aggregate("terms", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t) + 8))).first()[0] or 0
     parts = max(1, -(-size // query_bytes))
-    stats = index.where("term is null").agg(F.sum("df").alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")).first()
+    stats = index.where("term is null").agg(F.count("*").alias("shards"), F.sum("df").alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")).first()
     kind = items.schema[item_col].dataType.simpleString()
+    tasks = min(max(1, -(-stats["shards"] // SHARDS)), MOST_TASKS)
     if not size or not stats["n"]:
         return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     out = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("score", pa.int64())])
@@ -263,7 +267,8 @@ def search(index: DataFrame, items: DataFrame, most: int = 50, item_col: str = "
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(i)), pa.array(i, pa.int64(), mask=z), pa.array(s)], schema=out)
 
         shard_rows = index.where("term is null")
-        met = lists.select(*shard_rows.columns).unionByName(shard_rows).repartition("shard").sortWithinPartitions("shard")
+        # by number: lists are short, but a shard's searches are not, so small partitions are not put together
+        met = lists.select(*shard_rows.columns).unionByName(shard_rows).repartition(tasks, "shard").sortWithinPartitions("shard")
         ranked = stored(met.mapInArrow(run, "query string, doc_id long, score long"), "found")
         found = ranked if found is None else found.unionByName(ranked)
     if found is None:
