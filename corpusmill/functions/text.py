@@ -47,8 +47,9 @@ def content_hash(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """White-space words: the token count where no tokenizer is given (FN-09)."""
-    clean = normalised(text)
+    """White-space words, at Unicode white space of any kind: the token count
+    where no tokenizer is given (FN-09)."""
+    clean = F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
     return F.when(F.coalesce(clean, F.lit("")) == "", 0).otherwise(F.size(F.split(clean, " "))).cast("long")
 
 

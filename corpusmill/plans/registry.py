@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: DuckDB: white-space words of `text`; the normalised text.
-WORDS = r"len(list_filter(regexp_split_to_array(text, '[ \t\r\n\f\x0b]+'), lambda x: x <> ''))"
+WORDS = r"len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> ''))"
 NORMAL = r"trim(regexp_replace(lower(text), '[ \t\r\n\f\x0b]+', ' ', 'g'))"

@@ -141,3 +141,8 @@ def test_names_come_from_the_last_call_with_an_id(spark):
 )
 def test_canonical_json(spark, text, canonical):
     assert of(spark, "t string", [(text,)], T.canonical_json(F.col("t"))) == [(canonical,)]
+
+
+@pytest.mark.parametrize("text", ["a b", "a\u00a0b", " a\u2003b\u0085c\u3000", "\x1c", "", "a\x0bb\tc", "a\u200bb", None])
+def test_words_are_counted_at_any_white_space(spark, text):
+    assert of(spark, "t string", [(text,)], T.word_count(F.col("t"))) == [(len((text or "").split()),)]
