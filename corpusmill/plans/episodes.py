@@ -15,6 +15,7 @@ from ..operators import episodes as E
 from ..operators import judgement as J
 from ..operators.quantiles import quantiles
 from ..sources.scratch import stored
+from .patching import PATCHES_SQL, reviewed
 from .registry import WORDS, query, table
 from .text_queries import inline, values
 
@@ -111,14 +112,14 @@ def cmp_divergence_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(both, ["task", "seed"]).select("task", "seed", F.col("i").cast("long").alias("first_divergence"), J.divergence(flags, F.col("both_succeed")).alias("category"))
 
 
-REJECTED = f"""r AS (SELECT doc_id, source, list_filter([CASE WHEN doc_id % 11 = 0 THEN 'patch_does_not_apply' END, CASE WHEN quality = 0 THEN 'required_tests_fail' END, CASE WHEN doc_id % 13 = 0 THEN 'edits_out_of_scope' END, CASE WHEN contains(text, '<tool_call>') THEN 'calls_do_not_round_trip' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]+') THEN 'leaked_data' END, CASE WHEN toxic = 1 THEN 'verification_cheated' END, CASE WHEN NOT regexp_matches(text, '[.!?]\\s*$') THEN 'truncated' END, CASE WHEN {WORDS} > 512 THEN 'too_long' END], lambda x: x IS NOT NULL) AS reasons FROM documents JOIN labels USING (doc_id)),
+REJECTED = f"""{PATCHES_SQL}, r AS (SELECT doc_id, source, list_filter([CASE WHEN NOT applies THEN 'patch_does_not_apply' END, CASE WHEN quality = 0 THEN 'required_tests_fail' END, CASE WHEN NOT in_scope THEN 'edits_out_of_scope' END, CASE WHEN contains(text, '<tool_call>') THEN 'calls_do_not_round_trip' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]+') THEN 'leaked_data' END, CASE WHEN toxic = 1 THEN 'verification_cheated' END, CASE WHEN NOT regexp_matches(text, '[.!?]\\s*$') THEN 'truncated' END, CASE WHEN {WORDS} > 512 THEN 'too_long' END], lambda x: x IS NOT NULL) AS reasons FROM documents JOIN labels USING (doc_id) JOIN (SELECT doc_id, applies, in_scope FROM patches) USING (doc_id)),
     l AS (SELECT *, CASE WHEN len(reasons) = 0 THEN 'sft' WHEN len(list_filter(reasons, lambda x: x NOT IN ('patch_does_not_apply', 'required_tests_fail'))) = 0 THEN 'preference' ELSE 'reject' END AS lane FROM r)"""
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").join(reviewed(spark, sf_dir).select("doc_id", "applies", "in_scope"), "doc_id")
     flags = {
-        "patch_does_not_apply": F.col("doc_id") % 11 == 0, "required_tests_fail": F.col("quality") == 0, "edits_out_of_scope": F.col("doc_id") % 13 == 0, "calls_do_not_round_trip": F.col("text").contains("<tool_call>"),
+        "patch_does_not_apply": ~F.col("applies"), "required_tests_fail": F.col("quality") == 0, "edits_out_of_scope": ~F.col("in_scope"), "calls_do_not_round_trip": F.col("text").contains("<tool_call>"),
         "leaked_data": F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+"), "verification_cheated": F.col("toxic") == 1, "truncated": ~F.col("text").rlike(r"[.!?]\s*\z"), "too_long": T.word_count(F.col("text")) > 512,
     }
     return docs.select("doc_id", "source", J.rejection(flags).alias("j")).select("doc_id", "source", "j.reasons", "j.lane")
