@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..operators.split import family_split
 from ..sources import readers, writers
 from ..sources.scratch import scratch
-from ..streaming import ingest
-from .registry import query, table
+from ..streaming import episodes, ingest
+from . import evaluate  # noqa: F401  its SQL is used here
+from .registry import ORACLES, query, table
 from .relate import SPLIT_SQL
 
 
@@ -102,3 +103,33 @@ def gate_two_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     except ValueError:
         enough = True
     return family_split(docs, "source").agg(F.count("*").alias("families"), F.count_if(F.col("split") == "validation").alias("held_out"), F.lit(enough).alias("enough"))
+
+
+@query(ORACLES["cmp_episode_accounting"])
+def str_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CMP-06, STR-03: episodes accounted as a stream that arrives in three
+    batches, is stopped after each and goes on from its checkpoint; the rows
+    of the whole log at once.  A last turn of nobody, long after all others,
+    moves the watermark past every episode."""
+    base, events = scratch(spark), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"), F.max("ts").alias("last"), F.min("ts").alias("first"), (F.min("user_id") - 1).alias("nobody")).first()
+    if ends["high"] is None:
+        return events.limit(0).select("user_id", F.to_date("ts").alias("day"), F.lit("").alias("termination"), F.lit(0).cast("long").alias("tool_calls"), F.lit(0.0).alias("wall_seconds"), F.lit(0).cast("long").alias("turns"))
+    span = (ends["last"] - ends["first"]).days + 1
+    kept = spark.conf.get(episodes.SETTING, None)
+    spark.conf.set(episodes.SETTING, episodes.PROVIDER)
+    try:
+        for part in range(3):
+            step = (ends["high"] - ends["low"]) // 3 + 1
+            rows = events.where((F.col("event_id") - ends["low"] >= part * step) & (F.col("event_id") - ends["low"] < (part + 1) * step))
+            if part == 2:
+                nobody = rows.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.expr(f"timestamp'{ends['last']}' + interval {span + 9} days").alias("ts"), F.lit(ends["nobody"]).cast(rows.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+                rows = rows.select(nobody.columns).unionByName(nobody)
+            rows.write.mode("append").json(f"{base}/in")
+            stream = ingest.traces(spark, f"{base}/in").withColumn("day", F.to_date("ts"))
+            calls = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 2).otherwise(1)
+            found = episodes.account_stream(stream, ["user_id", "day"], "event_id", "ts", calls, F.col("value"), max_calls=4, timeout=120.0, late=f"{span} days")
+            episodes.write_once(found, f"{base}/out", f"{base}/mark").awaitTermination()
+    finally:
+        spark.conf.unset(episodes.SETTING) if kept is None else spark.conf.set(episodes.SETTING, kept)
+    return episodes.read_once(spark, f"{base}/out", f"user_id long, day date, {episodes.RESULT}").where(F.col("user_id") != ends["nobody"]).withColumn("user_id", F.col("user_id").cast(events.schema["user_id"].dataType))
