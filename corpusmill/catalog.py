@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import derived, durable, episodes, evaluate, ingest, leaks, more, patching, relate, text_queries, trajectories  # noqa: F401  they register
+from .plans import compare, derived, durable, episodes, evaluate, ingest, leaks, more, patching, relate, text_queries, trajectories  # noqa: F401  they register
 from .plans.registry import ORACLES, QUERIES, Query
 
 
