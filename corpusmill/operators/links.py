@@ -54,43 +54,91 @@ class Linked:
         return self.members.join(self.of, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
 
 
+#: Slots of the table that says which windows are frequent, and of how many
+#: rows one is counted for it.
+SLOTS, SAMPLED = 1 << 18, 16
+
+
+def frequent(whole: DataFrame, n: int) -> DataFrame:
+    """One row (bits): a bit for each slot of window hashes, set where a
+    sixteenth of the rows has many more windows than in others.  It only says
+    in which order elements are looked at: any order finds the same links."""
+    slot = F.pmod("g", F.lit(SLOTS)).cast("int")
+    counted = whole.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode(T.word_windows(F.col("text"), n)).alias("g")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    counts = stored(counted)  # a row a slot at most
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    words = [0] * (SLOTS // 64)
+    for r in counts.where(F.col("n") > max(8, 8 * total // SLOTS)).collect():  # an eighth of the slots at most
+        words[r["slot"] // 64] |= 1 << (r["slot"] % 64)
+    forget(counts)
+    return whole.sparkSession.createDataFrame([([w - (1 << 64) if w >> 63 else w for w in words],)], "bits array<long>")
+
+
+def _is_frequent(g: F.Column) -> F.Column:
+    place = F.pmod(g, F.lit(SLOTS))
+    word = F.get(F.col("bits"), (place / 64).cast("int"))
+    return F.call_function("shiftright", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> Linked:
     """Which texts are equal or near copies: of normalised text, or on sets of
     n words with a similarity of `percent` or more.
 
-    Equal sets are one node, by digest, so copies cost one.  A node meets the
-    first node of each of its rare elements; what is similar is one component
-    and needs no further look.  Then nodes of different components that share
-    a rare element meet, so a family of near copies costs about its size, not
-    its square, and no link between components is missed.  Texts of fewer
-    than n words are linked by equality alone; a null text is an empty one.
+    One map makes each text's key (two 64-bit hashes of its sorted set) and
+    the quarter of its elements, infrequent ones first, of which a similar set
+    must have one in its own quarter.  Equal sets are one node, so copies cost
+    one.  A node meets the first node of each of its elements; what is similar
+    is one component and needs no further look.  Then nodes of different
+    components that share an element meet, so a family of near copies costs
+    about its size, not its square, and no link between components is missed.
+    Whole sets are made anew for the nodes that meet, from their texts.  Texts
+    of fewer than n words are linked by equality alone; a null text is an
+    empty one; rows without an id are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
     windows = F.array_sort(F.array_distinct(T.word_windows(F.col("text"), n)))
-    digest = T.bound(windows, lambda s: F.when(F.size(s) > 0, F.sha2(F.array_join(s, "|"), 256)))
-    # exploded: a filter or a join would compute the digest again
-    keyed = stored(whole.select("id", F.explode(F.array(F.coalesce(digest, F.concat(F.lit("="), T.content_hash(F.col("text")))))).alias("key")))
-    reps = stored(keyed.groupBy("key").agg(F.min("id").alias("rep")))
-    members = stored(keyed.join(reps, "key").select("id", "rep"))
-    sets = stored(whole.join(reps.where(~F.col("key").startswith("=")).select(F.col("rep").alias("id")), "id", "left_semi").select("id", windows.alias("s")).dropDuplicates(["id"]))
-    rare = stored(rare_elements(sets, percent))
+    bits = frequent(whole, n)
+
+    def facts(s: F.Column) -> F.Column:
+        size = F.size(s)
+        first = F.slice(F.concat(F.filter(s, lambda g: ~_is_frequent(g)), F.filter(s, _is_frequent)), F.lit(1), F.greatest(_needed(size, percent), F.lit(0)).cast("int"))
+        short = size == 0  # equality alone: the key is the text's
+        return F.struct(size.alias("n"), F.when(short, F.xxhash64(F.lit(3), T.normalised(F.col("text")))).otherwise(F.xxhash64(s)).alias("k1"), F.when(short, F.xxhash64(F.lit(5), T.normalised(F.col("text")))).otherwise(F.xxhash64(F.lit(7), s)).alias("k2"), F.when(~short, first).alias("first"))
+
+    found = whole.crossJoin(F.broadcast(bits)).select("id", T.bound(windows, facts).alias("f"))  # one row
+    keyed = stored(found.select("id", "f.*"))
+    reps = stored(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
+    members = stored(keyed.select("id", "k1", "k2").join(reps, ["k1", "k2"]).select("id", "rep"))
+    nodes = keyed.where("n > 0").join(reps.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"])
+    each = nodes.select("id", "n", F.explode("first").alias("g"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    heads = stored(rare.groupBy("g").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).where("k > 1").select("g", F.col("h.id").alias("a"), F.col("h.n").alias("na")))
-    pairs = stored(rare.join(heads, "g").where((F.col("a") < F.col("id")) & fits("na", "n")).select("a", F.col("id").alias("b")).distinct())
-    first = stored(similar(pairs, sets, percent).select("a", "b"))
+    heads = each.groupBy("g").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).where("k > 1").select("g", F.col("h.id").alias("a"), F.col("h.n").alias("na"))
+    rare = stored(each.join(heads, "g"))
+    pairs = stored(rare.where((F.col("a") < F.col("id")) & fits("na", "n")).select("a", F.col("id").alias("b")).distinct())
+
+    def sets(of: DataFrame) -> DataFrame:
+        met = of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct()
+        return stored(whole.join(met, "id", "left_semi").select("id", windows.alias("s")).dropDuplicates(["id"]))
+
+    full = sets(pairs)
+    first = stored(similar(pairs, full, percent).select("a", "b"))
     of = stored(components(first))
-    labelled = stored(rare.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    labelled = stored(rare.select("id", "n", "g").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
     left = stored(labelled.join(open_, "g", "left_semi"))
     other = left.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     met = left.join(other, "g").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & fits("n", "nb")).select(F.col("id").alias("a"), "b").distinct()
-    second = stored(similar(met.join(pairs, ["a", "b"], "left_anti"), sets, percent).select("a", "b"))
+    more = stored(met.join(pairs, ["a", "b"], "left_anti"))
     near = first
-    if second.limit(1).count():
-        near = stored(first.unionByName(second))
-        of = stored(components(near))
-    forget(keyed, reps, rare, heads, labelled, left, sets)
+    if more.limit(1).count():
+        rest = sets(more)
+        second = stored(similar(more, rest, percent).select("a", "b"))
+        if second.limit(1).count():
+            near = stored(first.unionByName(second))
+            of = stored(components(near))
+        forget(rest)
+    forget(keyed, reps, rare, pairs, full, labelled, left, more)
     return Linked(members, near, of.withColumnRenamed("node", "rep"))
 
 
