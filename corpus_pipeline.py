@@ -25,7 +25,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose most toxic window scores under the threshold."""
+    """Documents whose most toxic window scores under the threshold.  A null
+    or empty text has the score of an empty window; repeated rows are judged
+    alike; without labels of both classes every score is 0.5 or that class.
+    An empty table stays empty."""
     names = docs.columns
     model = toxicity_model(docs, table(spark, sf_dir, "labels"), threshold=TOXIC)
     scored = score_toxicity(numbered(docs), model, "toxic_score", f"c{names.index('text')}")
@@ -33,12 +36,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays, the smallest id's."""
+    """Of each group of near duplicates one row stays, the smallest id's, of
+    repeated rows the one whose columns are smallest.  Rows without words or
+    without an id stay; an empty table stays empty."""
     return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
+    """Documents of which benchmark windows cover less than a twentieth.  A
+    null or empty text has no words and stays; repeated rows are judged alike;
+    an empty benchmark leaves all, an empty table stays empty."""
     names = docs.columns
     found = find_contamination(numbered(docs), table(spark, sf_dir, "benchmark"), text_col=f"c{names.index('text')}")
     return named(found.where(~is_contaminated()), names)
@@ -46,7 +53,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each found span of a text is its kind in brackets, and
-    n_chars counts the new text where that changed."""
+    n_chars counts the new text.  A null text stays null with its n_chars,
+    an empty one empty; repeated rows are changed alike, and an empty table
+    stays empty."""
     clean = redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -56,6 +65,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids and an end id in sequences of 2048, a row a piece.
+    A null or empty text is the end id alone; repeated rows are packed each;
+    an empty table gives no pieces."""
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
