@@ -134,6 +134,13 @@ LEAK_RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",
     "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "long_number": r"[0-9]{13,19}",
+    "phone": r"\+[0-9][0-9 ().-]{6,18}[0-9]",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "cloud_key": r"(AKIA|ASIA)[0-9A-Z]{16}",
+    "forge_token": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "web_token": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    "url_credential": r"[a-z][a-z0-9+.-]*://[^/ :@]+:[^/ :@]+@",
+    "long_hex": r"[0-9a-f]{32}",
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import forget, stored
+from .bloom import MOST, bloom, passes
 from .components import components
 
 
@@ -142,11 +143,26 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Linked(members, near, of.withColumnRenamed("node", "rep"))
 
 
+def protected_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST) -> DataFrame:
+    """(id, g) of each different window of n words that a row shares with a
+    protected text, g its hash.
+
+    The protected windows fill a Bloom filter, if its size allows, which the
+    rows' windows pass before anything is shuffled; what is left of them is
+    joined with the windows themselves, so the filter changes no row.
+    """
+    held = stored(protected.select(F.explode(T.word_windows(F.coalesce(F.col("text"), F.lit("")), n)).alias("g")).distinct())
+    windows = F.array_distinct(T.word_windows(F.coalesce(F.col(text_col), F.lit("")), n))
+    rows = docs.select(F.col(id_col).alias("id"), windows.alias("w"))
+    if found := bloom(held, "g", most_bits):
+        bits, size = found
+        rows = rows.crossJoin(F.broadcast(bits)).select("id", F.filter("w", lambda g: passes(g, F.col("bits"), size)).alias("w"))  # one row
+    return rows.select("id", F.explode("w").alias("g")).join(held, "g", "left_semi").select("id", "g")
+
+
 def shared_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id) of the rows that share n consecutive words with a protected text."""
-    held = protected.select(F.explode(T.word_windows(F.coalesce(F.col("text"), F.lit("")), n)).alias("g")).distinct()
-    each = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(T.word_windows(F.coalesce(F.col(text_col), F.lit("")), n))).alias("g"))
-    return each.join(held, "g", "left_semi").select("id").distinct()
+    return protected_windows(docs, protected, n, id_col, text_col).select("id").distinct()
 
 
 def exclusions(docs: DataFrame, protected: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 8) -> DataFrame:

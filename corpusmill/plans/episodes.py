@@ -18,6 +18,7 @@ from ..sources.scratch import stored
 from .patching import PATCHES_SQL, reviewed
 from .registry import WORDS, query, table
 from .text_queries import inline, values
+from .trajectories import TALK, trajectories
 
 CALLS = """c AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id AS task, event_id % 3 AS seed, (event_id // 3) % 2 AS side FROM events),
     d AS (SELECT *, coalesce(event_type = lag(event_type) OVER w AND k // 10 = lag(k // 10) OVER w AND value >= lag(value) OVER w, false) AS looped, coalesce(bool_or(event_type <> 'error') OVER (PARTITION BY task, seed, side ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS later FROM c WINDOW w AS (PARTITION BY task, seed, side ORDER BY event_id))"""
@@ -178,13 +179,16 @@ def _long(rows: DataFrame, measures: dict[str, F.Column]) -> DataFrame:
     return p.join(sums, "measure")
 
 
-@query(f"WITH v AS (SELECT conv_id, sum({WORDS}) AS a, coalesce(sum({WORDS}) FILTER (role = 'assistant'), 0) AS b, coalesce(sum({WORDS}) FILTER (role = 'system'), 0) AS c, count(*) FILTER (role = 'assistant') AS d, max(length(text)) AS e FROM conversations GROUP BY conv_id), u AS (SELECT unnest([{{'m': 'sequence', 'n': a}}, {{'m': 'target', 'n': b}}, {{'m': 'tool_output', 'n': c}}, {{'m': 'calls', 'n': d}}, {{'m': 'patch', 'n': e}}]) AS x FROM v), w AS (SELECT x.m AS measure, x.n AS n FROM u) SELECT measure, {P} FROM w GROUP BY measure")
+@query(f"{TALK}, {PATCHES_SQL}, m AS (SELECT conv_id, role, path, {WORDS} AS n FROM (SELECT *, content AS text FROM t)), v AS (SELECT sum(n) AS a, coalesce(sum(n) FILTER (role = 'assistant'), 0) AS b, coalesce(sum(n) FILTER (role = 'tool'), 0) AS c, count(path) AS d FROM m GROUP BY conv_id), u AS (SELECT unnest([{{'m': 'sequence', 'n': a}}, {{'m': 'target', 'n': b}}, {{'m': 'tool_output', 'n': c}}, {{'m': 'calls', 'n': d}}]) AS x FROM v), w AS (SELECT x.m AS measure, x.n AS n FROM u UNION ALL SELECT 'patch', total FROM patches) SELECT measure, {P} FROM w GROUP BY measure")
 def agg_five_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-12: the five published measures of length, p50 to p99 and maximum."""
-    n = T.word_count(F.col("text"))
-    of = lambda role: F.sum(F.when(F.col("role") == role, n).otherwise(0))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(n).alias("a"), of("assistant").alias("b"), of("system").alias("c"), F.count_if(F.col("role") == "assistant").alias("d"), F.max(F.char_length("text")).alias("e"))
-    return _long(rows, dict(zip(("sequence", "target", "tool_output", "calls", "patch"), map(F.col, "abcde"), strict=True)))
+    """AGG-12: the five published measures of length, p50 to p99 and maximum:
+    words of a trajectory, of its trained turns and of its tools' answers, its
+    calls, and changed lines of a patch."""
+    words = lambda role: F.aggregate(F.transform(F.filter("messages", lambda m: (m["role"] == role) if role else F.lit(True)), lambda m: T.word_count(m["content"])), F.lit(0).cast("long"), lambda a, n: a + n)
+    made = F.size(F.filter("messages", lambda m: F.size(m["tool_calls"]) > 0))
+    rows = trajectories(spark, sf_dir).select(words(None).alias("sequence"), words("assistant").alias("target"), words("tool").alias("tool_output"), made.cast("long").alias("calls"), F.lit(None).cast("long").alias("patch"))
+    sizes = reviewed(spark, sf_dir).select(*[F.lit(None).cast("long").alias(c) for c in rows.columns[:4]], F.col("total").alias("patch"))
+    return _long(rows.unionByName(sizes), {c: F.col(c) for c in rows.columns})
 
 
 @query(f"WITH {EPISODES}, u AS (SELECT unnest([{{'m': 'seconds', 'n': seconds}}, {{'m': 'tokens', 'n': CAST(tokens AS DOUBLE)}}, {{'m': 'calls', 'n': CAST(calls AS DOUBLE)}}]) AS x FROM e), w AS (SELECT x.m AS measure, x.n AS n FROM u) SELECT measure, {P} FROM w GROUP BY measure")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.links import exclusions, leak_free_split, link_texts
+from ..operators.links import exclusions, leak_free_split, link_texts, protected_windows
 from ..sources.scratch import stored
 from .registry import NORMAL, query, table
 
@@ -60,3 +60,18 @@ def cmp_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     but the first of each component; what is kept passes three anti joins."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exclusions(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id"), "verdict")
+
+
+_TALKED = f"SELECT conv_id, turn, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')))) AS g FROM (SELECT conv_id, turn, string_split({NORMAL}, ' ') AS w FROM conversations UNION ALL SELECT -1 - doc_id, -1, string_split({NORMAL}, ' ') FROM documents) WHERE len(w) >= 5"
+_HIDDEN = f"SELECT unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' '))) AS g FROM (SELECT string_split({NORMAL}, ' ') AS w FROM benchmark) WHERE len(w) >= 5"
+
+
+@query(f"SELECT conv_id AS row, turn, count(*) AS windows FROM ({_TALKED}) WHERE g IN ({_HIDDEN}) GROUP BY conv_id, turn")
+def cmp_hidden_test_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-29, JON-07: turns and documents that hold five words in a row of a
+    hidden test (a benchmark item), and how many such windows; documents have
+    negative rows.  Windows pass a Bloom filter before they are joined."""
+    turns = table(spark, sf_dir, "conversations").select(F.struct(F.col("conv_id").alias("row"), "turn").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.struct((-1 - F.col("doc_id")).alias("row"), F.lit(-1).cast("long").alias("turn")).alias("id"), "text")
+    found = protected_windows(turns.unionByName(docs), table(spark, sf_dir, "benchmark"), 5, id_col="id")
+    return found.groupBy("id").agg(F.count("*").alias("windows")).select("id.row", "id.turn", "windows")

@@ -4,9 +4,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from corpusmill.operators.bloom import bloom, passes
 from corpusmill.operators.components import components
-from corpusmill.operators.links import leak_free_split, link_texts, shared_windows
+from corpusmill.operators.links import leak_free_split, link_texts, protected_windows, shared_windows
 
 
 def brute(links):
@@ -114,6 +116,24 @@ def test_one_component_cannot_be_split(spark):
         leak_free_split(frame(spark, {1: "same", 2: "same"}))
 
 
+def test_a_filter_changes_no_row(spark):
+    rng = np.random.default_rng(5)
+    texts = {k: " ".join(f"w{x}" for x in rng.integers(0, 12, 30)) for k in range(60)}
+    docs, held = frame(spark, texts), frame(spark, {k: texts[k] + " more" for k in range(0, 60, 20)} | {99: None})
+    found = [sorted(map(tuple, protected_windows(docs, held, 3, most_bits=m).collect())) for m in (1 << 23, 0)]
+    assert found[0] == found[1] and len(found[0]) > 100
+    assert protected_windows(docs, held.limit(0), 3).collect() == []
+
+
+def test_filters_hold_all_their_values_and_few_others(spark):
+    values = spark.range(5000).select(F.xxhash64("id").alias("g"))
+    bits, size = bloom(values, "g")
+    other = spark.range(5000, 25000).select(F.xxhash64("id").alias("g"))
+    share = lambda df: df.crossJoin(bits).agg(F.avg(passes(F.col("g"), F.col("bits"), size).cast("int"))).first()[0]
+    assert size == 65536 and share(values) == 1.0 and share(other) < 0.02
+    assert bloom(values, "g", 1 << 15) is None
+
+
 def test_windows_shared_with_protected_texts(spark):
     held = frame(spark, {1: "a b c d e f g h i j", 2: "too short", 3: None})
     docs = frame(spark, {10: "x A b, c d e f g h", 11: "x a b c d e f g h y", 12: "b c d e f g h i", 13: "too short", 14: None})
