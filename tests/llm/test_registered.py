@@ -23,6 +23,9 @@ COLUMNS = {
     "op8": "doc_id held_out score predicted",
     "op9": "query_id rank vec_id score",
     "op10": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op11": "item_id rank doc_id score",
+    "op12": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op13": "doc_id keep_id group_size kept text_sha256",
 }
 
 
@@ -40,7 +43,7 @@ def results(spark):
 def test_columns_and_rows(results, texts, op):
     out = results[op]
     assert out.columns.tolist() == COLUMNS[op].split()
-    if op not in ("op3", "op9"):
+    if op not in ("op3", "op9", "op11", "op12"):
         assert sorted(out.doc_id) == sorted(texts)
 
 
