@@ -344,9 +344,14 @@ def cmp_foreign_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""{TALK} SELECT conv_id, '<|im_start|>system' || chr(10) || '<tools>' || chr(10) || '{{"name":"read_file","parameters":{_PARAMETERS}}}' || chr(10) || '</tools><|im_end|>' || chr(10) || string_agg('<|im_start|>' || role || chr(10) || {_MERGED} || coalesce(chr(10) || '<tool_call>' || chr(10) || '{{"name":"read_file","arguments":{{"path":"' || path || '"}}}}' || chr(10) || '</tool_call>', '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text FROM t WHERE {_KEPT} GROUP BY conv_id""")
+@query(
+    f"""{TALK}, f AS (SELECT *, role = 'system' AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS head FROM t)
+    SELECT conv_id, '<|im_start|>system' || chr(10) || '<tools>' || chr(10) || '{{"name":"read_file","parameters":{_PARAMETERS}}}' || chr(10) || '</tools>' || coalesce(chr(10) || chr(10) || nullif(max(content) FILTER (head), ''), '') || '<|im_end|>' || chr(10)
+        || coalesce(string_agg('<|im_start|>' || role || chr(10) || {_MERGED} || coalesce(chr(10) || '<tool_call>' || chr(10) || '{{"name":"read_file","arguments":{{"path":"' || path || '"}}}}' || chr(10) || '</tool_call>', '') || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (NOT head), '') AS text
+    FROM f WHERE {_KEPT} GROUP BY conv_id"""
+)
 def cmp_foreign_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CMP-05: foreign rows prepared and rendered; rows that cannot be are
-    dropped."""
+    """CMP-05: foreign rows prepared and rendered, a system text of their own
+    behind the declared tools; rows that cannot be are dropped."""
     rows = foreign(spark, sf_dir).withColumn("m", X.parse(F.col("raw"))).where(X.usable(F.col("m")))
     return rows.select("conv_id", X.render(X.prepare(F.col("m")), X.declared(F.col("m"))).alias("text")).where("text is not null")
