@@ -90,8 +90,9 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     must have one in its own quarter.  Equal sets are one node, so copies cost
     one.  A node meets the first node of each of its elements; what is similar
     is one component and needs no further look.  Then nodes of different
-    components that share an element meet, so a family of near copies costs
-    about its size, not its square, and no link between components is missed.
+    components that share elements meet, if they share enough of them to be
+    similar at all, so a family of near copies costs about its size, not its
+    square, and no link between components is missed.
     Whole sets are made anew for the nodes that meet, from their texts.  Texts
     of fewer than n words are linked by equality alone; a null text is an
     empty one; rows without an id are left out.
@@ -103,7 +104,9 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def facts(s: F.Column) -> F.Column:
         size = F.size(s)
-        first = F.slice(F.concat(F.filter(s, lambda g: ~_is_frequent(g)), F.filter(s, _is_frequent)), F.lit(1), F.greatest(_needed(size, percent), F.lit(0)).cast("int"))
+        most = F.greatest(_needed(size, percent), F.lit(0)).cast("int")
+        rare = F.filter(s, lambda g: ~_is_frequent(g))
+        first = T.bound(rare, lambda r: F.slice(F.when(F.size(r) >= most, r).otherwise(F.concat(r, F.filter(s, _is_frequent))), F.lit(1), most))
         short = size == 0  # equality alone: the key is the text's
         return F.struct(size.alias("n"), F.when(short, F.xxhash64(F.lit(3), T.normalised(F.col("text")))).otherwise(F.xxhash64(s)).alias("k1"), F.when(short, F.xxhash64(F.lit(5), T.normalised(F.col("text")))).otherwise(F.xxhash64(F.lit(7), s)).alias("k2"), F.when(~short, first).alias("first"))
 
@@ -129,7 +132,11 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
     left = stored(labelled.join(open_, "g", "left_semi"))
     other = left.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = left.join(other, "g").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & fits("n", "nb")).select(F.col("id").alias("a"), "b").distinct()
+    # what two sets share is what their quarters share and, beyond the quarter that ends first, at most its set's rest
+    rest_of = lambda n_: n_ - _needed(n_, percent)
+    wanted = F.ceil(F.lit(percent / (100 + percent)) * (F.col("n") + F.col("nb")) - 1e-6)
+    together = left.join(other, "g").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & fits("n", "nb")).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("nb").alias("nb"))
+    met = together.where(F.col("c") + F.greatest(rest_of(F.col("n")), rest_of(F.col("nb"))) >= wanted).select("a", "b")
     more = stored(met.join(pairs, ["a", "b"], "left_anti"))
     near = first
     if more.limit(1).count():
