@@ -55,6 +55,8 @@ class Linked:
         return self.members.join(self.of, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
 
 
+#: Ids whose table may be broadcast (8 MB); texts of more are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Slots of the table that says which windows are frequent, and of how many
 #: rows one is counted for it.
 SLOTS, SAMPLED = 1 << 18, 16
@@ -119,18 +121,22 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     heads = each.groupBy("g").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).where("k > 1").select("g", F.col("h.id").alias("a"), F.col("h.n").alias("na"))
     rare = stored(each.join(heads, "g"))
+    forget(keyed, reps)
     pairs = stored(rare.where((F.col("a") < F.col("id")) & fits("na", "n")).select("a", F.col("id").alias("b")).distinct())
 
     def sets(of: DataFrame) -> DataFrame:
-        met = of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct()
-        return stored(whole.join(met, "id", "left_semi").select("id", windows.alias("s")).dropDuplicates(["id"]))
+        met = stored(of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct())
+        few = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
+        return stored(whole.join(few, "id", "left_semi").select("id", windows.alias("s")))
 
     full = sets(pairs)
     first = stored(similar(pairs, full, percent).select("a", "b"))
+    forget(full)
     of = stored(components(first))
     labelled = stored(rare.select("id", "n", "g").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
     left = stored(labelled.join(open_, "g", "left_semi"))
+    forget(rare, labelled)
     other = left.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     # what two sets share is what their quarters share and, beyond the quarter that ends first, at most its set's rest
     rest_of = lambda n_: n_ - _needed(n_, percent)
@@ -146,7 +152,7 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             near = stored(first.unionByName(second))
             of = stored(components(near))
         forget(rest)
-    forget(keyed, reps, rare, pairs, full, labelled, left, more)
+    forget(pairs, left, more)
     return Linked(members, near, of.withColumnRenamed("node", "rep"))
 
 

@@ -16,7 +16,6 @@ from ..operators import rewards as R
 from ..operators.links import exclusions
 from ..operators.quantiles import quantiles
 from ..operators.split import within_budget
-from ..operators.validate import validate
 from ..sources.scratch import stored
 from .leaks import LINKS_SQL, VERDICT_SQL
 from .registry import NORMAL, WORDS, query, table
@@ -35,35 +34,6 @@ def cmp_validate_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk.withColumn("e", end).select("conv_id", F.col("e.bad").alias("bad_roles"), F.col("e.again").alias("repeated"), F.col("m")[0]["role"].alias("opens"))
 
 
-def _call(name: str, **arguments: str) -> dict:
-    return {"type": "function", "function": {"name": name, "arguments": arguments}}
-
-
-_USER, _ASK = {"role": "user", "content": "fix"}, {"role": "assistant", "content": "", "tool_calls": [_call("read_file", path="a")]}
-_ANSWER, _DONE = {"role": "tool", "name": "read_file", "content": "x"}, {"role": "assistant", "content": "done"}
-#: name, messages, changes of the row, codes that must come out in order.
-TRAJECTORIES = [
-    ("good", [_USER, _ASK, _ANSWER, _DONE], {}, ""),
-    ("version", [_USER, _ASK, _ANSWER, _DONE], {"version": "v0"}, "schema_version:-1"),
-    ("json", [_USER, _ASK, _ANSWER, _DONE], {"stored": "[]"}, "schema_json:-1"),
-    ("tools", [_USER, _ASK, _ANSWER, _DONE], {"declared": None}, "tools_differ:-1"),
-    ("empty", [], {"version": "v0"}, "no_messages:-1"),
-    ("role", [{"role": "robot"}, _ASK, _ANSWER, _DONE], {}, "unexpected_role:0"),
-    ("early", [_USER, _ASK, _DONE, _ANSWER], {}, "turn_before_response:2"),
-    ("unknown", [_USER, {"role": "assistant", "tool_calls": [_call("bash", command="ls")]}, _DONE], {}, "unknown_tool:1,no_tool_call:-1"),
-    ("mapping", [_USER, {"role": "assistant", "tool_calls": [{"function": {"name": "read_file"}}]}, _DONE], {}, "arguments_not_mapping:1,no_tool_call:-1"),
-    ("missing", [_USER, {"role": "assistant", "tool_calls": [_call("read_file")]}, _ANSWER, _DONE], {}, "missing_argument:1"),
-    ("extra", [_USER, {"role": "assistant", "tool_calls": [_call("read_file", path="a", mode="r")]}, _ANSWER, _DONE], {}, "unknown_argument:1"),
-    ("orphan", [_USER, _ANSWER, _ASK, _ANSWER], {}, "response_without_call:1"),
-    ("name", [_USER, _ASK, {"role": "tool", "name": "search"}, _DONE], {}, "wrong_response_name:2"),
-    ("middle", [_USER, _ASK, _USER, _ANSWER], {}, "unresolved_responses:2"),
-    ("end", [_USER, _ASK], {}, "ends_unresolved:-1"),
-    ("none", [_USER, _DONE], {}, "no_tool_call:-1"),
-    ("unverified", [_USER, _ASK, _ANSWER, _DONE], {"verified": False}, "not_verified:-1"),
-    ("no flag", [_USER, _ASK, _ANSWER, _DONE], {"verified": None}, "not_verified:-1"),
-]
-
-
 @query(
     f"""WITH a AS (SELECT {DAY}, event_id, CASE WHEN event_type = 'purchase' THEN 0 WHEN event_type = 'click' THEN 2 ELSE 1 END AS calls, value AS seconds FROM events),
     b AS (SELECT *, coalesce(sum(seconds) OVER (PARTITION BY user_id, day ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 120 AS late, sum(calls) OVER (PARTITION BY user_id, day ORDER BY event_id ROWS UNBOUNDED PRECEDING) > 4 AS over_budget FROM a),
@@ -78,9 +48,6 @@ def cmp_episode_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.account(turns, ["user_id", "day"], "event_id", calls, F.col("value"), max_calls=4, timeout=120.0)
 
 
-TOY = [(1, False, False, False, 0, "d", "d", False), (2, True, True, True, 0, "d", "d", False), (3, True, True, True, 0, "x", "d", False), (4, True, False, False, 2, "d", "d", False), (5, True, True, False, 1, "d", "d", False), (6, True, True, True, 0, "d", "d", True)]
-
-
 @query("SELECT doc_id, round(0.55 * quality + 0.25 * (1 - toxic) + 0.1 * (doc_id % 2) + 0.05 * (doc_id % 3) / 2 + 0.05 - 0.5 * toxic, 6) AS reward FROM labels")
 def cmp_reward_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CMP-10: the named vector as one number."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import revisions
-from ..sources.readers import answer_tool, from_rows, pinned
+from ..sources.readers import answer_tool, pinned
 from ..sources.scratch import scratch
 from .registry import WORDS, query, table
 
@@ -119,9 +119,6 @@ def prj_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(parts, lambda p: p["type"]), ",").alias("kinds"), F.to_json(parts).alias("content"))
 
 
-ANSWERS = "VALUES (1,'42'),(2,'-3.5'),(3,'1,200'),(4,' 7 '),(5,'\\frac{1}{2}'),(6,'1e5'),(7,''),(8,'12 apples'),(9,'+4'),(10,'0.0')"
-
-
 @query(f"SELECT doc_id, {WORDS} AS tokens FROM documents WHERE {WORDS} <= 512")
 def flt_length_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-05, FN-09: texts over the budget go whole, none is cut."""

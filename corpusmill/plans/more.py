@@ -1,27 +1,13 @@
-"""Foreign rows, calibration and long rows, episodes as a stream, near copies."""
+"""Calibration and long rows, default rewards, stamps, near copies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import foreign as X
 from ..functions import text as T
 from ..operators.links import rare_elements, similar
 from .registry import NORMAL, WORDS, query, table
-from .text_queries import inline, values
-
-FOREIGN = [
-    (1, '[{"role":"system","tools":[{"name":"f","description":"d"}]},{"role":"user","content":"q"},{"role":"assistant","think":"t","content":"c","tool_calls":[{"tool_call_id":"a","name":"f","arguments":"{\\"x\\":1}"}]},{"role":"tool","tool_call_id":"a","content":"r"}]'),
-    (2, '[{"role":"user","content":"q"},{"role":"assistant","content":"no thought"}]'),
-    (3, '[{"role":"user","content":"q"}]'),
-    (4, '[{"role":"system","content":"s"},{"role":"assistant","think_fast":"t","tool_calls":[{"id":"b","type":"function","function":{"name":"g","arguments":{"y":2}}}]},{"role":"tool","content":"r"}]'),
-    (5, "not json"),
-]
-
-
-_HEAD = '<|im_start|>system\n<tools>\n{"name":"f","parameters":{"type":"object","properties":{}}}\n</tools><|im_end|>\n'
-_TURN = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
 @query(f"SELECT count(*) AS documents, CAST(sum({WORDS}) AS BIGINT) AS tokens, max({WORDS}) AS max_tokens FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 512)")

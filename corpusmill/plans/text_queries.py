@@ -63,25 +63,6 @@ def flagship_render_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(quantiles(divided, F.col("tokens"), (0.5, 0.95), ["split"]).select("split", F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p95")), "split")
 
 
-COMPLETIONS = [
-    (1, "<think>The index may be stale.</think>\n\n<tool_call>\n<function=read_file>\n<parameter=path>\nlib/index.rs\n</parameter>\n</function>\n</tool_call>"),
-    (2, "</think><tool_call>\n<function=apply_patch>\n<parameter=patch>\n first\n-old\n+new\n</parameter>\n</function>\n</tool_call><tool_call><function=run_tests><parameter=profile> unit </parameter></function></tool_call>"),
-    (3, "plain answer without a tag  "),
-    (4, "<think>a</think>b</think>c"),
-    (5, "<think>x</think><tool_call><function read_file></function></tool_call>"),
-    (6, ""),
-]
-
-
-CHANNELS = [
-    (1, " to=self<|message|>9 crates of 6<|eom|><|start|>assistant to=user<|message|>54<|eot|>", "54"),
-    (2, " to=self 9 crates to=user 54", "54"),
-    (3, "no word of it", "5"),
-    (4, "to=user to=user<|message|>1,200 apples<|eot|>x", "1200"),
-    (5, None, "1"),
-]
-
-
 @query("SELECT doc_id, len(regexp_extract_all(text, '-?[0-9]+(\\.[0-9]+)?')) AS n, CASE WHEN len(regexp_extract_all(text, '-?[0-9]+(\\.[0-9]+)?')) > 0 THEN list_last(regexp_extract_all(text, '-?[0-9]+(\\.[0-9]+)?')) END AS last_number FROM documents")
 def fn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-21: all numbers, the last one wins."""
@@ -89,9 +70,6 @@ def fn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("found").cast("long").alias("n"), F.when(F.size("found") > 0, F.element_at("found", -1)).alias("last_number"))
 
 
-SPANS = [(1, "<REASONING>a</REASONING><SOLUTION>4\n2</SOLUTION>", "42"), (2, "<SOLUTION>1</SOLUTION><SOLUTION>2</SOLUTION>", "1"), (3, "addCriterion\n\n\nok", "ok"), (4, "", "x")]
-
-
 @query("SELECT doc_id, round(CASE WHEN length(text) > 0 THEN (length(text) - length(replace(replace(text, 'the', ''), chr(10), ''))) / length(text) ELSE 0 END, 6) AS share FROM documents")
 def fn_gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-23: share of characters that go with some strings."""
