@@ -125,7 +125,7 @@ def str_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             if part == 2:
                 nobody = rows.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.expr(f"timestamp'{ends['last']}' + interval {span + 9} days").alias("ts"), F.lit(ends["nobody"]).cast(rows.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
                 rows = rows.select(nobody.columns).unionByName(nobody)
-            rows.write.mode("append").json(f"{base}/in")
+            rows.write.mode("append").json(f"{base}/in", compression="gzip")
             stream = ingest.traces(spark, f"{base}/in").withColumn("day", F.to_date("ts"))
             calls = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 2).otherwise(1)
             found = episodes.account_stream(stream, ["user_id", "day"], "event_id", "ts", calls, F.col("value"), max_calls=4, timeout=120.0, late=f"{span} days")
