@@ -3,8 +3,11 @@ near copies, and windows shared with protected texts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +23,6 @@ def _needed(n: F.Column, percent: int) -> F.Column:
     return n - F.ceil(F.lit(percent / 100) * n) + 1
 
 
-def rare_elements(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, g): of each set (id, s) the elements, rarest first, of which
-    similar sets must share one, if any other set has them."""
-    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    often = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    # an element of one set joins nothing, so only the shared ones are ranked, after the n - df>1 rare ones
-    shared = each.join(often, "g")
-    ranked = shared.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "g")))
-    many = ranked.groupBy("id").agg(F.count("*").alias("m"))
-    return ranked.join(many, "id").where(F.col("n") - F.col("m") + F.col("place") <= _needed(F.col("n"), percent)).select("id", "n", "g")
-
-
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared, either) of the pairs that are as similar as asked, on
     full sets."""
@@ -55,8 +46,8 @@ class Linked:
         return self.members.join(self.of, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
 
 
-#: Ids whose table may be broadcast (8 MB); texts of more are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Ids whose table may be broadcast (some 64 MB); texts of more are shuffled.
+BROADCAST_IDS = 2_000_000
 #: Slots of the table that says which windows are frequent, and of how many
 #: rows one is counted for it.
 SLOTS, SAMPLED = 1 << 18, 16
@@ -83,21 +74,103 @@ def _is_frequent(g: F.Column) -> F.Column:
     return F.call_function("shiftright", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> Linked:
-    """Which texts are equal or near copies: of normalised text, or on sets of
-    n words with a similarity of `percent` or more.
+#: Elements whose bitmaps are made at once.
+AT_ONCE = 1_000_000
+
+
+def _parity(sets: pa.ListArray) -> pa.ListArray:
+    """Of each set of hashes a bitmap of at least two bits an element, a power
+    of two and whole words: whether an odd number of elements falls on a bit."""
+    sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * sizes, 64))).astype(np.int64)
+    ends = np.cumsum(bits)
+    places = np.repeat(ends - bits, sizes) + (sets.flatten().to_numpy() & np.repeat(bits - 1, sizes))
+    odd = (np.bincount(places, minlength=ends[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(np.concatenate([[0], ends // 64]).astype(np.int32), np.packbits(odd, bitorder="little").view(np.int64))
+
+
+def bitmaps(sets: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(id, n, p): the size and the bitmap by parity of each set (id, s)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.diff(b.column("s").offsets.to_numpy()).astype(np.int32)
+            cuts = np.flatnonzero(np.diff(np.cumsum(n, dtype=np.int64) // at_once, prepend=0, append=-1))
+            for low, high in zip([0, *cuts], [*cuts, len(n)], strict=False):
+                if high > low:
+                    part = b.slice(low, high - low)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n[low:high]), _parity(part.column("s"))], names=["id", "n", "p"])
+
+    return sets.mapInArrow(run, "id bigint, n int, p array<bigint>")
+
+
+def _apart(x: F.Column, y: F.Column) -> F.Column:
+    """On how many bits two bitmaps differ, the longer one folded: at most the
+    number of elements that only one of the sets has."""
+    words = F.least(F.size(x), F.size(y))
+    fold = lambda m: F.when(F.size(m) > words, F.zip_with(F.slice(m, F.lit(1), words), F.slice(m, words + 1, words), lambda u, v: u.bitwiseXOR(v))).otherwise(m)
+    return F.aggregate(F.zip_with(fold(x), fold(y), lambda u, v: u.bitwiseXOR(v)), F.lit(0), lambda n, w: n + F.bit_count(w).cast("int"))
+
+
+@dataclass
+class Elements:
+    """Rows (id, text), which texts are equal, and the elements of which
+    similar sets must share one; all but `whole` stored."""
+
+    whole: DataFrame
+    windows: F.Column
+    percent: int
+    members: DataFrame  # (id, rep) of every row
+    rare: DataFrame  # (g, id, n, a, na): representatives with an element that another has too, and the first that has it
+
+    def fits(self, a: str, b: str) -> F.Column:
+        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+
+    def _of(self, pairs: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """What is made of the rows that meet, stored."""
+        met = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        few = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
+        out = stored(made(self.whole.join(few, "id", "left_semi").select("id", self.windows.alias("s"))))
+        forget(met)
+        return out
+
+    def enough(self, left: DataFrame, right: DataFrame, apart: F.Column | None = None) -> DataFrame:
+        """(a, b) that meet on elements of left (g, id, n) and right (g, b, nb)
+        and share enough of them to be similar at all."""
+        # what two sets share is what their quarters share and, beyond the quarter that ends first, at most its set's rest
+        rest_of = lambda n: n - _needed(n, self.percent)
+        wanted = F.ceil(F.lit(self.percent / (100 + self.percent)) * (F.col("n") + F.col("nb")) - 1e-6)
+        on = (F.col("id") < F.col("b")) & self.fits("n", "nb")
+        together = left.join(right, "g").where(on if apart is None else on & apart).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("nb").alias("nb"))
+        return together.where(F.col("c") + F.greatest(rest_of(F.col("n")), rest_of(F.col("nb"))) >= wanted).select("a", "b")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, shared, either), stored, of the stored pairs that are as
+        similar as asked.
+
+        Bitmaps of the sets' elements by parity, a thirtieth of their size,
+        bound from below how many elements only one of the two has; what they
+        leave open is compared on full sets, so no pair is lost.
+        """
+        marks = self._of(pairs, bitmaps)
+        end = lambda i, n, p: marks.select(F.col("id").alias(i), F.col("n").alias(n), F.col("p").alias(p))
+        both = pairs.join(end("a", "na", "x"), "a").join(end("b", "nb", "y"), "b")
+        close = stored(both.where(_apart(F.col("x"), F.col("y")) * (100 + self.percent) <= (100 - self.percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
+        forget(marks)
+        full = self._of(close, lambda sets: sets)
+        out = stored(similar(close, full, self.percent).distinct())
+        forget(close, full)
+        return out
+
+
+def shared_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> Elements:
+    """Equal texts and rare elements of what is left.
 
     One map makes each text's key (two 64-bit hashes of its sorted set) and
     the quarter of its elements, infrequent ones first, of which a similar set
     must have one in its own quarter.  Equal sets are one node, so copies cost
-    one.  A node meets the first node of each of its elements; what is similar
-    is one component and needs no further look.  Then nodes of different
-    components that share elements meet, if they share enough of them to be
-    similar at all, so a family of near copies costs about its size, not its
-    square, and no link between components is missed.
-    Whole sets are made anew for the nodes that meet, from their texts.  Texts
-    of fewer than n words are linked by equality alone; a null text is an
-    empty one; rows without an id are left out.
+    one.  Infrequent elements are shuffled once; frequent ones, which one task
+    might not hold, are counted first.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
@@ -114,46 +187,68 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = whole.crossJoin(F.broadcast(bits)).select("id", T.bound(windows, facts).alias("f"))  # one row
     keyed = stored(found.select("id", "f.*"))
-    reps = stored(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
-    members = stored(keyed.select("id", "k1", "k2").join(reps, ["k1", "k2"]).select("id", "rep"))
-    nodes = keyed.where("n > 0").join(reps.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"])
-    each = nodes.select("id", "n", F.explode("first").alias("g"))
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    heads = each.groupBy("g").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).where("k > 1").select("g", F.col("h.id").alias("a"), F.col("h.n").alias("na"))
-    rare = stored(each.join(heads, "g"))
-    forget(keyed, reps)
-    pairs = stored(rare.where((F.col("a") < F.col("id")) & fits("na", "n")).select("a", F.col("id").alias("b")).distinct())
-
-    def sets(of: DataFrame) -> DataFrame:
-        met = stored(of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct())
-        few = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
-        return stored(whole.join(few, "id", "left_semi").select("id", windows.alias("s")))
+    key = ["id", "k1", "k2"]
+    reps = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    members = stored(keyed.select(*key).join(reps, ["k1", "k2"]).select(*key, "rep"))
+    copies = stored(members.where("id <> rep").select(*key).distinct())
+    some = keyed.where("n > 0")
+    nodes = some.join(F.broadcast(copies), key, "left_anti") if copies.count() <= BROADCAST_IDS else some.join(copies, key, "left_anti")
+    each = nodes.select("id", "n", F.explode("first").alias("g")).crossJoin(F.broadcast(bits))  # one row
+    once, often = (each.where(c).select("id", "n", "g") for c in (~_is_frequent(F.col("g")), _is_frequent(F.col("g"))))
+    w = Window.partitionBy("g")
+    once = once.withColumns({"h": F.min(F.struct("id", "n")).over(w), "k": F.count("*").over(w)}).where("k > 1")
+    heads = often.groupBy("g").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    columns = ["g", "id", "n", F.col("h.id").alias("a"), F.col("h.n").alias("na")]
+    rare = stored(once.select(*columns).unionByName(often.join(heads, "g").select(*columns)))
+    forget(keyed, copies)
+    return Elements(whole, windows, percent, members.select("id", "rep"), rare)
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """(a, b, shared, either), stored, of all pairs of different sets of n
+    words with a similarity of `percent` or more, between representatives."""
+    found = shared_elements(docs, id_col, text_col, n, percent)
+    other = found.rare.select("g", F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = stored(found.enough(found.rare.select("g", "id", "n"), other))
+    out = found.linked(pairs)
+    forget(found.rare, pairs)
+    return out
+
 
-    full = sets(pairs)
-    first = stored(similar(pairs, full, percent).select("a", "b"))
-    forget(full)
+def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> Linked:
+    """Which texts are equal or near copies: of normalised text, or on sets of
+    n words with a similarity of `percent` or more.
+
+    A node meets the first node of each of its elements; what is similar
+    is one component and needs no further look.  Then nodes of different
+    components that share elements meet, if they share enough of them to be
+    similar at all, so a family of near copies costs about its size, not its
+    square, and no link between components is missed.
+    Whole sets are made anew for the nodes that meet, from their texts.  Texts
+    of fewer than n words are linked by equality alone; a null text is an
+    empty one; rows without an id are left out.
+    """
+    found = shared_elements(docs, id_col, text_col, n, percent)
+    rare = found.rare
+    pairs = stored(rare.where((F.col("a") < F.col("id")) & found.fits("na", "n")).select("a", F.col("id").alias("b")).distinct())
+    first = found.linked(pairs).select("a", "b")
     of = stored(components(first))
     labelled = stored(rare.select("id", "n", "g").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
     left = stored(labelled.join(open_, "g", "left_semi"))
     forget(rare, labelled)
     other = left.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    # what two sets share is what their quarters share and, beyond the quarter that ends first, at most its set's rest
-    rest_of = lambda n_: n_ - _needed(n_, percent)
-    wanted = F.ceil(F.lit(percent / (100 + percent)) * (F.col("n") + F.col("nb")) - 1e-6)
-    together = left.join(other, "g").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & fits("n", "nb")).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("nb").alias("nb"))
-    met = together.where(F.col("c") + F.greatest(rest_of(F.col("n")), rest_of(F.col("nb"))) >= wanted).select("a", "b")
+    met = found.enough(left, other, F.col("component") != F.col("cb"))
     more = stored(met.join(pairs, ["a", "b"], "left_anti"))
+    forget(pairs, left)
     near = first
     if more.limit(1).count():
-        rest = sets(more)
-        second = stored(similar(more, rest, percent).select("a", "b"))
+        second = found.linked(more).select("a", "b")
         if second.limit(1).count():
             near = stored(first.unionByName(second))
             of = stored(components(near))
-        forget(rest)
-    forget(pairs, left, more)
-    return Linked(members, near, of.withColumnRenamed("node", "rep"))
+    forget(more)
+    return Linked(found.members, near, of.withColumnRenamed("node", "rep"))
 
 
 def protected_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.links import rare_elements, similar
+from ..operators.links import similar_pairs
 from .registry import NORMAL, WORDS, query, table
 
 
@@ -55,17 +55,12 @@ def cmp_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cmp_near_dedup_members says which texts each stands for.
 
     Texts with equal sets become one (their smallest id) first.  Then prefix
-    filtering: with shingles ordered from rare to common, two sets as similar
-    as asked share one of the first n - ceil(0.75 n) + 1 of either, so only
-    these rare shingles are joined, and only pairs of fitting sizes.
+    filtering: with windows in one order, infrequent ones first, two sets as
+    similar as asked share one of the first n - ceil(0.75 n) + 1 of either, so
+    only these are joined, only pairs of fitting sizes that share enough of
+    them, and whole sets only of pairs whose bitmaps are near enough.
     """
-    sets = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(T.word_windows(F.col("text"), 5))).alias("s")).where(F.size("s") > 0)
-    reps = sets.groupBy("s").agg(F.min("doc_id").alias("id"))
-    prefix = rare_elements(reps, 75)
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    fits = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    return similar(pairs, reps, 75)
+    return similar_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import links
 from corpusmill.operators.bloom import bloom, passes
 from corpusmill.operators.components import components
-from corpusmill.operators.links import leak_free_split, link_texts, protected_windows, shared_windows
+from corpusmill.operators.links import bitmaps, leak_free_split, link_texts, protected_windows, shared_windows, similar_pairs
 
 
 def brute(links):
@@ -138,3 +139,51 @@ def test_windows_shared_with_protected_texts(spark):
     held = frame(spark, {1: "a b c d e f g h i j", 2: "too short", 3: None})
     docs = frame(spark, {10: "x A b, c d e f g h", 11: "x a b c d e f g h y", 12: "b c d e f g h i", 13: "too short", 14: None})
     assert sorted(r["id"] for r in shared_windows(docs, held).collect()) == [11, 12]
+
+
+def sets_of(texts):
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
+    return {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+
+
+def test_bitmaps_never_count_more_than_differs(spark):
+    rng = np.random.default_rng(9)
+    rows, pairs = [], []
+    for k, n in enumerate([1, 2, 31, 32, 33, 60, 700, 1024, 3000]):
+        one = rng.integers(-(2**63), 2**63 - 1, n)
+        for j, kept in enumerate((n, n - n // 50, n - n // 5)):
+            other = np.concatenate([one[:kept], rng.integers(-(2**63), 2**63 - 1, n // 6 if j else 0)])
+            rows += [(10 * k, one.tolist()), (10 * k + j + 1, other.tolist())]
+            pairs.append((10 * k, 10 * k + j + 1, len(set(one.tolist()) ^ set(other.tolist()))))
+    sets = spark.createDataFrame(rows, "id long, s array<long>").dropDuplicates(["id"]).coalesce(2)
+    found = bitmaps(sets, at_once=500)
+    assert {r["id"]: r["n"] for r in found.collect()} == {i: len(s) for i, s in rows}
+    end = lambda i, p: found.select(F.col("id").alias(i), F.col("p").alias(p))
+    out = spark.createDataFrame(pairs, "a long, b long, d long").join(end("a", "x"), "a").join(end("b", "y"), "b").select("d", links._apart(F.col("x"), F.col("y")).alias("m"))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(pairs) and all(m <= d and (d - m) % 2 == 0 and 2 * m >= d for d, m in got)
+
+
+def test_whole_sets_are_made_only_of_pairs_that_may_be_similar(spark, monkeypatch):
+    word = lambda k, n: [f"{k}w{x}" for x in range(n)]
+    texts = {k: " ".join(word("same", 60) + word(k, 60)) for k in range(20)} | {50: " ".join([*word(3, 60), "one"]), 51: " ".join([*word(3, 60), "two"])}
+    seen, plain = [], links.similar
+    monkeypatch.setattr(links, "similar", lambda pairs, sets, percent: seen.append((pairs.count(), sets.count())) or plain(pairs, sets, percent))
+    linked = link_texts(frame(spark, texts))
+    assert sorted(map(tuple, linked.near.collect())) == [(50, 51)] and [x for x in seen if x[0]] == [(1, 2)]
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_all_pairs_by_either_way_of_frequent_elements(spark, monkeypatch, few):
+    monkeypatch.setattr(links, "BROADCAST_IDS", few)
+    monkeypatch.setattr(links, "_is_frequent", lambda g: F.pmod(g, F.lit(2)) == 0)  # any order finds the same pairs
+    texts = corpus()
+    sets = sets_of(texts)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    reps = sorted(i for s, i in first.items() if s)
+    want = [(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in combinations(reps, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    docs = frame(spark, texts)
+    assert sorted(map(tuple, similar_pairs(docs).collect())) == want and len(want) > 20
+    assert sorted(map(tuple, similar_pairs(docs.unionAll(docs)).collect())) == want
