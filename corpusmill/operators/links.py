@@ -78,28 +78,27 @@ def _is_frequent(g: F.Column) -> F.Column:
 AT_ONCE = 1_000_000
 
 
-def _parity(sets: pa.ListArray) -> pa.ListArray:
-    """Of each set of hashes a bitmap of at least two bits an element, a power
-    of two and whole words: whether an odd number of elements falls on a bit."""
-    sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
-    bits = 1 << np.ceil(np.log2(np.maximum(2 * sizes, 64))).astype(np.int64)
-    ends = np.cumsum(bits)
-    places = np.repeat(ends - bits, sizes) + (sets.flatten().to_numpy() & np.repeat(bits - 1, sizes))
-    odd = (np.bincount(places, minlength=ends[-1]) & 1).astype(np.uint8)
-    return pa.ListArray.from_arrays(np.concatenate([[0], ends // 64]).astype(np.int32), np.packbits(odd, bitorder="little").view(np.int64))
-
-
 def bitmaps(sets: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
-    """(id, n, p): the size and the bitmap by parity of each set (id, s)."""
+    """(id, n, p): of each set of hashes (id, s) its size and a bitmap of at
+    least two bits an element, a power of two and whole words: whether an odd
+    number of elements falls on a bit.  The functions are in here, so they
+    travel by value and the workers need not find this package."""
+
+    def parity(s: pa.ListArray, sizes: np.ndarray) -> pa.ListArray:
+        bits = 1 << np.ceil(np.log2(np.maximum(2 * sizes, 64))).astype(np.int64)
+        ends = np.cumsum(bits)
+        places = np.repeat(ends - bits, sizes) + (s.flatten().to_numpy() & np.repeat(bits - 1, sizes))
+        odd = (np.bincount(places, minlength=ends[-1]) & 1).astype(np.uint8)
+        return pa.ListArray.from_arrays(np.concatenate([[0], ends // 64]).astype(np.int32), np.packbits(odd, bitorder="little").view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.diff(b.column("s").offsets.to_numpy()).astype(np.int32)
+            n = np.diff(b.column("s").offsets.to_numpy())
             cuts = np.flatnonzero(np.diff(np.cumsum(n, dtype=np.int64) // at_once, prepend=0, append=-1))
             for low, high in zip([0, *cuts], [*cuts, len(n)], strict=False):
                 if high > low:
-                    part = b.slice(low, high - low)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n[low:high]), _parity(part.column("s"))], names=["id", "n", "p"])
+                    part, sizes = b.slice(low, high - low), n[low:high]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes.astype(np.int32)), parity(part.column("s"), sizes.astype(np.int64))], names=["id", "n", "p"])
 
     return sets.mapInArrow(run, "id bigint, n int, p array<bigint>")
 
