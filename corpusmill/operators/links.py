@@ -48,24 +48,37 @@ class Linked:
 
 #: Ids whose table may be broadcast (some 64 MB); texts of more are shuffled.
 BROADCAST_IDS = 2_000_000
-#: Slots of the table that says which windows are frequent, and of how many
-#: rows one is counted for it.
-SLOTS, SAMPLED = 1 << 18, 16
+#: Slots of the table that says which windows are frequent, how many windows
+#: it marks at most, and of how many texts one is counted for it.
+SLOTS, MARKED, SAMPLED = 1 << 21, 1 << 18, 16
+#: Counts that are told apart.
+LEVELS = 1000
 
 
 def frequent(whole: DataFrame, n: int) -> DataFrame:
-    """One row (bits): a bit for each slot of window hashes, set where a
-    sixteenth of the rows has many more windows than in others.  It only says
-    in which order elements are looked at: any order finds the same links."""
-    slot = F.pmod("g", F.lit(SLOTS)).cast("int")
-    counted = whole.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode(T.word_windows(F.col("text"), n)).alias("g")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
-    counts = stored(counted)  # a row a slot at most
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    """One row (bits): a bit for each slot of window hashes, set for windows
+    that several of a sixteenth of the different texts have, those of most
+    texts first if they are too many.  A window is counted by itself, so what
+    few texts share is told from what many do, however large the table.  It
+    only says in which order elements are looked at: any order finds the same
+    links."""
+    h = F.xxhash64("text")
+    drawn = whole.where(F.pmod(h, F.lit(SAMPLED)) == 0)
+    one = drawn.groupBy(h.alias("h")).agg(F.min("id").alias("id")).select("id")  # of equal texts
+    counted = stored(drawn.join(one, "id", "left_semi").select(F.explode(F.array_distinct(T.word_windows(F.col("text"), n))).alias("g")).groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    level, marked = LEVELS, 0
+    for r in counted.groupBy(F.least("c", F.lit(LEVELS)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        marked += r["n"]
+        if marked > MARKED:
+            break
+        level = r["c"]
+    slot = F.pmod("g", F.lit(SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     words = [0] * (SLOTS // 64)
-    for r in counts.where(F.col("n") > max(8, 8 * total // SLOTS)).collect():  # an eighth of the slots at most
-        words[r["slot"] // 64] |= 1 << (r["slot"] % 64)
-    forget(counts)
-    return whole.sparkSession.createDataFrame([([w - (1 << 64) if w >> 63 else w for w in words],)], "bits array<long>")
+    for r in counted.where(F.col("c") >= level).groupBy((slot / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).collect():  # a row a word at most
+        words[r["w"]] = r["b"]
+    forget(counted)
+    return whole.sparkSession.createDataFrame([(words,)], "bits array<long>")
 
 
 def _is_frequent(g: F.Column) -> F.Column:
@@ -133,15 +146,25 @@ class Elements:
         forget(met)
         return out
 
-    def enough(self, left: DataFrame, right: DataFrame, apart: F.Column | None = None) -> DataFrame:
-        """(a, b) that meet on elements of left (g, id, n) and right (g, b, nb)
-        and share enough of them to be similar at all."""
+    def enough(self, rows: DataFrame, apart: str | None = None) -> DataFrame:
+        """(a, b) that meet on elements of rows (g, id, n), differ in the
+        column `apart`, if named, and share enough elements to be similar at
+        all.
+
+        What an id shares with anybody bounds what it shares with one other,
+        so most pairs go where they meet, before anything is shuffled by pair.
+        """
+        counted = stored(rows.withColumn("s", F.count("*").over(Window.partitionBy("id")).cast("int")))
+        right = counted.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), *[F.col(c).alias("_b") for c in [apart] if c])
         # what two sets share is what their quarters share and, beyond the quarter that ends first, at most its set's rest
         rest_of = lambda n: n - _needed(n, self.percent)
         wanted = F.ceil(F.lit(self.percent / (100 + self.percent)) * (F.col("n") + F.col("nb")) - 1e-6)
-        on = (F.col("id") < F.col("b")) & self.fits("n", "nb")
-        together = left.join(right, "g").where(on if apart is None else on & apart).groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("nb").alias("nb"))
-        return together.where(F.col("c") + F.greatest(rest_of(F.col("n")), rest_of(F.col("nb"))) >= wanted).select("a", "b")
+        reach = lambda c: c + F.greatest(rest_of(F.col("n")), rest_of(F.col("nb"))) >= wanted
+        on = (F.col("id") < F.col("b")) & self.fits("n", "nb") & reach(F.least("s", "sb"))
+        together = counted.join(right, "g").where(on & (F.col(apart) != F.col("_b")) if apart else on).groupBy(F.col("id").alias("a"), "b", "n", "nb").agg(F.count("*").alias("c"))
+        out = stored(together.where(reach(F.col("c"))).select("a", "b"))
+        forget(counted)
+        return out
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """(a, b, shared, either), stored, of the stored pairs that are as
@@ -207,8 +230,7 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(a, b, shared, either), stored, of all pairs of different sets of n
     words with a similarity of `percent` or more, between representatives."""
     found = shared_elements(docs, id_col, text_col, n, percent)
-    other = found.rare.select("g", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = stored(found.enough(found.rare.select("g", "id", "n"), other))
+    pairs = found.enough(found.rare.select("g", "id", "n"))
     out = found.linked(pairs)
     forget(found.rare, pairs)
     return out
@@ -236,10 +258,9 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
     left = stored(labelled.join(open_, "g", "left_semi"))
     forget(rare, labelled)
-    other = left.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = found.enough(left, other, F.col("component") != F.col("cb"))
+    met = found.enough(left, "component")
     more = stored(met.join(pairs, ["a", "b"], "left_anti"))
-    forget(pairs, left)
+    forget(pairs, left, met)
     near = first
     if more.limit(1).count():
         second = found.linked(more).select("a", "b")
@@ -259,12 +280,12 @@ def protected_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col:
     joined with the windows themselves, so the filter changes no row.
     """
     held = stored(protected.select(F.explode(T.word_windows(F.coalesce(F.col("text"), F.lit("")), n)).alias("g")).distinct())
-    windows = F.array_distinct(T.word_windows(F.coalesce(F.col(text_col), F.lit("")), n))
+    windows = T.word_windows(F.coalesce(F.col(text_col), F.lit("")), n)
     rows = docs.select(F.col(id_col).alias("id"), windows.alias("w"))
     if found := bloom(held, "g", most_bits):
         bits, size = found
         rows = rows.crossJoin(F.broadcast(bits)).select("id", F.filter("w", lambda g: passes(g, F.col("bits"), size)).alias("w"))  # one row
-    return rows.select("id", F.explode("w").alias("g")).join(held, "g", "left_semi").select("id", "g")
+    return rows.select("id", F.explode(F.array_distinct("w")).alias("g")).join(held, "g", "left_semi").select("id", "g")
 
 
 def shared_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -173,6 +173,31 @@ def test_whole_sets_are_made_only_of_pairs_that_may_be_similar(spark, monkeypatc
     assert sorted(map(tuple, linked.near.collect())) == [(50, 51)] and [x for x in seen if x[0]] == [(1, 2)]
 
 
+def test_texts_do_not_meet_on_what_some_others_hold_too(spark, monkeypatch):
+    monkeypatch.setattr(links, "SAMPLED", 1)
+    word = lambda k, n: [f"{k}w{x}" for x in range(n)]
+    texts = {k: " ".join(word(f"passage{k % 4}", 40) + word(k, 60)) for k in range(24)}  # six texts a passage
+    assert links.shared_elements(frame(spark, texts)).rare.count() == 0  # their own windows come first
+    texts |= {50: texts[3] + " more", 51: texts[4]}
+    assert sorted(map(tuple, link_texts(frame(spark, texts)).near.collect())) == [(3, 50)]
+
+
+@pytest.mark.parametrize(("sampled", "marked", "levels"), [(1, 1 << 18, 1000), (1, 40, 1000), (1, 0, 3), (2, 1 << 18, 2)])
+def test_which_windows_are_marked_changes_no_link(spark, monkeypatch, sampled, marked, levels):
+    for name, value in (("SAMPLED", sampled), ("MARKED", marked), ("LEVELS", levels)):
+        monkeypatch.setattr(links, name, value)
+    texts = corpus()
+    expected = dict(brute(linked_pairs(texts)))
+    found = {r["id"]: r["component"] for r in link_texts(frame(spark, texts)).labelled().collect()}
+    assert found == {i: expected.get(i, i) for i in texts}
+
+
+def test_copies_of_a_text_mark_nothing(spark, monkeypatch):
+    monkeypatch.setattr(links, "SAMPLED", 1)
+    docs = frame(spark, {k: "a b c d e f g h" for k in range(30)}).select(F.col("doc_id").alias("id"), "text")
+    assert not any(links.frequent(docs, 5).first()["bits"])
+
+
 @pytest.mark.parametrize("few", [0, 1_000_000])
 def test_all_pairs_by_either_way_of_frequent_elements(spark, monkeypatch, few):
     monkeypatch.setattr(links, "BROADCAST_IDS", few)
