@@ -196,7 +196,7 @@ def shared_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
-    windows = F.array_sort(F.array_distinct(T.word_windows(F.col("text"), n)))
+    windows = F.sort_array(F.array_distinct(T.word_windows(F.col("text"), n)))
     bits = frequent(whole, n)
 
     def facts(s: F.Column) -> F.Column:
