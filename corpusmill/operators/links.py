@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..sources.scratch import forget, stored
-from .bloom import MOST, bloom, passes
+from .bloom import MOST, bloom
 from .components import components
+from .windows import Sets, windows
 
 
 def _needed(n: F.Column, percent: int) -> F.Column:
@@ -48,9 +48,11 @@ class Linked:
 
 #: Ids whose table may be broadcast (some 64 MB); texts of more are shuffled.
 BROADCAST_IDS = 2_000_000
-#: Slots of the table that says which windows are frequent, how many windows
-#: it marks at most, and of how many texts one is counted for it.
-SLOTS, MARKED, SAMPLED = 1 << 21, 1 << 18, 16
+#: Slots of the table that says which windows are frequent (1 MB), how many
+#: windows it marks at most, and of how many texts one is counted for it.
+SLOTS, MARKED, SAMPLED = 1 << 23, 1 << 18, 16
+#: Parts in which the texts with a frequent window meet.
+PARTS = 64
 #: Counts that are told apart.
 LEVELS = 1000
 
@@ -64,8 +66,9 @@ def frequent(whole: DataFrame, n: int) -> DataFrame:
     links."""
     h = F.xxhash64("text")
     drawn = whole.where(F.pmod(h, F.lit(SAMPLED)) == 0)
-    one = drawn.groupBy(h.alias("h")).agg(F.min("id").alias("id")).select("id")  # of equal texts
-    counted = stored(drawn.join(one, "id", "left_semi").select(F.explode(F.array_distinct(T.word_windows(F.col("text"), n))).alias("g")).groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    one = stored(drawn.groupBy(h.alias("h")).agg(F.min("id").alias("id")).select("id"))  # of equal texts
+    few = F.broadcast(one) if one.count() <= BROADCAST_IDS else one  # else texts are shuffled
+    counted = stored(windows(drawn.join(few, "id", "left_semi"), n).groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
     level, marked = LEVELS, 0
     for r in counted.groupBy(F.least("c", F.lit(LEVELS)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
         marked += r["n"]
@@ -77,7 +80,7 @@ def frequent(whole: DataFrame, n: int) -> DataFrame:
     words = [0] * (SLOTS // 64)
     for r in counted.where(F.col("c") >= level).groupBy((slot / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).collect():  # a row a word at most
         words[r["w"]] = r["b"]
-    forget(counted)
+    forget(one, counted)
     return whole.sparkSession.createDataFrame([(words,)], "bits array<long>")
 
 
@@ -130,7 +133,7 @@ class Elements:
     similar sets must share one; all but `whole` stored."""
 
     whole: DataFrame
-    windows: F.Column
+    sets: Sets
     percent: int
     members: DataFrame  # (id, rep) of every row
     rare: DataFrame  # (g, id, n, a, na): representatives with an element that another has too, and the first that has it
@@ -139,10 +142,10 @@ class Elements:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def _of(self, pairs: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """What is made of the rows that meet, stored."""
+        """What is made of the sets of the rows that meet, stored."""
         met = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         few = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
-        out = stored(made(self.whole.join(few, "id", "left_semi").select("id", self.windows.alias("s"))))
+        out = stored(made(self.sets.whole(self.whole.join(few, "id", "left_semi"))))
         forget(met)
         return out
 
@@ -155,13 +158,13 @@ class Elements:
         so most pairs go where they meet, before anything is shuffled by pair.
         """
         counted = stored(rows.withColumn("s", F.count("*").over(Window.partitionBy("id")).cast("int")))
-        right = counted.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), *[F.col(c).alias("_b") for c in [apart] if c])
+        end = lambda e: counted.select("g", F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("s").alias(f"s{e}"), *[F.col(c).alias(f"_{e}") for c in [apart] if c])  # noqa: E731  alike, so they are shuffled once
         # what two sets share is what their quarters share and, beyond the quarter that ends first, at most its set's rest
         rest_of = lambda n: n - _needed(n, self.percent)
-        wanted = F.ceil(F.lit(self.percent / (100 + self.percent)) * (F.col("n") + F.col("nb")) - 1e-6)
-        reach = lambda c: c + F.greatest(rest_of(F.col("n")), rest_of(F.col("nb"))) >= wanted
-        on = (F.col("id") < F.col("b")) & self.fits("n", "nb") & reach(F.least("s", "sb"))
-        together = counted.join(right, "g").where(on & (F.col(apart) != F.col("_b")) if apart else on).groupBy(F.col("id").alias("a"), "b", "n", "nb").agg(F.count("*").alias("c"))
+        wanted = F.ceil(F.lit(self.percent / (100 + self.percent)) * (F.col("na") + F.col("nb")) - 1e-6)
+        reach = lambda c: c + F.greatest(rest_of(F.col("na")), rest_of(F.col("nb"))) >= wanted
+        on = (F.col("a") < F.col("b")) & self.fits("na", "nb") & reach(F.least("sa", "sb"))
+        together = end("a").join(end("b"), "g").where(on & (F.col("_a") != F.col("_b")) if apart else on).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
         out = stored(together.where(reach(F.col("c"))).select("a", "b"))
         forget(counted)
         return out
@@ -188,42 +191,36 @@ class Elements:
 def shared_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> Elements:
     """Equal texts and rare elements of what is left.
 
-    One map makes each text's key (two 64-bit hashes of its sorted set) and
-    the quarter of its elements, infrequent ones first, of which a similar set
-    must have one in its own quarter.  Equal sets are one node, so copies cost
-    one.  Infrequent elements are shuffled once; frequent ones, which one task
-    might not hold, are counted first.
+    One map makes each text's key, two 64-bit hashes of its set; equal sets are
+    one node, so copies cost one.  A second one makes the sets anew, rather
+    than read them from disk, and leaves of each node's the quarter of its
+    elements, infrequent ones first, of which a similar set must have one in
+    its own quarter.  Elements are shuffled once, frequent ones, which one task
+    might not hold, in parts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
-    windows = F.sort_array(F.array_distinct(T.word_windows(F.col("text"), n)))
-    bits = frequent(whole, n)
-
-    def facts(s: F.Column) -> F.Column:
-        size = F.size(s)
-        most = F.greatest(_needed(size, percent), F.lit(0)).cast("int")
-        rare = F.filter(s, lambda g: ~_is_frequent(g))
-        first = T.bound(rare, lambda r: F.slice(F.when(F.size(r) >= most, r).otherwise(F.concat(r, F.filter(s, _is_frequent))), F.lit(1), most))
-        short = size == 0  # equality alone: the key is the text's
-        return F.struct(size.alias("n"), F.when(short, F.xxhash64(F.lit(3), T.normalised(F.col("text")))).otherwise(F.xxhash64(s)).alias("k1"), F.when(short, F.xxhash64(F.lit(5), T.normalised(F.col("text")))).otherwise(F.xxhash64(F.lit(7), s)).alias("k2"), F.when(~short, first).alias("first"))
-
-    found = whole.crossJoin(F.broadcast(bits)).select("id", T.bound(windows, facts).alias("f"))  # one row
-    keyed = stored(found.select("id", "f.*"))
+    sets, bits = Sets(n), frequent(whole, n)
+    keyed = stored(sets.keys(whole))
     key = ["id", "k1", "k2"]
     reps = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    members = stored(keyed.select(*key).join(reps, ["k1", "k2"]).select(*key, "rep"))
-    copies = stored(members.where("id <> rep").select(*key).distinct())
-    some = keyed.where("n > 0")
-    nodes = some.join(F.broadcast(copies), key, "left_anti") if copies.count() <= BROADCAST_IDS else some.join(copies, key, "left_anti")
+    members = stored(keyed.join(reps, ["k1", "k2"]).select(*key, "rep"))
+    copies, firsts = (stored(members.where(c).select(*key).distinct()) for c in ("id <> rep", "id = rep"))
+    some = sets.first(whole, percent, bits.first()["bits"]).where("n > 0")
+    fewer, how = min((copies.count(), "left_anti"), (firsts.count(), "left_semi"))
+    other = copies if how == "left_anti" else firsts
+    nodes = some.join(F.broadcast(other) if fewer <= BROADCAST_IDS else other, key, how)
     each = nodes.select("id", "n", F.explode("first").alias("g")).crossJoin(F.broadcast(bits))  # one row
-    once, often = (each.where(c).select("id", "n", "g") for c in (~_is_frequent(F.col("g")), _is_frequent(F.col("g"))))
-    w = Window.partitionBy("g")
-    once = once.withColumns({"h": F.min(F.struct("id", "n")).over(w), "k": F.count("*").over(w)}).where("k > 1")
-    heads = often.groupBy("g").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    part = F.when(_is_frequent(F.col("g")), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).otherwise(-1)
+    w = Window.partitionBy("g", "part")
+    met = each.select("id", "n", "g", part.alias("part")).withColumns({"h": F.min(F.struct("id", "n")).over(w), "k": F.count("*").over(w)})
+    held = stored(met.where("part >= 0 or k > 1").drop("k"))
+    once, often = held.where("part < 0"), held.where("part >= 0")
+    heads = often.groupBy("g").agg(F.min("h").alias("h"), F.count("*").alias("k")).where("k > 1")
     columns = ["g", "id", "n", F.col("h.id").alias("a"), F.col("h.n").alias("na")]
-    rare = stored(once.select(*columns).unionByName(often.join(heads, "g").select(*columns)))
-    forget(keyed, copies)
-    return Elements(whole, windows, percent, members.select("id", "rep"), rare)
+    rare = stored(once.select(*columns).unionByName(often.drop("h").join(heads, "g").select(*columns)))
+    forget(keyed, copies, firsts, held)
+    return Elements(whole, sets, percent, members.select("id", "rep"), rare)
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -254,7 +251,8 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = stored(rare.where((F.col("a") < F.col("id")) & found.fits("na", "n")).select("a", F.col("id").alias("b")).distinct())
     first = found.linked(pairs).select("a", "b")
     of = stored(components(first))
-    labelled = stored(rare.select("id", "n", "g").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    names = of.withColumnRenamed("node", "id")
+    labelled = stored(rare.select("id", "n", "g").join(F.broadcast(names) if of.count() <= BROADCAST_IDS else names, "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
     left = stored(labelled.join(open_, "g", "left_semi"))
     forget(rare, labelled)
@@ -271,36 +269,33 @@ def link_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Linked(found.members, near, of.withColumnRenamed("node", "rep"))
 
 
-def protected_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST) -> DataFrame:
+def protected_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST, short: bool = False) -> DataFrame:
     """(id, g) of each different window of n words that a row shares with a
-    protected text, g its hash.
+    protected text, g its hash; with `short`, texts of fewer words are a window.
 
     The protected windows fill a Bloom filter, if its size allows, which the
     rows' windows pass before anything is shuffled; what is left of them is
     joined with the windows themselves, so the filter changes no row.
     """
-    held = stored(protected.select(F.explode(T.word_windows(F.coalesce(F.col("text"), F.lit("")), n)).alias("g")).distinct())
-    windows = T.word_windows(F.coalesce(F.col(text_col), F.lit("")), n)
-    rows = docs.select(F.col(id_col).alias("id"), windows.alias("w"))
-    if found := bloom(held, "g", most_bits):
-        bits, size = found
-        rows = rows.crossJoin(F.broadcast(bits)).select("id", F.filter("w", lambda g: passes(g, F.col("bits"), size)).alias("w"))  # one row
-    return rows.select("id", F.explode(F.array_distinct("w")).alias("g")).join(held, "g", "left_semi").select("id", "g")
+    held = stored(windows(protected.select(F.lit(0).alias("id"), "text"), n, short).select("g").distinct())
+    found = bloom(held, "g", most_bits)
+    rows = windows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, short, found and (found[0].first()["bits"], found[1]))
+    return rows.join(held, "g", "left_semi").select("id", "g")
 
 
-def shared_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id) of the rows that share n consecutive words with a protected text."""
-    return protected_windows(docs, protected, n, id_col, text_col).select("id").distinct()
+def shared_windows(docs: DataFrame, protected: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """(id) of the rows that share n consecutive words with a protected text,
+    or, with `short`, all of fewer."""
+    return protected_windows(docs, protected, n, id_col, text_col, short=short).select("id").distinct()
 
 
 def exclusions(docs: DataFrame, protected: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 8) -> DataFrame:
     """(id, verdict) of every row with an id, stored: `contaminated` if it is
     a protected text or shares n words in a row with one, `equal` or `near` if
     it is not the first of its component of copies, else `kept`."""
-    h = lambda c: T.content_hash(F.coalesce(F.col(c), F.lit(""))).alias("h")
     linked = link_texts(docs, id_col, text_col)
-    same = docs.select(F.col(id_col).cast("long").alias("id"), h(text_col)).join(protected.select(h("text")).distinct(), "h", "left_semi").select("id")
-    contaminated = stored(shared_windows(docs, protected, n, id_col, text_col).unionByName(same).distinct())
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    contaminated = stored(shared_windows(own, protected, n, "id", short=True))
     verdict = F.when(F.col("id") != F.col("rep"), "equal").when(F.col("id") != F.col("component"), "near").otherwise("kept")
     left = linked.labelled().join(contaminated, "id", "left_anti").select("id", verdict.alias("verdict"))
     return stored(left.unionByName(contaminated.where("id is not null").withColumn("verdict", F.lit("contaminated"))))

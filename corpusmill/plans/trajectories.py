@@ -192,10 +192,11 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls are parsed, looked up by a join and compared."""
     made = completions(spark, sf_dir).where("path is not null")
     found = made.select("conv_id", "turn", "recorded", F.get(M.parse_tool_calls(F.col("raw")), F.lit(0)).alias("call"))
-    tree = made.where("recorded is not null").select("conv_id", "path", F.col("recorded").alias("now"))
+    tree = made.where("recorded is not null").select(F.col("conv_id").alias("_conv"), F.col("path").alias("_path"), F.col("recorded").alias("now"))
     asked = found.withColumn("path", F.when(F.col("call.name") == "read_file", F.col("call.arguments")["path"]))
     same = F.coalesce(F.col("now") == F.col("recorded"), F.lit(False))
-    return asked.join(tree, ["conv_id", "path"], "left").select("conv_id", "turn", F.col("path").isNotNull().alias("parsed"), same.alias("same"))
+    here = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("path") == F.col("_path"))  # no filter for one side alone, so conversations are shuffled once
+    return asked.join(tree, here, "left").select("conv_id", "turn", F.col("path").isNotNull().alias("parsed"), same.alias("same"))
 
 
 @query(f"SELECT lane, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, CAST(sum(calls) AS BIGINT) AS calls, round(sum(replays) / nullif(sum(calls), 0), 6) AS replay_rate FROM (SELECT conv_id, calls, replays, CASE WHEN calls = 0 THEN 'non_agentic' WHEN parses < calls THEN 'reject' WHEN replays < calls THEN 'regenerable' ELSE 'native' END AS lane FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, count(*) AS c, count(*) FILTER (parsed) AS p, count(*) FILTER (same) AS s FROM ({REPLAYED_SQL}) GROUP BY conv_id) USING (conv_id), LATERAL (SELECT coalesce(c, 0) AS calls, coalesce(p, 0) AS parses, coalesce(s, 0) AS replays)) GROUP BY lane")

@@ -1,6 +1,7 @@
 """Components, links between texts and splits that no link crosses."""
 
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from corpusmill.operators import links
 from corpusmill.operators.bloom import bloom, passes
 from corpusmill.operators.components import components
-from corpusmill.operators.links import bitmaps, leak_free_split, link_texts, protected_windows, shared_windows, similar_pairs
+from corpusmill.functions import text as T
+from corpusmill.operators.links import bitmaps, exclusions, leak_free_split, link_texts, protected_windows, shared_windows, similar_pairs
+from corpusmill.operators.windows import Sets, windows, with_word_count
 
 
 def brute(links):
@@ -212,3 +215,51 @@ def test_all_pairs_by_either_way_of_frequent_elements(spark, monkeypatch, few):
     docs = frame(spark, texts)
     assert sorted(map(tuple, similar_pairs(docs).collect())) == want and len(want) > 20
     assert sorted(map(tuple, similar_pairs(docs.unionAll(docs)).collect())) == want
+
+
+def test_whole_texts_leave_little_on_disk(spark, monkeypatch):
+    written, plain = [], links.stored
+
+    def stored(df):
+        out = plain(df)
+        written.append(sum(Path(f.removeprefix("file://")).stat().st_size for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(links, "stored", stored)
+    texts = {k: " ".join(f"{k}w{x}" for x in range(2000)) for k in range(100)}
+    assert link_texts(frame(spark, texts)).near.count() == 0
+    assert sum(written) < 100 * 2000  # an eighth of the elements of the quarters that are looked at
+
+
+def odd_texts():
+    rng = np.random.default_rng(11)
+    pick = lambda x, n: "".join(rng.choice(x, n))
+    spaces = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0", "\u1680", "\u2003", "\u200a", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000", "", "", ""]
+    texts = ["".join(pick([*"abÄéß漢\U0001f600İ"], 1) + pick(spaces, 1) for _ in range(rng.integers(0, 60))) for _ in range(150)]
+    return dict(enumerate([*texts, None, "", " ", "\u3000", "a b c d e", " A  b\tc d e ", "x" * 500 + " y", "a b", "B a"]))
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 64, 1])
+def test_windows_are_those_of_the_expressions(spark, at_once):
+    docs = frame(spark, odd_texts()).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).repartition(3)
+    text = F.col("text")
+    assert sorted(map(tuple, with_word_count(docs, "text", "n", at_once).collect())) == sorted(map(tuple, docs.select("id", T.word_count(text)).collect()))
+    made = {r["id"]: r["s"] for r in Sets(3, at_once).whole(docs).collect()}
+    plain = {r["id"]: (set(r["w"]), r["t"]) for r in docs.select("id", T.word_windows(text, 3).alias("w"), T.normalised(text).alias("t")).collect()}
+    alike = {(g, h) for i in plain for g, h in zip(made[i], made[i], strict=True)}
+    assert {i: len(s) for i, s in made.items()} == {i: len(w) for i, (w, _) in plain.items()} and len(alike) == len(set().union(*(w for w, _ in plain.values())))
+    found = {}
+    for i, g in windows(docs, 3, at_once=at_once).collect():
+        found.setdefault(i, []).append(g)
+    assert all(sorted(s) == sorted(found.get(i, [])) for i, s in made.items())
+    keys = {r["id"]: (r["k1"], r["k2"]) for r in Sets(3, at_once).keys(docs).collect()}
+    same = lambda x: sorted(sorted(g) for g in ([i for i in x if x[i] == v] for v in set(x.values())))
+    assert same(keys) == same({i: frozenset(w) or t for i, (w, t) in plain.items()})
+
+
+def test_short_texts_equal_to_protected_ones_are_contaminated(spark):
+    docs = frame(spark, {1: "too short", 2: " Too\tSHORT ", 3: "short too", 4: "too short too", 5: "a b c d e f g h i", 6: None, 7: "one"})
+    held = frame(spark, {1: "too  short", 2: "x a b c d e f g h"})
+    verdict = lambda h: {r["id"]: r["verdict"] for r in exclusions(docs, h).collect()}
+    assert {i for i, v in verdict(held).items() if v == "contaminated"} == {1, 2, 5}
+    assert {i for i, v in verdict(held.limit(0)).items() if v == "contaminated"} == set() and verdict(held.limit(0))[2] == "equal"
