@@ -94,10 +94,18 @@ def _is_frequent(g: F.Column) -> F.Column:
 AT_ONCE = 1_000_000
 
 
+BITMAPS = "id bigint, n int, p array<bigint>"
+
+
 def bitmaps(sets: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """(id, n, p): of each set of hashes (id, s) its size and a bitmap of at
     least two bits an element, a power of two and whole words: whether an odd
-    number of elements falls on a bit.  The functions are in here, so they
+    number of elements falls on a bit."""
+    return sets.mapInArrow(_bitmaps(at_once), BITMAPS)
+
+
+def _bitmaps(at_once: int = AT_ONCE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What `bitmaps` makes of batches.  The functions are in here, so they
     travel by value and the workers need not find this package."""
 
     def parity(s: pa.ListArray, sizes: np.ndarray) -> pa.ListArray:
@@ -116,7 +124,7 @@ def bitmaps(sets: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
                     part, sizes = b.slice(low, high - low), n[low:high]
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes.astype(np.int32)), parity(part.column("s"), sizes.astype(np.int64))], names=["id", "n", "p"])
 
-    return sets.mapInArrow(run, "id bigint, n int, p array<bigint>")
+    return run
 
 
 def _apart(x: F.Column, y: F.Column) -> F.Column:
@@ -142,10 +150,10 @@ class Elements:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def _of(self, pairs: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """What is made of the sets of the rows that meet, stored."""
+        """What is made of the rows that meet, stored."""
         met = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         few = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
-        out = stored(made(self.sets.whole(self.whole.join(few, "id", "left_semi"))))
+        out = stored(made(self.whole.join(few, "id", "left_semi")))
         forget(met)
         return out
 
@@ -177,12 +185,12 @@ class Elements:
         bound from below how many elements only one of the two has; what they
         leave open is compared on full sets, so no pair is lost.
         """
-        marks = self._of(pairs, bitmaps)
+        marks = self._of(pairs, lambda rows: self.sets.whole(rows, _bitmaps(), BITMAPS))  # by the same workers
         end = lambda i, n, p: marks.select(F.col("id").alias(i), F.col("n").alias(n), F.col("p").alias(p))
         both = pairs.join(end("a", "na", "x"), "a").join(end("b", "nb", "y"), "b")
         close = stored(both.where(_apart(F.col("x"), F.col("y")) * (100 + self.percent) <= (100 - self.percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
         forget(marks)
-        full = self._of(close, lambda sets: sets)
+        full = self._of(close, self.sets.whole)
         out = stored(similar(close, full, self.percent).distinct())
         forget(close, full)
         return out

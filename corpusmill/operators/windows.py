@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructType
 
 #: Bytes of texts that are looked at at once; a longer text, or word, is by
 #: itself.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 Texts = tuple[np.ndarray, np.ndarray]
 Hashes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -115,10 +115,10 @@ class Sets:
     n: int
     at_once: int = AT_ONCE
 
-    def _map(self, rows: DataFrame, made: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    def _map(self, rows: DataFrame, made: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
         """What `made` makes of rows (id, text) and their sets: (h, starts,
-        whole, mixed), h in order within a set, a set from one start to the
-        next; whole as of `_hashes`; mixed the function that mixes hashes."""
+        whole), h in order within a set, a set from one start to the next, whole
+        as of `_hashes`."""
         pieces, hashes = _pieces(self.at_once), _hashes(self.n, self.at_once)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ class Sets:
                     new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
                     yield made(part, h[new], np.concatenate([[0], np.cumsum(new)])[starts], whole)
 
-        return rows.select("id", F.lower("text").alias("text")).mapInArrow(run, schema)
+        return rows.select("id", F.lower("text").alias("text")).mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 
     def keys(self, rows: DataFrame) -> DataFrame:
         """(id, k1, k2): two hashes of a row's set; of its text, if that has
@@ -140,13 +140,13 @@ class Sets:
         made = _keyed()
         return self._map(rows, lambda part, h, starts, whole: pa.RecordBatch.from_arrays([part.column(0), *made(h, starts, whole)], names=["id", "k1", "k2"]), "id bigint, k1 bigint, k2 bigint")
 
-    def whole(self, rows: DataFrame) -> DataFrame:
-        """(id, s): a row's set."""
+    def whole(self, rows: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "id bigint, s array<bigint>") -> DataFrame:
+        """(id, s): a row's set; or what `then` makes of batches of these."""
 
         def made(part: pa.RecordBatch, h: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(starts.astype(np.int32), h.view(np.int64))], names=["id", "s"])
 
-        return self._map(rows, made, "id bigint, s array<bigint>")
+        return self._map(rows, made, schema, then)
 
     def first(self, rows: DataFrame, percent: int, bits: list[int]) -> DataFrame:
         """(id, k1, k2, n, first): a row's keys, the size of its set and the
